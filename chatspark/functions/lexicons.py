@@ -43,3 +43,28 @@ BASIC_EMOTIONS = ["anger", "disgust", "fear", "joy", "sadness", "surprise"]
 SENTIMENT_IDS = {"neg": 0, "neu": 1, "pos": 2}
 ID_LABELS = ["neg", "neu", "pos"]
 # --- end of fixed values --------------------------------------------------
+
+# --- Fixed values: topic-word filters ---------------------------------------
+# English stop words (the common public NLTK list, natural order).
+ENGLISH_STOP_WORDS = [
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "you're", "you've",
+    "you'll", "you'd", "your", "yours", "yourself", "yourselves", "he", "him", "his", "himself",
+    "she", "she's", "her", "hers", "herself", "it", "it's", "its", "itself", "they", "them",
+    "their", "theirs", "themselves", "what", "which", "who", "whom", "this", "that", "that'll",
+    "these", "those", "am", "is", "are", "was", "were", "be", "been", "being", "have", "has",
+    "had", "having", "do", "does", "did", "doing", "a", "an", "the", "and", "but", "if", "or",
+    "because", "as", "until", "while", "of", "at", "by", "for", "with", "about", "against",
+    "between", "into", "through", "during", "before", "after", "above", "below", "to", "from",
+    "up", "down", "in", "out", "on", "off", "over", "under", "again", "further", "then", "once",
+    "here", "there", "when", "where", "why", "how", "all", "any", "both", "each", "few", "more",
+    "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so", "than",
+    "too", "very", "s", "t", "can", "will", "just", "don", "don't", "should", "should've", "now",
+    "d", "ll", "m", "o", "re", "ve", "y", "ain", "aren", "aren't", "couldn", "couldn't", "didn",
+    "didn't", "doesn", "doesn't", "hadn", "hadn't", "hasn", "hasn't", "haven", "haven't", "isn",
+    "isn't", "ma", "mightn", "mightn't", "mustn", "mustn't", "needn", "needn't", "shan", "shan't",
+    "shouldn", "shouldn't", "wasn", "wasn't", "weren", "weren't", "won", "won't", "wouldn", "wouldn't",
+]
+# Words containing any of these are dropped; the exact word "com" too.
+DENY_SUBSTRINGS = ["smiling", "eyes", "face", "https", "grinning", "clyde", "unclyde"]
+DENY_EXACT = ["com"]
+# --- end of fixed values ------------------------------------------------------

@@ -188,3 +188,17 @@ def chunks(col: Column | str, size: int = CHUNK_CHARS) -> Column:
     n = F.greatest(F.length(c) - 1, F.lit(0)).cast("long") / F.lit(size)
     last = F.floor(n).cast("int")
     return F.transform(F.sequence(F.lit(0), last), lambda i: F.substr(c, i * size + 1, F.lit(size)))
+
+
+def topic_terms(col: Column | str) -> Column:
+    """Topic words without English stop words, words containing a
+    deny-substring, and the exact word ``com``."""
+    from .lexicons import DENY_EXACT, DENY_SUBSTRINGS, ENGLISH_STOP_WORDS
+
+    def keep(w: Column) -> Column:
+        cond = ~w.isin(*ENGLISH_STOP_WORDS) & ~w.isin(*DENY_EXACT)
+        for s in DENY_SUBSTRINGS:
+            cond = cond & ~w.contains(s)
+        return cond
+
+    return F.filter(topic_words(col), keep)

@@ -1 +1,184 @@
-"""Queries (filled in below)."""
+"""Text and filter queries (X01-X22, P05-P19, S10) with DuckDB oracles."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions.lexicons import DENY_EXACT, DENY_SUBSTRINGS, ENGLISH_STOP_WORDS
+from ..operators import clean as C
+from ..sources.fixtures import Fixtures, duck_with
+from . import duck as D
+from .registry import query
+
+
+def _per_msg(name, sid, spark_fn, duck_expr, col="n", source="msgs"):
+    def build(spark, sf_dir):
+        df = Fixtures(spark, sf_dir).get(source)
+        return df.select("msg_id", spark_fn(F.col("content")).alias(col))
+
+    query(name, sid, duck_with(source) + f"SELECT msg_id, {duck_expr} AS {col} FROM {source}")(build)
+
+
+# Removals (whole texts out)
+_per_msg("strip_custom_emoji", "X01", T.strip_custom_emoji, D.strip("content", D.CUSTOM_EMOJI), "content")
+_per_msg("strip_urls", "X02", T.strip_urls, D.strip("content", D.LINK), "content")
+_per_msg("strip_mentions", "X03", T.strip_mentions, D.strip("content", D.MENTION), "content")
+_per_msg("strip_patterns", "X04", lambda c: T.strip_patterns(c, [T.LINK, T.MENTION]),
+         D.strip(D.strip("content", D.LINK), D.MENTION), "content")
+_per_msg("strip_code_blocks", "X22", T.strip_code_blocks, D.strip("content", D.CODE_BLOCK), "content")
+
+# Per-message counts
+_per_msg("count_emoji", "X06", T.count_emoji, D.count("content", D.EMOJI_RUN))
+_per_msg("count_emoticon", "X07", T.count_emoticon, D.n_emoticons("content"))
+_per_msg("count_punct", "X08", T.count_punct, D.n_punct("content"))
+_per_msg("count_links", "X09", T.count_links, D.count("content", D.LINK))
+_per_msg("count_code", "X10", T.count_code, D.count("content", D.CODE_BLOCK))
+_per_msg("count_abbrev", "X11", T.count_abbrev, D.n_abbrev("content"))
+_per_msg("count_hashtags", "X12", T.count_hashtags, D.count("content", D.HASHTAG))
+
+
+@query("count_sentences", "X15", duck_with("msgs") +
+       f"SELECT msg_id, {D.count('content', D.SENTENCE)} AS n_sentences, {D.count('content', D.WORD_RUN)} AS n_words FROM msgs")
+def count_sentences(spark, sf_dir):
+    m = Fixtures(spark, sf_dir).msgs
+    return m.select("msg_id", T.count_sentences("content").alias("n_sentences"), T.count_words("content").alias("n_words"))
+
+
+@query("chunk_text", "X05", duck_with("msgs") + f"""
+SELECT msg_id, chunk_id, chunk FROM (
+  SELECT msg_id, CAST(i AS INTEGER) AS chunk_id, {D.py_strip('substring(content, i * 510 + 1, 510)')} AS chunk
+  FROM (SELECT msg_id, content, unnest(range(greatest(length(content) - 1, 0) // 510 + 1)) AS i FROM msgs))
+WHERE chunk <> ''""")
+def chunk_text(spark, sf_dir):
+    return C.chunk_text(Fixtures(spark, sf_dir).msgs.select("msg_id", "content"))
+
+
+@query("tokenize_ws", "X13", duck_with("msgs") +
+       f"SELECT token, count(*) AS n FROM (SELECT unnest({D.tokens('content')}) AS token FROM msgs) GROUP BY token")
+def tokenize_ws(spark, sf_dir):
+    m = Fixtures(spark, sf_dir).msgs
+    return (m.select(F.explode(T.tokens_ws("content")).alias("token"))
+            .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+
+
+_STOP = ", ".join(D.q(w) for w in ENGLISH_STOP_WORDS + DENY_EXACT)
+_DENY = " AND ".join(f"NOT contains(word, {D.q(s)})" for s in DENY_SUBSTRINGS)
+DUCK_TOPIC_WORDS = (f"SELECT msg_id, uid, word FROM (SELECT msg_id, uid, lower(w) AS word FROM "
+                    f"(SELECT msg_id, uid, unnest(regexp_extract_all(content, {D.q(D.WORD_RUN)})) AS w FROM msgs) "
+                    f"WHERE NOT regexp_full_match(w, '\\p{{Nd}}+')) WHERE word NOT IN ({_STOP}) AND {_DENY}")
+
+
+@query("tokenize_topic_words", "X14", duck_with("msgs") +
+       f"SELECT word, count(*) AS n FROM ({DUCK_TOPIC_WORDS.replace('{{', '{').replace('}}', '}')}) GROUP BY word")
+def tokenize_topic_words(spark, sf_dir):
+    m = Fixtures(spark, sf_dir).msgs
+    return m.select(F.explode(T.topic_terms("content")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("attachment_counts", "X16", "SELECT event_id, CAST(length(props) AS INTEGER) AS attachment_len, "
+       "CAST(CASE WHEN props IS NULL OR props = '' THEN 0 ELSE len(string_split(props, ',')) END AS INTEGER) AS attachment_items FROM events")
+def attachment_counts(spark, sf_dir):
+    ev = Fixtures(spark, sf_dir).events
+    return ev.select("event_id", T.attachment_length("props").alias("attachment_len"),
+                     T.attachment_list_size("props").alias("attachment_items"))
+
+
+@query("parse_iso_ts", "X17", "SELECT event_id, epoch_us(CAST(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS TIMESTAMP)) AS ts_us, "
+       "CAST(ts AS DATE) AS day FROM events")
+def parse_iso_ts(spark, sf_dir):
+    ev = Fixtures(spark, sf_dir).events
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    parsed = T.parse_iso_ts(iso)
+    return ev.select("event_id", F.unix_micros(parsed).alias("ts_us"), F.to_date(parsed).alias("day"))
+
+
+@query("split_uid", "X18", "SELECT DISTINCT u AS uid, split_part(u, '#', 1) AS name FROM "
+       "(SELECT CASE WHEN user_id = 0 THEN 'HelperBot#0000' ELSE 'user' || CAST(user_id AS VARCHAR) || '#0001' END AS u FROM events)")
+def split_uid(spark, sf_dir):
+    ev = Fixtures(spark, sf_dir).events
+    u = F.when(F.col("user_id") == 0, "HelperBot#0000").otherwise(F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit("#0001")))
+    return ev.select(u.alias("uid")).distinct().select("uid", T.split_uid("uid").alias("name"))
+
+
+@query("append_columns", "X21", duck_with("msgs") + "SELECT msg_id, 'chat' AS source, coalesce(sentiment, 'neu') AS label FROM msgs")
+def append_columns(spark, sf_dir):
+    m = Fixtures(spark, sf_dir).msgs
+    return m.select("msg_id", F.lit("chat").alias("source"), F.coalesce("sentiment", F.lit("neu")).alias("label"))
+
+
+@query("split_text_lines", "S10", """
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, arr[i] AS line FROM (
+  SELECT doc_id, arr, unnest(range(1, len(arr) + 1)) AS i FROM (
+    SELECT doc_id, string_split(replace(text, '. ', chr(10)), chr(10)) AS arr FROM documents))""")
+def split_text_lines(spark, sf_dir):
+    d = Fixtures(spark, sf_dir).documents
+    return d.select("doc_id", F.posexplode(F.split(F.replace("text", F.lit(". "), F.lit("\n")), "\n")).alias("pos", "line"))
+
+
+# ----------------------------------------------------------- filters (P*)
+def _ids(name, sid, spark_fn, duck_where, source="msgs_dirty", cols=("msg_id",)):
+    def build(spark, sf_dir):
+        return spark_fn(Fixtures(spark, sf_dir).get(source)).select(*cols)
+
+    query(name, sid, duck_with(source) + f"SELECT {', '.join(cols)} FROM {source} WHERE {duck_where}")(build)
+
+
+_ids("filter_label_in", "P05", C.filter_label_in, "sentiment IN ('pos', 'neg', 'neu')", cols=("msg_id", "sentiment"))
+_ids("filter_min_len", "P06", C.filter_min_len, "length(content) >= 25")
+_ids("filter_blank", "P09", C.filter_blank, f"{D.py_strip('content')} <> ''")
+_ids("filter_printable", "P10", C.filter_printable,
+     f"regexp_matches({D.py_strip('content')}, '[ -~\\t\\n\\x0B\\f\\r]')")
+_ids("filter_uid_not_contains", "P11", lambda d: C.filter_uid_not_contains(d, ["src1"]), "NOT contains(uid, 'src1')")
+_ids("filter_user", "P12", lambda d: C.filter_user(d, "en-src0"), "uid = 'en-src0'", source="msgs",
+     cols=("msg_id", "content"))
+_ids("empty_to_null_drop", "P14", C.empty_to_null_drop, "content IS NOT NULL AND content <> ''")
+_ids("drop_first_row", "P16", C.drop_first_row, "msg_id > (SELECT min(msg_id) FROM msgs_dirty)")
+
+
+@query("filter_min_group", "P07", duck_with("msgs") + """
+, m AS (SELECT msg_id, uid FROM msgs WHERE length(content) >= 25)
+SELECT msg_id, uid FROM m WHERE uid IN (SELECT uid FROM m GROUP BY uid HAVING count(*) >= 25)""")
+def filter_min_group(spark, sf_dir):
+    m = C.filter_min_len(Fixtures(spark, sf_dir).msgs)
+    return C.filter_min_group(m, 25).select("msg_id", "uid")
+
+
+@query("drop_nulls", "P08", duck_with("msgs_dirty") + """
+SELECT count(*) FILTER (WHERE uid IS NOT NULL AND content IS NOT NULL AND sentiment IS NOT NULL) AS n_any,
+  count(*) FILTER (WHERE content IS NOT NULL AND sentiment IS NOT NULL) AS n_subset,
+  count(*) FILTER (WHERE uid IS NOT NULL OR content IS NOT NULL OR sentiment IS NOT NULL) AS n_all FROM msgs_dirty""")
+def drop_nulls(spark, sf_dir):
+    d = Fixtures(spark, sf_dir).msgs_dirty.select("uid", "content", "sentiment")
+    a = C.drop_nulls(d, "any").agg(F.count(F.lit(1)).alias("n_any"))
+    s = C.drop_nulls(d, "any", ["content", "sentiment"]).agg(F.count(F.lit(1)).alias("n_subset"))
+    al = C.drop_nulls(d, "all").agg(F.count(F.lit(1)).alias("n_all"))
+    from ..operators.features import _one_row_concat
+    return _one_row_concat(_one_row_concat(a, s), al)
+
+
+@query("null_to_nan_text", "P13", duck_with("msgs_dirty") +
+       "SELECT msg_id, coalesce(content, 'nan') AS content FROM msgs_dirty WHERE content IS NULL OR content = 'nan'")
+def null_to_nan_text(spark, sf_dir):
+    d = C.null_to_nan_text(Fixtures(spark, sf_dir).msgs_dirty)
+    return d.filter(F.col("content") == "nan").select("msg_id", "content")
+
+
+@query("truncate_words", "P17", duck_with("msgs") +
+       f"SELECT msg_id, array_to_string({D.tokens('content')}[1:20], ' ') AS content FROM msgs")
+def truncate_words(spark, sf_dir):
+    return C.truncate_words(Fixtures(spark, sf_dir).msgs, 20).select("msg_id", "content")
+
+
+@query("dropped_rows_report", "P19", duck_with("msgs_dirty") +
+       "SELECT count(*) FILTER (WHERE content IS NULL OR sentiment IS NULL) AS dropped, "
+       "count(*) FILTER (WHERE content IS NOT NULL AND sentiment IS NOT NULL) AS kept FROM msgs_dirty")
+def dropped_rows_report(spark, sf_dir):
+    return C.dropped_rows_report(Fixtures(spark, sf_dir).msgs_dirty)
+
+
+@query("clean_messages", "X04+P14", duck_with("msgs_dirty") + f"""
+SELECT msg_id, content FROM (SELECT msg_id, {D.strip(D.strip(D.strip('content', D.CUSTOM_EMOJI), D.LINK), D.MENTION)} AS content
+  FROM msgs_dirty) WHERE content IS NOT NULL AND content <> ''""")
+def clean_messages(spark, sf_dir):
+    return C.clean_messages(Fixtures(spark, sf_dir).msgs_dirty).select("msg_id", "content")
