@@ -138,9 +138,21 @@ def count_hashtags(col: Column | str) -> Column:
     return regex_count(col, HASHTAG)
 
 
+def sentence_segments(col: Column | str) -> Column:
+    """Per piece between terminators [.!?]: does it hold a word character?
+
+    A match of ``\\w[^.!?]*[.!?]`` ends at every terminator whose piece
+    (since the previous terminator) holds a word character, so counting
+    pieces gives the same number as the regex in linear time; the regex
+    itself rescans an unterminated tail from every word character."""
+    return F.transform(F.split(_c(col), "[.!?]", -1), lambda s: s.rlike(WORD_CHAR))
+
+
 def count_sentences(col: Column | str) -> Column:
-    """Sentence matches within one text."""
-    return regex_count(col, SENTENCE)
+    """Number of ``\\w[^.!?]*[.!?]`` matches within one text."""
+    seg = sentence_segments(col)
+    n = F.size(F.filter(seg, lambda b: b)) - F.when(F.element_at(seg, -1), 1).otherwise(0)
+    return F.coalesce(n, F.lit(0))
 
 
 def count_words(col: Column | str) -> Column:

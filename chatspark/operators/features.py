@@ -101,13 +101,6 @@ def user_token_counts(msgs: DataFrame) -> DataFrame:
             .groupBy("uid", "token").agg(F.count(F.lit(1)).alias("c")))
 
 
-def vocab_richness_table(msgs: DataFrame, **_) -> DataFrame:
-    """Distinct / total whitespace tokens, case-sensitive, 2 places."""
-    return (user_token_counts(msgs).groupBy("uid")
-            .agg(F.count(F.lit(1)).alias("_d"), F.sum("c").alias("_t"))
-            .select("uid", round_ratio(F.col("_d"), F.col("_t")).alias("vocab_richness")))
-
-
 def tag_key(token: Column) -> Column:
     """Lexicon key of a whitespace token: lower case, punctuation at the
     edges removed."""
@@ -138,32 +131,41 @@ def pos_tag_tokens(tokens: DataFrame, pos_lexicon: DataFrame | None, token_col:
             .drop("_key", "_lex_tag"))
 
 
-def pos_share_table(msgs: DataFrame, pos_lexicon: DataFrame | None = None, **_) -> DataFrame:
-    """Shares of the exact tags NN, VB, JJ among all tagged tokens."""
-    tagged = pos_tag_tokens(user_token_counts(msgs), pos_lexicon)
-    agg = tagged.groupBy("uid").agg(
-        F.sum("c").alias("_t"),
-        F.sum(F.when(F.col("tag") == "NN", F.col("c")).otherwise(0)).alias("_nn"),
-        F.sum(F.when(F.col("tag") == "VB", F.col("c")).otherwise(0)).alias("_vb"),
-        F.sum(F.when(F.col("tag") == "JJ", F.col("c")).otherwise(0)).alias("_jj"),
-    )
-    share = lambda c: F.coalesce(F.col(c) / F.nullif(F.col("_t"), F.lit(0)), F.lit(0.0))
-    return agg.select("uid", share("_nn").alias("noun_freq"), share("_vb").alias("verb_freq"),
-                      share("_jj").alias("adj_freq"))
+TOKEN_FEATURES = ("vocab_richness", "noun_freq", "verb_freq", "adj_freq")
+
+
+def token_features_table(msgs: DataFrame, names=TOKEN_FEATURES, pos_lexicon: DataFrame | None = None,
+                         **_) -> DataFrame:
+    """A03 and A11-A13 from ONE (uid, token) count table: distinct/total
+    tokens (case-sensitive, 2 places) and the shares of the exact tags NN,
+    VB, JJ among all tagged tokens."""
+    counts = user_token_counts(msgs)
+    pos = [n for n in names if n in ("noun_freq", "verb_freq", "adj_freq")]
+    if pos:
+        counts = pos_tag_tokens(counts, pos_lexicon)
+    aggs = [F.count(F.lit(1)).alias("_d"), F.sum("c").alias("_t")]
+    tags = {"noun_freq": "NN", "verb_freq": "VB", "adj_freq": "JJ"}
+    aggs += [F.sum(F.when(F.col("tag") == tags[n], F.col("c")).otherwise(0)).alias(f"_{n}") for n in pos]
+    agg = counts.groupBy("uid").agg(*aggs)
+    cols = []
+    if "vocab_richness" in names:
+        cols.append(round_ratio(F.col("_d"), F.col("_t")).alias("vocab_richness"))
+    cols += [F.coalesce(F.col(f"_{n}") / F.nullif(F.col("_t"), F.lit(0)), F.lit(0.0)).alias(n) for n in pos]
+    return agg.select("uid", *cols)
 
 
 # ----- A10: mean sentence length without a per-user string ----------------
 def sentence_parts(msgs: DataFrame) -> DataFrame:
     """Per message: sentence matches k, words, and the carry inputs."""
-    c = F.col("content")
-    has_term = c.rlike("[.!?]")
-    words = T.count_words(c)
+    seg = T.sentence_segments(F.col("content"))
+    has_term = F.size(seg) > 1
+    first, last = F.element_at(seg, 1), F.element_at(seg, -1)
     return msgs.select(
         "uid", "msg_id",
-        T.count_sentences(c).alias("k"),
-        words.alias("words"),
-        (has_term & ~c.rlike("^[^.!?]*" + T.WORD_CHAR)).alias("need"),
-        F.when(has_term, c.rlike(T.WORD_CHAR + r"[^.!?]*\z")).when(words > 0, F.lit(True)).alias("state"),
+        T.count_sentences(F.col("content")).alias("k"),
+        T.count_words(F.col("content")).alias("words"),
+        (has_term & ~first).alias("need"),
+        F.when(has_term, last).when(first, F.lit(True)).alias("state"),
     )
 
 
@@ -184,22 +186,28 @@ def carried_state(parts: DataFrame, block: int = DEFAULT_BLOCK) -> DataFrame:
             .select("uid", "msg_id", F.coalesce("_local", "_in", F.lit(False)).alias("carry")))
 
 
-def sentence_len_table(msgs: DataFrame, block: int = DEFAULT_BLOCK, **_) -> DataFrame:
-    """A10: words / sentences over the user's messages joined by a space in
-    msg_id order; 0 when there is no sentence; not rounded."""
-    parts = sentence_parts(msgs)
-    base = parts.groupBy("uid").agg(F.sum("k").alias("_k"), F.sum("words").alias("_w"))
-    extra = carried_state(parts, block).groupBy("uid").agg(F.count_if("carry").alias("_x"))
-    j = base.join(extra, "uid", "left")
-    sentences = F.col("_k") + F.coalesce(F.col("_x"), F.lit(0))
-    return j.select("uid", F.when(sentences > 0, F.col("_w").cast("double") / sentences)
-                    .otherwise(F.lit(0.0)).alias("mean_sentence_len"))
+def sentence_carry_table(msgs: DataFrame, block: int = DEFAULT_BLOCK, **_) -> DataFrame:
+    """(uid, _x): sentences that start in an earlier message of the user."""
+    parts = msgs.select("uid", "msg_id", "content")
+    return (carried_state(sentence_parts(parts).select("uid", "msg_id", "need", "state"), block)
+            .groupBy("uid").agg(F.count_if("carry").alias("_x")))
 
 
-register_feature(Feature("vocab_richness", ("content",), kind="table", table=vocab_richness_table, default=0.0))
-register_feature(Feature("mean_sentence_len", ("content",), kind="table", table=sentence_len_table, default=0.0))
-for _n in ("noun_freq", "verb_freq", "adj_freq"):
-    register_feature(Feature(_n, ("content",), kind="table", table=pos_share_table, default=0.0))
+def _sentence_final() -> Column:
+    sentences = F.col("_s_k") + F.coalesce(F.col("_x"), F.lit(0))
+    return F.when(sentences > 0, F.col("_s_w").cast("double") / sentences).otherwise(F.lit(0.0))
+
+
+# A10: matches and words are plain sums in the shared aggregate; only the
+# carried sentences need the ordered scan (joined in as an extra table).
+register_feature(Feature(
+    name="mean_sentence_len", required=("content",), kind="mean",
+    partials={"_p_k": lambda: T.count_sentences(F.col("content")), "_p_w": lambda: T.count_words(F.col("content"))},
+    aggs={"_s_k": lambda: F.sum("_p_k"), "_s_w": lambda: F.sum("_p_w")},
+    final=_sentence_final, table=sentence_carry_table,
+))
+for _n in TOKEN_FEATURES:
+    register_feature(Feature(_n, ("content",), kind="table", table=token_features_table, default=0.0))
 
 # The 12 features of the user vector, in vector order.
 VECTOR_FEATURES = [
@@ -221,9 +229,13 @@ def user_features(msgs: DataFrame, features: list[str] | None = None, min_chars:
                   block: int = DEFAULT_BLOCK, drop_incomplete: bool = True) -> DataFrame:
     """One row per user with ``n_msgs`` and the selected features.
 
-    P06 runs before P07 (order matters). Users with a NULL feature (the
-    sentiment mean has no labelled row) are left out when
-    ``drop_incomplete``; :func:`feature_violations` reports them."""
+    P06 runs before P07 (order matters). Plan: one per-message projection
+    (all regex counts in one codegen stage) -> one ``groupBy(uid)`` with
+    partial aggregation and the P07 HAVING; extra per-user tables (token
+    counts, carried sentences) are one row per uid and join on uid.
+    Users with a NULL feature (no labelled row for the sentiment mean) are
+    left out when ``drop_incomplete``; :func:`feature_violations` reports
+    them."""
     names = features or VECTOR_FEATURES
     feats = [REGISTRY[n] for n in names]
     needed = {"uid", "msg_id"} | {c for f in feats for c in f.required}
@@ -233,22 +245,26 @@ def user_features(msgs: DataFrame, features: list[str] | None = None, min_chars:
     partials = {k: v() for f in means for k, v in f.partials.items()}
     aggs = {k: v() for f in means for k, v in f.aggs.items()}
     per_msg = m.select("uid", *[e.alias(k) for k, e in partials.items()])
-    users = (per_msg.groupBy("uid")
-             .agg(F.count(F.lit(1)).alias("n_msgs"), *[e.alias(k) for k, e in aggs.items()])
-             .filter(F.col("n_msgs") >= min_msgs))
-    out = users.select("uid", "n_msgs", *[f.final().alias(f.name) for f in means])
+    out = (per_msg.groupBy("uid")
+           .agg(F.count(F.lit(1)).alias("n_msgs"), *[e.alias(k) for k, e in aggs.items()])
+           .filter(F.col("n_msgs") >= min_msgs))
 
     done: set[int] = set()
     for f in feats:
-        if f.kind != "table" or id(f.table) in done:
+        if f.table is None or id(f.table) in done:
             continue
         done.add(id(f.table))
-        t = f.table(m, pos_lexicon=pos_lexicon, block=block)
+        t = f.table(m, names=[g.name for g in feats if g.table is f.table], pos_lexicon=pos_lexicon, block=block)
         out = out.join(t, "uid", "left")
+    cols = []
     for f in feats:
-        if f.kind == "table" and f.default is not None:
-            out = out.withColumn(f.name, F.coalesce(F.col(f.name), F.lit(f.default)))
-    out = out.select("uid", "n_msgs", *names)
+        if f.kind == "mean":
+            cols.append(f.final().alias(f.name))
+        elif f.default is not None:
+            cols.append(F.coalesce(F.col(f.name), F.lit(f.default)).alias(f.name))
+        else:
+            cols.append(F.col(f.name))
+    out = out.select("uid", "n_msgs", *cols)
     if drop_incomplete:
         out = out.na.drop(subset=names)
     return out

@@ -17,8 +17,13 @@ BROADCAST_MAX_ROWS = 2_000_000
 def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """``F.broadcast(df)`` when ``df`` has at most ``max_rows`` rows (checked
     with one count job), else ``df`` unchanged for a shuffle join."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    cached = df.cache()
+    n = cached.limit(max_rows + 1).count()
+    if n <= max_rows:
+        cached.count()  # fully materialise the small side once
+        return F.broadcast(cached)
+    cached.unpersist()
+    return df
 
 
 def merge_user_aliases(msgs: DataFrame, alias: DataFrame, uid: str = "uid") -> DataFrame:

@@ -12,8 +12,20 @@ TABLES = (
 ).split()
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin repartition when a scan yields fewer partitions than the
+    cluster has cores (e.g. one file with a single row group), so per-row
+    text work runs on every core. A large input already scans in many
+    partitions and is left alone (no extra shuffle)."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par)
+    return df
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread_small_scans: bool = True) -> DataFrame:
     """Parquet scan; Catalyst prunes columns and pushes filters into it."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread(df) if spread_small_scans else df
