@@ -84,6 +84,31 @@ def train_classifier(train: DataFrame, kind: str = "logreg", label: str = "label
     return est.fit(train)
 
 
+def linear_svm_ovr(train: DataFrame, test: DataFrame, key: str = "msg_id", label: str = "label",
+                   features: str = "features", C: float = 0.9, tol: float = 1e-4, max_iter: int = 10) -> DataFrame:
+    """One-vs-rest linear SVMs: one binary LinearSVC per class seen in
+    training (a bounded loop over classes), prediction = class with the
+    largest margin. regParam = 1 / (C * n) matches the C of the published
+    setup. The training frame is persisted (iterative learner)."""
+    from pyspark import StorageLevel
+    tr = train.select(label, features).persist(StorageLevel.MEMORY_AND_DISK)
+    n = tr.count()
+    classes = sorted(r[0] for r in tr.select(label).distinct().collect())
+    margins = test.select(key, label, features)
+    cols = []
+    for i, c in enumerate(classes):
+        binary = tr.select(F.when(F.col(label) == c, 1.0).otherwise(0.0).alias("_y"), features)
+        m = LinearSVC(labelCol="_y", featuresCol=features, regParam=1.0 / (C * max(n, 1)), tol=tol,
+                      maxIter=max_iter).fit(binary)
+        margins = (m.setPredictionCol(f"_pred{i}").setRawPredictionCol(f"_raw{i}").transform(margins)
+                   .withColumn(f"_m{i}", vector_to_array(f"_raw{i}")[1]).drop(f"_pred{i}", f"_raw{i}"))
+        cols.append(F.col(f"_m{i}"))
+    arr = F.array(*cols)
+    best = F.array_position(arr, F.array_max(arr)) - 1
+    cls = F.element_at(F.array(*[F.lit(float(c)) for c in classes]), best.cast("int") + 1)
+    return margins.select(key, label, cls.alias("prediction"))
+
+
 def text_pipeline(vocab_size: int = 5000, extra_cols: list[str] | None = None, max_iter: int = 50,
                   reg: float = 0.01) -> Pipeline:
     """M17 (no extra columns) / M18 (``extra_cols`` = scaled user vector):

@@ -3,6 +3,7 @@ SQL-expressible scalers (M09, M11) have DuckDB oracles."""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,19 +79,12 @@ def _fit_text_model(spark, sf_dir, kind: str):
     from pyspark.ml import Pipeline
     d = MD.text_features(_emotion_data(spark, sf_dir))
     feats = Pipeline(stages=MD.tfidf_stages(2000, out="features")).fit(d.filter("split = 'train'"))
-    v = feats.transform(d)
-    train, test = v.filter("split = 'train'"), v.filter("split <> 'train'")
+    v = feats.transform(d).select("msg_id", "label", "weight", "split", "features")
+    # iterative learners re-read their input every pass: keep it materialised
+    train = v.filter("split = 'train'").persist(StorageLevel.MEMORY_AND_DISK)
+    test = v.filter("split <> 'train'")
     if kind == "svm":
-        # one-vs-rest needs every class id present in training: re-index the
-        # classes seen in training (test rows of unseen classes are skipped)
-        from pyspark.ml.feature import StringIndexer
-        idx = StringIndexer(inputCol="label", outputCol="_cls", handleInvalid="skip",
-                            stringOrderType="alphabetAsc").fit(train)
-        train = idx.transform(train).drop("label").withColumnRenamed("_cls", "label")
-        test = idx.transform(test).withColumnRenamed("label", "_orig").withColumnRenamed("_cls", "label")
-        n = train.count()
-        model = MD.train_classifier(train, kind, n=n)
-        return model.transform(test).select("msg_id", F.col("_orig").alias("label"), F.col("prediction").alias("class_index"))
+        return MD.linear_svm_ovr(train, test, key="msg_id")
     model = MD.train_classifier(train, kind, weight="weight", n=1000, numTrees=10, maxDepth=8)
     return model.transform(test).select("msg_id", "label", F.col("prediction"))
 
@@ -126,7 +120,7 @@ def sentiment_data(spark, sf_dir, with_user: bool = False) -> DataFrame:
 def fit_sentiment(spark, sf_dir, with_user: bool = False):
     d = sentiment_data(spark, sf_dir, with_user)
     pipe = MD.text_pipeline(vocab_size=5000, extra_cols=_FEATS if with_user else None)
-    model = pipe.fit(d.filter("split = 'train'"))
+    model = pipe.fit(d.filter("split = 'train'").persist(StorageLevel.MEMORY_AND_DISK))
     return model, d
 
 
