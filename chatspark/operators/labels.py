@@ -150,3 +150,54 @@ def ensemble_vote(votes: DataFrame, normalize: bool = True, n_labelers: int = 5)
     best = counts.groupBy("msg_id").agg(F.min(F.struct((-F.col("n")).alias("a"), F.col("_first").alias("b"),
                                                        F.col("label").alias("c"), F.col("n").alias("d"))).alias("w"))
     return best.select("msg_id", F.col("w.c").alias("label"), F.col("w.d").alias("votes"))
+
+
+# ---------------------------------------------------------------- F06
+def lexicon_chunk_labeler(lexicon: DataFrame, mode: str = "sign"):
+    """A labeler over chunks using the word lexicon: ``sign`` (L07) or
+    ``band`` on the normalised compound (L08). Output spellings follow the
+    long form (positive/negative/neutral)."""
+
+    def run(chunks: DataFrame) -> DataFrame:
+        c = chunks.withColumn("_cid", F.struct("msg_id", "chunk_id"))
+        s = lexicon_score(c.select("_cid", F.col("chunk").alias("content")), lexicon, key="_cid")
+        score = F.col("score")
+        lab = label_sign(score) if mode == "sign" else label_band(normalized_compound(score))
+        long = F.when(lab == "pos", "positive").when(lab == "neg", "negative").otherwise("neutral")
+        return s.select(F.col("_cid.msg_id").alias("msg_id"), F.col("_cid.chunk_id").alias("chunk_id"), long.alias("label"))
+
+    return run
+
+
+def punctuation_labeler_pandas():
+    """An outside-model style labeler run as an Arrow-batched
+    ``mapInPandas`` (the plug-in path for per-row Python models): more '!'
+    than '?' -> pos, fewer -> neg, else neu."""
+    import pandas as pd
+
+    def batches(it):
+        for pdf in it:
+            bang = pdf["chunk"].str.count("!")
+            ques = pdf["chunk"].str.count(r"\?")
+            lab = pd.Series("neu", index=pdf.index)
+            lab[bang > ques] = "pos"
+            lab[bang < ques] = "neg"
+            yield pd.DataFrame({"msg_id": pdf["msg_id"], "chunk_id": pdf["chunk_id"], "label": lab})
+
+    def run(chunks: DataFrame) -> DataFrame:
+        return chunks.select("msg_id", "chunk_id", "chunk").mapInPandas(
+            batches, "msg_id long, chunk_id int, label string")
+
+    return run
+
+
+def run_labelers(chunks: DataFrame, labelers: list) -> DataFrame:
+    """apply each labeler ``fn(chunks) -> (msg_id, chunk_id, label)``;
+    a failing labeler row gives ``Err`` (L13). Returns the vote table
+    (msg_id, chunk_id, labeler, label) for :func:`ensemble_vote`."""
+    votes = None
+    for i, fn in enumerate(labelers):
+        v = fn(chunks).select("msg_id", F.col("chunk_id").cast("int").alias("chunk_id"), F.lit(i).alias("labeler"),
+                              F.coalesce(F.col("label"), F.lit("Err")).alias("label"))
+        votes = v if votes is None else votes.unionByName(v)
+    return votes

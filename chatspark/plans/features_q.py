@@ -180,3 +180,37 @@ SELECT count(*) FILTER (WHERE uid IS NULL) AS missing_uid, count(*) FILTER (WHER
 def quality_checks(spark, sf_dir):
     from ..operators.clean import quality_checks as qc
     return qc(Fixtures(spark, sf_dir).msgs_dirty)
+
+
+# a feature registered by the caller joins the shared aggregate
+FT.register_feature(FT.Feature(
+    name="mean_exclamations", required=("content",),
+    partials={"_p_excl": lambda: F.coalesce(F.length("content") - F.length(F.replace(F.col("content"), F.lit("!"), F.lit(""))), F.lit(0))},
+    aggs={"_s_excl": lambda: F.sum("_p_excl")},
+    final=lambda: FT.round_ratio(F.col("_s_excl"), F.col("n_msgs")),
+))
+_EXCL = "(length(content) - length(replace(content, '!', '')))"
+
+
+@query("custom_feature", "F05/P18", duck_user_features(["mean_wordcount"]).replace(
+    f"sum({_MEAN_EXPR['mean_wordcount']}) AS s_mean_wordcount", f"sum({_MEAN_EXPR['mean_wordcount']}) AS s_mean_wordcount, sum({_EXCL}) AS s_excl").replace(
+    "AS mean_wordcount FROM u", f"AS mean_wordcount, {rr('s_excl', 'a.n')} AS mean_exclamations FROM u").replace(
+    "WHERE mean_wordcount IS NOT NULL", "WHERE mean_wordcount IS NOT NULL AND mean_exclamations IS NOT NULL"))
+def custom_feature(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    return FT.user_features(fx.msgs, ["mean_wordcount", "mean_exclamations"], min_chars=MIN_CHARS, min_msgs=MIN_MSGS)
+
+
+@query("feat_mean_attachments", "A16/A17", f"""
+SELECT user_id AS uid, {rr('sum(coalesce(length(props), 0))', 'count(*)')} AS mean_attachments,
+  {rr("sum(CASE WHEN props IS NULL OR props = '' THEN 0 ELSE len(string_split(props, ',')) END)", 'count(*)')} AS mean_quotes
+FROM events GROUP BY user_id""")
+def feat_mean_attachments(spark, sf_dir):
+    """A16/A17 over a comma-list text column (``events.props``): mean
+    string length and mean list size per user."""
+    ev = Fixtures(spark, sf_dir).events
+    a = ev.groupBy(F.col("user_id").alias("uid")).agg(
+        F.sum(FT.T.attachment_length("props")).alias("_l"), F.sum(FT.T.attachment_list_size("props")).alias("_q"),
+        F.count(F.lit(1)).alias("_n"))
+    return a.select("uid", FT.round_ratio(F.col("_l"), F.col("_n")).alias("mean_attachments"),
+                    FT.round_ratio(F.col("_q"), F.col("_n")).alias("mean_quotes"))

@@ -112,3 +112,13 @@ def split_hash(spark, sf_dir):
        "SELECT msg_id, row_number() OVER (ORDER BY md5(CAST(msg_id AS VARCHAR) || '69'), msg_id) - 1 AS pos FROM msgs")
 def shuffle_rows(spark, sf_dir):
     return S.shuffle_rows(Fixtures(spark, sf_dir).msgs.select("msg_id")).select("msg_id", "pos")
+
+
+@query("union_user_matrices", "U02", duck_user_features(_FEATS))
+def union_user_matrices(spark, sf_dir):
+    """Stack the vectors of two user groups (English / other sources)."""
+    fx = Fixtures(spark, sf_dir)
+    users = FT.user_features(fx.msgs, pos_lexicon=fx.pos_lexicon)
+    en = users.filter(F.col("uid").startswith("en-"))
+    other = users.filter(~F.col("uid").startswith("en-"))
+    return S.union_datasets(en, other)

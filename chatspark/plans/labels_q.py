@@ -162,3 +162,33 @@ def safe_label(spark, sf_dir):
 def remap_clamp_ids(spark, sf_dir):
     p = Fixtures(spark, sf_dir).preds
     return p.select("msg_id", L.remap_clamp_ids(F.floor(F.col("a0") / 100)).alias("y"))
+
+
+_CHUNKS = f"""
+, ch AS (SELECT msg_id, chunk_id, chunk FROM (
+  SELECT msg_id, CAST(i AS INTEGER) AS chunk_id, {D.py_strip('substring(content, i * 510 + 1, 510)')} AS chunk
+  FROM (SELECT msg_id, content, unnest(range(greatest(length(content) - 1, 0) // 510 + 1)) AS i FROM msgs)) WHERE chunk <> ''),
+cw AS (SELECT msg_id, chunk_id, lower(w) AS word FROM (SELECT msg_id, chunk_id, unnest(regexp_extract_all(chunk, '[\\p{{L}}\\p{{N}}_]+')) AS w FROM ch)),
+cs AS (SELECT ch.msg_id, ch.chunk_id, ch.chunk, coalesce(sum(l.weight), 0) AS s FROM ch LEFT JOIN cw ON cw.msg_id = ch.msg_id AND cw.chunk_id = ch.chunk_id
+  LEFT JOIN lexicon l ON l.word = cw.word GROUP BY ch.msg_id, ch.chunk_id, ch.chunk),
+votes3 AS (
+  SELECT msg_id, chunk_id, 0 AS labeler, CASE WHEN s > 0 THEN 'pos' WHEN s < 0 THEN 'neg' ELSE 'neu' END AS label FROM cs
+  UNION ALL SELECT msg_id, chunk_id, 1, CASE WHEN s / sqrt(s * s + 15.0) > 0.05 THEN 'pos' WHEN s / sqrt(s * s + 15.0) < -0.05 THEN 'neg' ELSE 'neu' END FROM cs
+  UNION ALL SELECT msg_id, chunk_id, 2, CASE WHEN length(chunk) - length(replace(chunk, '!', '')) > length(chunk) - length(replace(chunk, '?', '')) THEN 'pos'
+    WHEN length(chunk) - length(replace(chunk, '!', '')) < length(chunk) - length(replace(chunk, '?', '')) THEN 'neg' ELSE 'neu' END FROM cs),
+c AS (SELECT msg_id, label, count(*) AS n, min(chunk_id * 3 + labeler) AS f FROM votes3 GROUP BY msg_id, label),
+r AS (SELECT *, row_number() OVER (PARTITION BY msg_id ORDER BY n DESC, f, label) AS rk FROM c)
+SELECT msg_id, label, n AS votes FROM r WHERE rk = 1"""
+
+
+@query("custom_labeler_vote", "F06", duck_with("msgs", "lexicon") + _CHUNKS.replace("{{", "{").replace("}}", "}"))
+def custom_labeler_vote(spark, sf_dir):
+    """Chunk every message (X05), run three pluggable labelers (two lexicon
+    labelers and an Arrow-batched pandas labeler) and vote (L11)."""
+    from ..operators.clean import chunk_text
+    fx = Fixtures(spark, sf_dir)
+    chunks = chunk_text(fx.msgs.select("msg_id", "content"))
+    labelers = [L.lexicon_chunk_labeler(fx.lexicon, "sign"), L.lexicon_chunk_labeler(fx.lexicon, "band"),
+                L.punctuation_labeler_pandas()]
+    votes = L.run_labelers(chunks, labelers)
+    return L.ensemble_vote(votes, normalize=True, n_labelers=3)

@@ -182,3 +182,38 @@ SELECT msg_id, content FROM (SELECT msg_id, {D.strip(D.strip(D.strip('content',
   FROM msgs_dirty) WHERE content IS NOT NULL AND content <> ''""")
 def clean_messages(spark, sf_dir):
     return C.clean_messages(Fixtures(spark, sf_dir).msgs_dirty).select("msg_id", "content")
+
+
+@query("encode_pad", "X20", duck_with("msgs") + """
+, t AS (SELECT msg_id, unnest(regexp_extract_all(lower(content), '[\\p{L}\\p{N}_]{2,}')) AS token,
+    unnest(range(len(regexp_extract_all(lower(content), '[\\p{L}\\p{N}_]{2,}')))) AS pos FROM msgs),
+v AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) AS id FROM t GROUP BY token),
+s AS (SELECT m.msg_id, coalesce(list(v.id ORDER BY t.pos) FILTER (WHERE v.id IS NOT NULL), []) AS ids
+  FROM msgs m LEFT JOIN t ON t.msg_id = m.msg_id LEFT JOIN v ON v.token = t.token GROUP BY m.msg_id),
+b AS (SELECT *, max(least(len(ids), 512)) OVER (PARTITION BY floor(msg_id / 32)) AS L FROM s)
+SELECT msg_id, list_concat(ids[1:512], list_resize([]::BIGINT[], greatest(L - least(len(ids), 512), 0), 0)) AS input_ids,
+  list_concat(list_resize([]::INTEGER[], least(len(ids), 512), 1), list_resize([]::INTEGER[], greatest(L - least(len(ids), 512), 0), 0)) AS attention_mask
+FROM b""")
+def encode_pad(spark, sf_dir):
+    from ..operators.encode import build_vocabulary
+    from ..operators.encode import encode_pad as ep
+    m = Fixtures(spark, sf_dir).msgs.select("msg_id", "content")
+    return ep(m, build_vocabulary(m), batch_size=32)
+
+
+@query("drop_unnamed", "P01", duck_with("msgs") + "SELECT msg_id, uid, content, sentiment FROM msgs")
+def drop_unnamed(spark, sf_dir):
+    m = Fixtures(spark, sf_dir).msgs.withColumn("Unnamed: 0", F.col("msg_id") - 1)
+    return C.drop_prefixed(m, "Unnamed")
+
+
+@query("rename_positional", "P02", duck_with("msgs") +
+       "SELECT msg_id AS id, uid AS user_id, content AS text, sentiment AS label FROM msgs")
+def rename_positional(spark, sf_dir):
+    return C.rename_positional(Fixtures(spark, sf_dir).msgs, ["id", "user_id", "text", "label"])
+
+
+@query("rename_drop_if_present", "P03", duck_with("msgs") + "SELECT msg_id, uid, content, sentiment FROM msgs")
+def rename_drop_if_present(spark, sf_dir):
+    m = Fixtures(spark, sf_dir).msgs.withColumnRenamed("sentiment", "neu").withColumn("nan", F.lit(None).cast("string"))
+    return C.rename_drop_if_present(m)
