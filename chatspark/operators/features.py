@@ -278,7 +278,7 @@ def as_vector(users: DataFrame, names: list[str] | None = None, col: str = "user
 
 # ----- time features over events (W01-W03) ----------------------------------
 def response_time_table(events: DataFrame, uid: str = "uid", ts: str = "ts", order: str = "event_id",
-                        max_gap_s: int = 3600, block: str = "day") -> DataFrame:
+                        max_gap_s: int = 3600, block: str = "hour") -> DataFrame:
     """Gaps between consecutive messages of a user (ts, id order);
     gaps < ``max_gap_s`` kept; mean seconds, 2 places; 0 when none.
 

@@ -142,7 +142,7 @@ def feat_msgs_per_day(spark, sf_dir):
 
 
 @query("feat_active_hours", "W03", """
-WITH c AS (SELECT user_id AS uid, hour(ts) AS hour, count(*) AS n FROM events GROUP BY ALL),
+WITH c AS (SELECT user_id AS uid, CAST(hour(ts) AS INTEGER) AS hour, count(*) AS n FROM events GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY n DESC, hour) AS rank FROM c)
 SELECT uid, hour, n, rank FROM r WHERE rank <= 3""")
 def feat_active_hours(spark, sf_dir):

@@ -122,3 +122,11 @@ def union_user_matrices(spark, sf_dir):
     en = users.filter(F.col("uid").startswith("en-"))
     other = users.filter(~F.col("uid").startswith("en-"))
     return S.union_datasets(en, other)
+
+
+@query("shared_columns", "U03")
+def shared_columns(spark, sf_dir):
+    """Column-name intersection of two tables minus one name (schema only)."""
+    fx = Fixtures(spark, sf_dir)
+    cols = S.shared_columns(fx.msgs, fx.msgs_dirty, minus=("msg_id",))
+    return spark.createDataFrame([(c,) for c in cols], "column string")

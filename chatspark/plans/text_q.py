@@ -217,3 +217,19 @@ def rename_positional(spark, sf_dir):
 def rename_drop_if_present(spark, sf_dir):
     m = Fixtures(spark, sf_dir).msgs.withColumnRenamed("sentiment", "neu").withColumn("nan", F.lit(None).cast("string"))
     return C.rename_drop_if_present(m)
+
+
+@query("reject_column", "P04")
+def reject_column(spark, sf_dir):
+    """Run the guard on a clean frame and on one with a ``nan`` column; one
+    row per case with the raised message (the guard itself raises)."""
+    m = Fixtures(spark, sf_dir).msgs
+    cases = {"clean": m, "with_nan_column": m.withColumn("nan", F.when(F.col("msg_id") % 7 == 3, F.lit("x")))}
+    rows = []
+    for name, df in cases.items():
+        try:
+            C.reject_column(df)
+            rows.append((name, False, None))
+        except ValueError as e:
+            rows.append((name, True, str(e)))
+    return spark.createDataFrame(rows, "case string, raised boolean, message string")

@@ -68,7 +68,7 @@ FROM {{documents}} d LATERAL VIEW posexplode({_EMO_ARRAY}) e AS k, emotion
 _EMOTIONS_DUCK = f"""
 SELECT doc_id, k, list_extract({_EMO_LIST}, k + 1) AS emotion,
   CASE WHEN (doc_id * (k + 1) + k * k) % 11 = 0 THEN 1 ELSE 0 END AS flag
-FROM (SELECT doc_id, unnest(range(28)) AS k FROM {{documents}})
+FROM (SELECT doc_id, CAST(unnest(range(28)) AS INTEGER) AS k FROM {{documents}})
 """
 
 
@@ -129,8 +129,8 @@ LATERAL VIEW explode(sequence(0, 4)) v AS labeler
 """
 _VOTES_DUCK = f"""
 SELECT msg_id, chunk_id, labeler, {_VOTE_LABEL}
-FROM (SELECT msg_id, chunk_id, unnest(range(5)) AS labeler
-      FROM (SELECT msg_id, unnest(range(greatest(length(content) - 1, 0) // 510 + 1)) AS chunk_id FROM {{msgs}}))
+FROM (SELECT msg_id, chunk_id, CAST(unnest(range(5)) AS INTEGER) AS labeler
+      FROM (SELECT msg_id, CAST(unnest(range(greatest(length(content) - 1, 0) // 510 + 1)) AS INTEGER) AS chunk_id FROM {{msgs}}))
 """
 
 _PREDS_SPARK = """
@@ -152,7 +152,7 @@ FROM {msgs} LATERAL VIEW explode(sequence(0, 7)) t AS topic
 """
 _TOPIC_WEIGHTS_DUCK = """
 SELECT msg_id, uid, topic, CAST((msg_id * 31 + topic * 17) % 101 AS INT) AS w
-FROM (SELECT msg_id, uid, unnest(range(8)) AS topic FROM {msgs})
+FROM (SELECT msg_id, uid, CAST(unnest(range(8)) AS INTEGER) AS topic FROM {msgs})
 """
 
 # name -> (dependencies, spark text, duckdb text)
