@@ -154,7 +154,7 @@ def feat_active_hours(spark, sf_dir):
 , tk AS (SELECT unnest({D.tokens('content')}) AS token FROM msgs),
 c AS (SELECT token, count(*) AS c FROM tk GROUP BY token),
 k AS (SELECT token, c, {_TAG_KEY} AS k FROM c)
-SELECT coalesce(pl.tag, {_DEFAULT_TAG}) AS tag, sum(c) AS n FROM k LEFT JOIN pos_lexicon pl ON pl.word = k.k GROUP BY 1""")
+SELECT coalesce(pl.tag, {_DEFAULT_TAG}) AS tag, CAST(sum(c) AS BIGINT) AS n FROM k LEFT JOIN pos_lexicon pl ON pl.word = k.k GROUP BY 1""")
 def pos_tag_tokens_q(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
     toks = (fx.msgs.select(F.explode(FT.T.tokens_ws("content")).alias("token"))

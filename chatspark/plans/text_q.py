@@ -17,6 +17,8 @@ def _per_msg(name, sid, spark_fn, duck_expr, col="n", source="msgs"):
         df = Fixtures(spark, sf_dir).get(source)
         return df.select("msg_id", spark_fn(F.col("content")).alias(col))
 
+    if col == "n":  # counts are INTEGER in Spark
+        duck_expr = f"CAST({duck_expr} AS INTEGER)"
     query(name, sid, duck_with(source) + f"SELECT msg_id, {duck_expr} AS {col} FROM {source}")(build)
 
 
@@ -39,7 +41,8 @@ _per_msg("count_hashtags", "X12", T.count_hashtags, D.count("content", D.HASHTAG
 
 
 @query("count_sentences", "X15", duck_with("msgs") +
-       f"SELECT msg_id, {D.count('content', D.SENTENCE)} AS n_sentences, {D.count('content', D.WORD_RUN)} AS n_words FROM msgs")
+       f"SELECT msg_id, CAST({D.count('content', D.SENTENCE)} AS INTEGER) AS n_sentences, "
+       f"CAST({D.count('content', D.WORD_RUN)} AS INTEGER) AS n_words FROM msgs")
 def count_sentences(spark, sf_dir):
     m = Fixtures(spark, sf_dir).msgs
     return m.select("msg_id", T.count_sentences("content").alias("n_sentences"), T.count_words("content").alias("n_words"))
