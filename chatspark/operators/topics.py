@@ -28,10 +28,18 @@ def terms(col: Column | str, stop_words: list[str] | None = None) -> Column:
     return toks
 
 
+def exploded_terms(docs: DataFrame, cols: list, text: str = "content",
+                   stop_words: list[str] | None = None) -> DataFrame:
+    """One row per term occurrence; stop words are removed after the
+    explode with a plain IN filter (compiled, no lambda per array)."""
+    out = docs.select(*cols, F.explode(terms(text)).alias("term"))
+    return out.filter(~F.col("term").isin(*stop_words)) if stop_words else out
+
+
 def doc_terms(docs: DataFrame, key: str = "msg_id", text: str = "content",
               stop_words: list[str] | None = None) -> DataFrame:
     """(key, term, tf): term counts per document."""
-    return (docs.select(key, F.explode(terms(text, stop_words)).alias("term"))
+    return (exploded_terms(docs, [key], text, stop_words)
             .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
@@ -113,7 +121,7 @@ def class_tfidf(docs: DataFrame, cls: str, text: str = "content", top_n: int = 1
     """Class-based TF-IDF (published BERTopic weighting): per class the
     L1-normalised term frequency times ln(1 + A / f(t)), A = mean words per
     class, f(t) = frequency of t over all classes; top terms per class."""
-    ct = (docs.select(F.col(cls).alias("cls"), F.explode(terms(text, stop_words)).alias("term"))
+    ct = (exploded_terms(docs, [F.col(cls).alias("cls")], text, stop_words)
           .groupBy("cls", "term").agg(F.count(F.lit(1)).alias("tf")))
     per_class = ct.groupBy("cls").agg(F.sum("tf").alias("_words"))
     avg_words = per_class.agg(F.avg("_words").alias("_A"))
