@@ -133,13 +133,23 @@ def feature_store(spark, sf_dir):
     return K.read_feature_store(spark, path)
 
 
-@query("sink_report", "S14")
+def _verdict_sql() -> str:
+    from .metrics_q import _MT
+    return _MT + """
+, w AS (SELECT metric, max(value) FILTER (WHERE model = 'a') AS baseline, max(value) FILTER (WHERE model = 'b') AS candidate FROM mt GROUP BY metric)
+SELECT metric, round(baseline, 6) AS baseline, round(candidate, 6) AS candidate, candidate > baseline * 1.05 AS practical FROM w"""
+
+
+@query("sink_report", "S14", _verdict_sql())
 def sink_report(spark, sf_dir):
+    """The verdict table written as JSON lines and read back."""
     from .metrics_q import metric_table
     from ..operators import metrics as M
     path = scratch(spark, "s14")
-    K.write_report(M.metric_verdict(metric_table(spark, sf_dir)), path)
-    return spark.read.json(path)
+    v = M.metric_verdict(metric_table(spark, sf_dir))
+    K.write_report(v.select("metric", F.round("baseline", 6).alias("baseline"), F.round("candidate", 6).alias("candidate"),
+                            "practical"), path)
+    return spark.read.schema("metric string, baseline double, candidate double, practical boolean").json(path)
 
 
 @query("save_model", "S15")
