@@ -42,6 +42,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster "
+                               "(checkpoints, written tables and stream state go there)")
+        # local mode only (tests, bench): a scratch folder on this machine
         conf_dir = tempfile.mkdtemp(prefix="chatspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir) if _conf_settable(spark) else None
     sc.setCheckpointDir(conf_dir)
