@@ -244,12 +244,17 @@ def user_features(msgs: DataFrame, features: list[str] | None = None, min_chars:
     means = [f for f in feats if f.kind == "mean"]
     partials = {k: v() for f in means for k, v in f.partials.items()}
     aggs = {k: v() for f in means for k, v in f.aggs.items()}
-    per_msg = m.select("uid", *[e.alias(k) for k, e in partials.items()])
-    out = (per_msg.groupBy("uid")
-           .agg(F.count(F.lit(1)).alias("n_msgs"), *[e.alias(k) for k, e in aggs.items()])
-           .filter(F.col("n_msgs") >= min_msgs))
+    sentence = "mean_sentence_len" in names
+    if sentence:
+        out = _blocked_aggregate(m, partials, aggs, block)
+    else:
+        per_msg = m.select("uid", *[e.alias(k) for k, e in partials.items()])
+        out = per_msg.groupBy("uid").agg(F.count(F.lit(1)).alias("n_msgs"), *[e.alias(k) for k, e in aggs.items()])
+    out = out.filter(F.col("n_msgs") >= min_msgs)
 
     done: set[int] = set()
+    if sentence:
+        done.add(id(sentence_carry_table))  # carried in-line by _blocked_aggregate
     for f in feats:
         if f.table is None or id(f.table) in done:
             continue
@@ -270,6 +275,38 @@ def user_features(msgs: DataFrame, features: list[str] | None = None, min_chars:
     return out
 
 
+def _blocked_aggregate(m: DataFrame, partials: dict, aggs: dict, block: int) -> DataFrame:
+    """The shared aggregate when mean sentence length is requested: ONE text
+    pass yields every per-message count plus the carry inputs; rows shuffle
+    once by (uid, msg_id block) -- bounded groups even for a hot user --
+    where the in-block carry (window) and the per-block sums are computed
+    on the same partitioning; a window over one row per (user, block)
+    brings in the state of earlier blocks; then the per-user sums. All
+    registered aggregates must be additive (sums or counts)."""
+    seg = T.sentence_segments(F.col("content"))
+    has_term = F.size(seg) > 1
+    first, last = F.element_at(seg, 1), F.element_at(seg, -1)
+    per_msg = m.select(
+        "uid", "msg_id", F.floor(F.col("msg_id") / F.lit(block)).cast("long").alias("_blk"),
+        *[e.alias(k) for k, e in partials.items()],
+        (has_term & ~first).alias("_need"),
+        F.when(has_term, last).when(first, F.lit(True)).alias("_state"))
+    w_in = Window.partitionBy("uid", "_blk").orderBy("msg_id").rowsBetween(Window.unboundedPreceding, -1)
+    per_msg = per_msg.withColumn("_local", F.last("_state", ignorenulls=True).over(w_in))
+    last_state = F.max(F.struct(F.when(F.col("_state").isNotNull(), F.col("msg_id")).alias("i"),
+                                F.col("_state").alias("s")))["s"]
+    blocks = per_msg.groupBy("uid", "_blk").agg(
+        F.count(F.lit(1)).alias("_n"), *[e.alias(k) for k, e in aggs.items()],
+        F.count_if(F.col("_need") & F.col("_local")).alias("_xl"),
+        F.count_if(F.col("_need") & F.col("_local").isNull()).alias("_xo"),
+        last_state.alias("_bs"))
+    w_blk = Window.partitionBy("uid").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_in", F.last("_bs", ignorenulls=True).over(w_blk))
+    carried = F.col("_xl") + F.when(F.col("_in"), F.col("_xo")).otherwise(F.lit(0))
+    return blocks.groupBy("uid").agg(F.sum("_n").alias("n_msgs"), *[F.sum(k).alias(k) for k in aggs],
+                                     F.sum(carried).alias("_x"))
+
+
 def as_vector(users: DataFrame, names: list[str] | None = None, col: str = "user_vec") -> DataFrame:
     """The features as one ``array<double>`` column (for models)."""
     names = names or VECTOR_FEATURES

@@ -61,3 +61,19 @@ def test_round_ratio_half_even(spark):
     df = spark.createDataFrame([(1, 8), (3, 8), (23, 40), (2, 3)], "n long, d long")
     got = [r[0] for r in df.select(round_ratio(F.col("n"), F.col("d"))).collect()]
     assert got == [0.12, 0.38, 0.58, 0.67]
+
+
+def test_blocked_aggregate_independent_of_block_size(spark):
+    rows = [(mid, u, c + " filler text to pass the length rule") for mid, u, c in _messages(seed=11, users=4, per_user=60)]
+    df = spark.createDataFrame(rows, "msg_id long, uid string, content string")
+    names = ["mean_wordcount", "mean_punct", "mean_sentence_len"]
+    small = sorted(tuple(r) for r in FT.user_features(df, names, min_msgs=1, block=3).collect())
+    large = sorted(tuple(r) for r in FT.user_features(df, names, min_msgs=1).collect())
+    assert small == large
+    by_user = {}
+    for mid, u, c in sorted(rows):
+        by_user.setdefault(u, []).append(c)
+    for r in large:
+        s = " ".join(by_user[r[0]])
+        n_s, n_w = len(PY_SENT.findall(s)), len(PY_WORD.findall(s))
+        assert r[4] == (n_w / n_s if n_s else 0)
