@@ -9,10 +9,11 @@ it may be broadcast. Top-k per group uses pre-aggregated, bounded groups
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import cut_lineage
 from .ordered import top_k_per_group
 
 # \b\w\w+\b on lower-cased text: runs of two or more Unicode word characters
@@ -97,8 +98,10 @@ def tfidf(train: DataFrame, test: DataFrame, key: str = "msg_id", text: str = "c
     te = doc_terms(test, key, text, stop_words)
     v = idf if max_features is None else F.broadcast(idf)
     w = te.join(v, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norms = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-    return w.join(norms, key).select(key, "term", (F.col("w") / F.col("_norm")).alias("weight"))
+    # L2 norm per document with a window over the document's own terms
+    # (bounded by its distinct terms): no self-join, one pass over the text
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return w.select(key, "term", (F.col("w") / norm).alias("weight"))
 
 
 def _with_total(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -123,6 +126,9 @@ def class_tfidf(docs: DataFrame, cls: str, text: str = "content", top_n: int = 1
     class, f(t) = frequency of t over all classes; top terms per class."""
     ct = (exploded_terms(docs, [F.col(cls).alias("cls")], text, stop_words)
           .groupBy("cls", "term").agg(F.count(F.lit(1)).alias("tf")))
+    # the (class, term) counts feed three branches: write them once to the
+    # shared checkpoint folder instead of re-reading the text three times
+    ct = cut_lineage(ct)
     per_class = ct.groupBy("cls").agg(F.sum("tf").alias("_words"))
     avg_words = per_class.agg(F.avg("_words").alias("_A"))
     ft = ct.groupBy("term").agg(F.sum("tf").alias("_ft"))
