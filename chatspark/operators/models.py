@@ -11,7 +11,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import (IDF, PCA, CountVectorizer, MaxAbsScaler, StandardScaler, VectorAssembler)
+from pyspark.ml.feature import IDF, PCA, CountVectorizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame
@@ -201,5 +201,3 @@ def scale_user_features(df: DataFrame, cols: list[str]) -> DataFrame:
     v = assemble(df, cols, "_u")
     return StandardScaler(inputCol="_u", outputCol="user_scaled", withMean=True, withStd=True).fit(v).transform(v).drop("_u")
 
-
-__all__ = ["MaxAbsScaler"]

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.lexicons import EMOTIONS
 from ..operators import labels as L
 from ..operators import metrics as M
-from ..operators.ordered import top_k_per_group
 from ..sources.fixtures import Fixtures, duck_with
 from .registry import query
 from .text_q import DUCK_TOPIC_WORDS

@@ -14,7 +14,7 @@ from ..operators import labels as L
 from ..operators import metrics as M
 from ..operators import models as MD
 from ..operators import sets as S
-from ..sources.fixtures import Fixtures, duck_with
+from ..sources.fixtures import Fixtures
 from .features_q import duck_user_features
 from .registry import query
 

@@ -6,7 +6,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.lexicons import EMOTIONS
 from ..operators import features as FT
 from ..operators import sets as S
 from ..sources import readers as R
@@ -170,5 +169,3 @@ def overlength_side_output(spark, sf_dir):
     m = Fixtures(spark, sf_dir).msgs.select("msg_id", "content")
     return K.overlength_side_output(m, scratch(spark, "s16-side"), 512)
 
-
-_ = EMOTIONS
