@@ -93,6 +93,23 @@ register_feature(Feature(
 ))
 
 
+def _first_valid_tokens() -> Column:
+    valid = F.col("uid").isNotNull() & F.col("content").isNotNull() & F.col("sentiment").isNotNull()
+    return F.when(valid, F.struct(F.col("msg_id").alias("i"), T.count_tokens_ws("content").alias("t")))
+
+
+# A07 compat: additionally NULL (user rejected) when the user's first
+# complete message (msg_id order) has no token
+register_feature(Feature(
+    name="mean_sentiment_compat",
+    required=("msg_id", "content", "sentiment"),
+    partials={"_p_sent": _sentiment_partial, "_p_first": _first_valid_tokens},
+    aggs={"_s_sent": lambda: F.sum("_p_sent"), "_n_sent": lambda: F.count("_p_sent"),
+          "_first": (lambda: F.min("_p_first"), "min")},
+    final=lambda: F.when(F.col("_first")["t"] >= 1, round_ratio(F.col("_s_sent"), F.col("_n_sent"))),
+))
+
+
 # ----- token table features (A03, A11-A13) ---------------------------------
 def user_token_counts(msgs: DataFrame) -> DataFrame:
     """(uid, token, c): whitespace tokens counted per user. Pre-aggregating
@@ -243,10 +260,11 @@ def user_features(msgs: DataFrame, features: list[str] | None = None, min_chars:
 
     means = [f for f in feats if f.kind == "mean"]
     partials = {k: v() for f in means for k, v in f.partials.items()}
-    aggs = {k: v() for f in means for k, v in f.aggs.items()}
+    aggs = {k: (v[0]() if isinstance(v, tuple) else v()) for f in means for k, v in f.aggs.items()}
+    reaggs = {k: (v[1] if isinstance(v, tuple) else "sum") for f in means for k, v in f.aggs.items()}
     sentence = "mean_sentence_len" in names
     if sentence:
-        out = _blocked_aggregate(m, partials, aggs, block)
+        out = _blocked_aggregate(m, partials, aggs, block, reaggs)
     else:
         per_msg = m.select("uid", *[e.alias(k) for k, e in partials.items()])
         out = per_msg.groupBy("uid").agg(F.count(F.lit(1)).alias("n_msgs"), *[e.alias(k) for k, e in aggs.items()])
@@ -275,14 +293,18 @@ def user_features(msgs: DataFrame, features: list[str] | None = None, min_chars:
     return out
 
 
-def _blocked_aggregate(m: DataFrame, partials: dict, aggs: dict, block: int) -> DataFrame:
+def _blocked_aggregate(m: DataFrame, partials: dict, aggs: dict, block: int,
+                       reaggs: dict | None = None) -> DataFrame:
     """The shared aggregate when mean sentence length is requested: ONE text
     pass yields every per-message count plus the carry inputs; rows shuffle
     once by (uid, msg_id block) -- bounded groups even for a hot user --
     where the in-block carry (window) and the per-block sums are computed
     on the same partitioning; a window over one row per (user, block)
     brings in the state of earlier blocks; then the per-user sums. All
-    registered aggregates must be additive (sums or counts)."""
+    registered aggregates must combine across blocks: sums and counts are
+    summed, ``(fn, "min")`` / ``(fn, "max")`` specs are re-aggregated so."""
+    reaggs = reaggs or {}
+    combine = {"sum": F.sum, "min": F.min, "max": F.max}
     seg = T.sentence_segments(F.col("content"))
     has_term = F.size(seg) > 1
     first, last = F.element_at(seg, 1), F.element_at(seg, -1)
@@ -303,7 +325,8 @@ def _blocked_aggregate(m: DataFrame, partials: dict, aggs: dict, block: int) ->
     w_blk = Window.partitionBy("uid").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_in", F.last("_bs", ignorenulls=True).over(w_blk))
     carried = F.col("_xl") + F.when(F.col("_in"), F.col("_xo")).otherwise(F.lit(0))
-    return blocks.groupBy("uid").agg(F.sum("_n").alias("n_msgs"), *[F.sum(k).alias(k) for k in aggs],
+    return blocks.groupBy("uid").agg(F.sum("_n").alias("n_msgs"),
+                                     *[combine[reaggs.get(k, "sum")](k).alias(k) for k in aggs],
                                      F.sum(carried).alias("_x"))
 
 

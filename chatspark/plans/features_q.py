@@ -214,3 +214,15 @@ def feat_mean_attachments(spark, sf_dir):
         F.count(F.lit(1)).alias("_n"))
     return a.select("uid", FT.round_ratio(F.col("_l"), F.col("_n")).alias("mean_attachments"),
                     FT.round_ratio(F.col("_q"), F.col("_n")).alias("mean_quotes"))
+
+
+@query("feat_mean_sentiment_compat", "A07 compat", duck_with("msgs") + f"""
+, m AS (SELECT msg_id, uid, {D.strip('content', D.CUSTOM_EMOJI)} AS content, sentiment FROM msgs WHERE length(content) >= {MIN_CHARS}),
+a AS (SELECT uid, count(*) AS n, sum({_SENT_SCORE}) AS s, count({_SENT_SCORE}) AS c,
+  arg_min({D.n_tokens('content')}, msg_id) FILTER (WHERE uid IS NOT NULL AND content IS NOT NULL AND sentiment IS NOT NULL) AS ft
+  FROM m GROUP BY uid HAVING count(*) >= {MIN_MSGS})
+SELECT uid, n AS n_msgs, v AS mean_sentiment_compat FROM (
+  SELECT uid, n, CASE WHEN ft >= 1 THEN {rr('s', 'c')} END AS v FROM a) WHERE v IS NOT NULL""")
+def feat_mean_sentiment_compat(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    return FT.user_features(fx.msgs, ["mean_sentiment_compat"], min_chars=MIN_CHARS, min_msgs=MIN_MSGS)

@@ -77,3 +77,14 @@ def test_blocked_aggregate_independent_of_block_size(spark):
         s = " ".join(by_user[r[0]])
         n_s, n_w = len(PY_SENT.findall(s)), len(PY_WORD.findall(s))
         assert r[4] == (n_w / n_s if n_s else 0)
+
+
+def test_sentiment_compat_first_message_rule(spark):
+    rows = [(1, "a", " " * 30, "pos"), (2, "a", "real words here for the length rule", "neg"),
+            (3, "b", "real words here for the length rule", "pos"), (4, "b", " " * 30, "neg")]
+    df = spark.createDataFrame(rows, "msg_id long, uid string, content string, sentiment string")
+    for names in (["mean_sentiment_compat"], ["mean_sentiment_compat", "mean_sentence_len"]):
+        out = {r["uid"]: r["mean_sentiment_compat"] for r in
+               FT.user_features(df, names, min_msgs=1, block=2, drop_incomplete=False).collect()}
+        assert out["a"] is None            # first complete message has no token
+        assert out["b"] == 1.0             # (2 + 0) / 2
