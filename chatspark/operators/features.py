@@ -171,6 +171,20 @@ def token_features_table(msgs: DataFrame, names=TOKEN_FEATURES, pos_lexicon: Dat
     return agg.select("uid", *cols)
 
 
+def vocab_richness_approx_table(msgs: DataFrame, rsd: float = 0.01, **_) -> DataFrame:
+    """A03 scale variant: distinct tokens per user from a HyperLogLog++
+    estimate (``approx_count_distinct``). The sketch is combined map-side,
+    so the shuffle carries one small buffer per (user, partition) instead
+    of one row per (user, token); relative error about ``rsd``."""
+    t = msgs.select("uid", F.explode(T.tokens_ws("content")).alias("token"))
+    agg = t.groupBy("uid").agg(F.approx_count_distinct("token", rsd).alias("_d"), F.count(F.lit(1)).alias("_t"))
+    return agg.select("uid", round_ratio(F.col("_d"), F.col("_t")).alias("vocab_richness_approx"))
+
+
+register_feature(Feature("vocab_richness_approx", ("content",), kind="table", table=vocab_richness_approx_table,
+                         default=0.0))
+
+
 # ----- A10: mean sentence length without a per-user string ----------------
 def sentence_parts(msgs: DataFrame) -> DataFrame:
     """Per message: sentence matches k, words, and the carry inputs."""

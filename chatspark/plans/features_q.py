@@ -226,3 +226,11 @@ SELECT uid, n AS n_msgs, v AS mean_sentiment_compat FROM (
 def feat_mean_sentiment_compat(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
     return FT.user_features(fx.msgs, ["mean_sentiment_compat"], min_chars=MIN_CHARS, min_msgs=MIN_MSGS)
+
+
+@query("feat_vocab_richness_approx", "A03 (approx)")
+def feat_vocab_richness_approx(spark, sf_dir):
+    """HyperLogLog variant of A03 for very large inputs (rows-only check;
+    pytest bounds its distance to the exact value)."""
+    fx = Fixtures(spark, sf_dir)
+    return FT.user_features(fx.msgs, ["vocab_richness_approx"], min_chars=MIN_CHARS, min_msgs=MIN_MSGS)

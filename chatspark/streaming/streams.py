@@ -173,6 +173,38 @@ class VersionedStore:
         df.withColumn("v", F.lit(version)).write.mode("append").partitionBy("v").parquet(f"{self.path}/{name}")
 
 
+def message_sketches(msgs: DataFrame) -> DataFrame:
+    """Per-user HyperLogLog sketch of the batch's tokens (mergeable across
+    batches, bounded size per user)."""
+    m = msgs.filter(F.length("content") >= 25).withColumn("content", T.strip_custom_emoji("content"))
+    return (m.select("uid", F.explode(T.tokens_ws("content")).alias("token"))
+            .groupBy("uid").agg(F.hll_sketch_agg("token").alias("sketch")))
+
+
+def merge_sketches_into_store(store: VersionedStore):
+    """T04 scale variant: the non-additive distinct-token count is kept as
+    one HLL sketch per user and merged with ``hll_union_agg``; the additive
+    partials merge as sums."""
+    def fn(batch: DataFrame, batch_id: int) -> None:
+        parts, _ = message_partials(batch)
+        sk = message_sketches(batch)
+        old_p, old_s = store.latest("users"), store.latest("sketches")
+        p = parts if old_p is None else old_p.unionByName(parts)
+        store.write("users", p.groupBy("uid").agg(*[F.sum(c).alias(c) for c in ("n", "s_words", "s_punct")]), batch_id)
+        k = sk if old_s is None else old_s.unionByName(sk)
+        store.write("sketches", k.groupBy("uid").agg(F.hll_union_agg("sketch").alias("sketch")), batch_id)
+    return fn
+
+
+def store_vectors_sketched(store: VersionedStore) -> DataFrame:
+    u, s = store.latest("users"), store.latest("sketches")
+    j = u.join(s, "uid", "left")
+    return j.select(
+        "uid", F.col("n").alias("n_msgs"), round_ratio(F.col("s_words"), F.col("n")).alias("mean_wordcount"),
+        round_ratio(F.col("s_punct"), F.col("n")).alias("mean_punct"),
+        F.coalesce(round_ratio(F.hll_sketch_estimate("sketch"), F.col("s_words")), F.lit(0.0)).alias("vocab_richness"))
+
+
 def merge_into_store(store: VersionedStore):
     def fn(batch: DataFrame, batch_id: int) -> None:
         parts, toks = message_partials(batch)

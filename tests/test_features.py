@@ -88,3 +88,11 @@ def test_sentiment_compat_first_message_rule(spark):
                FT.user_features(df, names, min_msgs=1, block=2, drop_incomplete=False).collect()}
         assert out["a"] is None            # first complete message has no token
         assert out["b"] == 1.0             # (2 + 0) / 2
+
+
+def test_vocab_richness_approx_close_to_exact(spark):
+    rows = [(i, f"u{i % 3}", " ".join(f"w{(i * 7 + j) % 400}" for j in range(40))) for i in range(300)]
+    df = spark.createDataFrame(rows, "msg_id long, uid string, content string")
+    out = FT.user_features(df, ["vocab_richness", "vocab_richness_approx"], min_msgs=1).collect()
+    for r in out:
+        assert abs(r["vocab_richness"] - r["vocab_richness_approx"]) <= 0.02

@@ -82,3 +82,19 @@ def test_versioned_store_merge_equals_batch(spark):
     whole = ST.VersionedStore(spark, _path(spark, "store-batch"))
     ST.merge_into_store(whole)(df, 0)
     assert streamed == sorted(tuple(r) for r in ST.store_vectors(whole).collect())
+
+
+def test_sketch_store_close_to_exact(spark):
+    from chatspark.streaming import streams as ST
+    rows = [(i, f"u{i % 3}", " ".join(f"w{(i * 5 + j) % 300}" for j in range(30)) + " and a long tail") for i in range(90)]
+    df = spark.createDataFrame(rows, "msg_id long, uid string, content string")
+    exact, sk = ST.VersionedStore(spark, _path(spark, "ex")), ST.VersionedStore(spark, _path(spark, "sk"))
+    for b in range(3):
+        part = df.filter((F.col("msg_id") >= b * 30) & (F.col("msg_id") < (b + 1) * 30))
+        ST.merge_into_store(exact)(part, b)
+        ST.merge_sketches_into_store(sk)(part, b)
+    e = {r["uid"]: r for r in ST.store_vectors(exact).collect()}
+    a = {r["uid"]: r for r in ST.store_vectors_sketched(sk).collect()}
+    for u in e:
+        assert e[u]["mean_wordcount"] == a[u]["mean_wordcount"]
+        assert abs(e[u]["vocab_richness"] - a[u]["vocab_richness"]) <= 0.02
