@@ -412,5 +412,6 @@ def feature_violations(msgs: DataFrame, users: DataFrame, names: list[str] | Non
 
 
 def _one_row_concat(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Put two single-row aggregates side by side (join on a constant key)."""
-    return a.withColumn("_k", F.lit(1)).join(b.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    """Put two single-row aggregates side by side."""
+    from .scalars import attach_one_row
+    return attach_one_row(a, b)

@@ -214,8 +214,9 @@ def metric_verdict(metrics: DataFrame, baseline: str = "a", candidate: str = "b"
 
 
 def _attach_one_row(df: DataFrame, one: DataFrame) -> DataFrame:
-    """Attach a one-row aggregate to every row (broadcast of one row)."""
-    return df.withColumn("_one", F.lit(1)).join(F.broadcast(one.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    """Attach a one-row aggregate to every row (as typed literals)."""
+    from .scalars import attach_one_row
+    return attach_one_row(df, one)
 
 
 def metric_deltas(metrics: DataFrame, baseline: str = "a", candidate: str = "b") -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scalars import attach_one_row
 from .topics import terms
 
 
@@ -39,7 +40,7 @@ def standard_scale(df: DataFrame, cols: list[str]) -> DataFrame:
     """Zero mean, unit population variance, per column (SQL aggregates,
     one pass; the statistics row is broadcast)."""
     stats = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"_s_{c}") for c in cols])
-    j = df.withColumn("_one", F.lit(1)).join(F.broadcast(stats.withColumn("_one", F.lit(1))), "_one")
+    j = attach_one_row(df, stats)
     return j.select(*[c for c in df.columns if c not in cols],
                     *[F.coalesce((F.col(c) - F.col(f"_m_{c}")) / F.nullif(F.col(f"_s_{c}"), F.lit(0.0)), F.lit(0.0)).alias(c)
                       for c in cols])
@@ -48,7 +49,7 @@ def standard_scale(df: DataFrame, cols: list[str]) -> DataFrame:
 def maxabs_scale(train: DataFrame, apply_to: DataFrame, cols: list[str]) -> DataFrame:
     """Divide by the max |x| per column, fitted on ``train`` only."""
     m = train.agg(*[F.max(F.abs(c)).alias(f"_a_{c}") for c in cols])
-    j = apply_to.withColumn("_one", F.lit(1)).join(F.broadcast(m.withColumn("_one", F.lit(1))), "_one")
+    j = attach_one_row(apply_to, m)
     return j.select(*[c for c in apply_to.columns if c not in cols],
                     *[F.coalesce(F.col(c) / F.nullif(F.col(f"_a_{c}"), F.lit(0.0)), F.col(c)).alias(c) for c in cols])
 
@@ -190,8 +191,7 @@ def select_best(metrics: DataFrame, by: str = "accuracy", patience: int = 2) ->
     m = m.withColumn("_improved", F.col(by) >= F.col("_best_so_far"))
     last_gain = m.filter("_improved").agg(F.max("step").alias("_lg"))
     best = m.orderBy(F.desc(by), F.asc("step")).limit(1).select(F.col("step").alias("_bs"))
-    j = m.withColumn("_one", F.lit(1)).join(last_gain.withColumn("_one", F.lit(1)), "_one") \
-        .join(best.withColumn("_one", F.lit(1)), "_one")
+    j = attach_one_row(attach_one_row(m, last_gain), best)
     return (j.filter(F.col("step") <= F.col("_lg") + patience)
             .select("step", by, (F.col("step") == F.col("_bs")).alias("best")))
 

@@ -105,7 +105,8 @@ def tfidf(train: DataFrame, test: DataFrame, key: str = "msg_id", text: str = "c
 
 
 def _with_total(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    return df.withColumn("_k", F.lit(1)).join(F.broadcast(one_row.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    from .scalars import attach_one_row
+    return attach_one_row(df, one_row)
 
 
 def doc_term_counts(docs: DataFrame, key: str = "msg_id", text: str = "content", min_df: float = 0.1,
