@@ -108,7 +108,10 @@ def _buffer_blocks(n: int):
 
 def count_buffer(sdf: DataFrame, n: int = 250) -> DataFrame:
     """Blocks of n + 1 consecutive messages per user (ts, event_id
-    order); an unfinished tail is never flushed."""
+    order); an unfinished tail is never flushed. The state per user is at
+    most n rows; the rows one call sees are that user's rows of one
+    micro-batch, so size micro-batches (maxFilesPerTrigger /
+    maxBytesPerTrigger) for the hottest user."""
     return sdf.groupBy("uid").applyInPandasWithState(
         _buffer_blocks(n), BLOCK_SCHEMA, _STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
 
