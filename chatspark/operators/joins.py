@@ -14,16 +14,23 @@ from pyspark.sql import functions as F
 BROADCAST_MAX_ROWS = 2_000_000
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``F.broadcast(df)`` when ``df`` has at most ``max_rows`` rows (checked
-    with one count job), else ``df`` unchanged for a shuffle join."""
+def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, bool]:
+    """(side, small): ``F.broadcast`` of the cached ``df`` when it has at
+    most ``max_rows`` rows (checked with one count job), else ``df``
+    unchanged for a shuffle join."""
     cached = df.cache()
     n = cached.limit(max_rows + 1).count()
     if n <= max_rows:
         cached.count()  # fully materialise the small side once
-        return F.broadcast(cached)
+        return F.broadcast(cached), True
     cached.unpersist()
-    return df
+    return df, False
+
+
+def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """``F.broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else
+    ``df`` unchanged (AQE splits hot keys of the shuffle join)."""
+    return small_side(df, max_rows)[0]
 
 
 def merge_user_aliases(msgs: DataFrame, alias: DataFrame, uid: str = "uid") -> DataFrame:

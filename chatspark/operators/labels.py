@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.lexicons import (BASIC_EMOTIONS, EMOTION_TO_SENTIMENT, EMOTIONS, ID_LABELS,
                                   NEGATIVE_FLAGS, NEUTRAL_FLAG, POSITIVE_FLAGS, SENTIMENT_IDS)
-from .joins import sized_broadcast
+from .joins import small_side
 
 
 def _map(d: dict) -> Column:
@@ -83,10 +83,16 @@ def lexicon_score(msgs: DataFrame, lexicon: DataFrame, key: str = "msg_id", text
     """Per message, the sum of lexicon weights of its (lower-cased
     Unicode) words; 0 when no word is in the lexicon."""
     words = (msgs.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(T.WORD_RUN), 0)).alias("w"))
-             .select(key, F.lower("w").alias("word"))
-             .groupBy(key, "word").agg(F.count(F.lit(1)).alias("_c")))
-    lex = sized_broadcast(lexicon.select("word", "weight"))
-    per = words.join(lex, "word", "inner").groupBy(key).agg(F.sum(F.col("_c") * F.col("weight")).alias("score"))
+             .select(key, F.lower("w").alias("word")))
+    lex, small = small_side(lexicon.select("word", "weight"))
+    if small:
+        # broadcast lookup: no shuffle of the words, one aggregate per message
+        per = words.join(lex, "word", "inner").groupBy(key).agg(F.sum("weight").alias("score"))
+    else:
+        # shuffle join: count (message, word) first so a hot word is one row
+        # per message before it meets the lexicon
+        counted = words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("_c"))
+        per = counted.join(lex, "word", "inner").groupBy(key).agg(F.sum(F.col("_c") * F.col("weight")).alias("score"))
     return (msgs.select(key).join(per, key, "left")
             .select(key, F.coalesce(F.col("score"), F.lit(0)).cast("long").alias("score")))
 
