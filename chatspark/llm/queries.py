@@ -24,6 +24,20 @@ def op1_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(decompose(read_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
 
 
+@query
+def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import pareto_mix
+    return pareto_mix(read_documents(spark, sf_dir), weights=[5, 2, 1], share=1.5, limit=2.0).drop("row_key")
+
+
+@query
+def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import hilbert_shards
+    return hilbert_shards(read_documents(spark, sf_dir), shards=16).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
 @query
 def op9_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import radix_dedup
