@@ -38,6 +38,41 @@ def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+@query
+def op5_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_verdicts
+    return quality_verdicts(read_documents(spark, sf_dir), carry=["doc_id"]).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "class_distance", "word_distance")
+
+
+@query
+def op6_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import BASE_RULES, MORE_RULES, find_secrets, span_text
+    rules = BASE_RULES + MORE_RULES
+    kinds = [r.kind for r in rules]
+    found = find_secrets(read_documents(spark, sf_dir), rules)
+
+    def of_kind(k: int):
+        return F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{kinds[k]}")
+
+    return found.select(
+        "doc_id", *[of_kind(k) for k in range(len(BASE_RULES))], F.sha2(span_text("spans", kinds, len(BASE_RULES)), 256).alias("base_sha256"),
+        span_text("spans", kinds).alias("spans"))
+
+
+@query
+def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import shared_folder
+    from .warc import read_warc, resolved, write_warc
+    folder = shared_folder(spark, "warc")
+    index = write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
+    found = resolved(read_warc(index, folder), index.count())
+    kind = dict(index.dtypes)["page_id"]
+    return found.select(F.nullif("page", F.lit("")).cast(kind).alias("page_id"), "payload_bytes", "payload_digest",
+                        "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+
+
 @query
 def op9_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import radix_dedup
