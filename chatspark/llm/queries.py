@@ -30,6 +30,12 @@ def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix(read_documents(spark, sf_dir), weights=[5, 2, 1], share=1.5, limit=2.0).drop("row_key")
 
 
+@query
+def op3_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dup import near_duplicates
+    return near_duplicates(read_documents(spark, sf_dir)).drop("row_key")
+
+
 @query
 def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import hilbert_shards
@@ -73,6 +79,12 @@ def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 
 
+@query
+def op8_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_score import stupid_backoff
+    return stupid_backoff(read_documents(spark, sf_dir))
+
+
 @query
 def op9_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import radix_dedup
@@ -89,3 +101,9 @@ g as (select t, count(*) as group_size, arg_min(doc_id, struct_pack(c := -chars,
 select n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id as kept, sha256(n.t) as text_sha256
 from n join g on n.t = g.t
 """
+
+
+@query
+def op10_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity_scores
+    return toxicity_scores(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -157,9 +157,11 @@ def read_warc(index: DataFrame, folder: str, gap: int = GAP, most: int = MOST) -
     apart are fetched by one read of at most ``most`` bytes (a longer record
     is read alone)."""
     # a task gets whole stretches of a file in order; only index rows move
+    session = index.sparkSession
+    tasks = max((index.agg(F.sum("length")).first()[0] or 0) // (4 * most) + 1, session.sparkContext.defaultParallelism)
     picked = index.select("row_key", "file", "offset", "length") \
-        .withColumn("stretch", F.expr(f"offset div {4 * most}")) \
-        .repartition("file", "stretch").sortWithinPartitions("file", "offset")
+        .withColumn("stretch", F.expr(f"offset div {most}")) \
+        .repartition(int(tasks), "file", "stretch").sortWithinPartitions("file", "offset")
 
     def read(batches):
         files, base = _opened(folder)
