@@ -143,8 +143,8 @@ def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     dealt = rows.withColumn("deal", deal).repartition(parts, "deal")
 
     def add_up(batches):
-        # one part of the count table at a time: its bigrams' counts, joined to
-        # the rows of the same part, summed per document
+        # one part of the count table: its bigrams' counts, joined to the rows
+        # of the same part
         vocabulary = sent.value
         got = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3).to_numpy())
                for b in batches]
@@ -159,10 +159,10 @@ def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         value = n * np.where(others > 0, np.log10(np.maximum(others, 1) / vocabulary.counts[context]),
                              np.log10(backoff * vocabulary.counts[word] / vocabulary.total))
         value = np.where(head, rest, value)
-        docs_, at = np.unique(key, return_inverse=True)
-        sums = np.bincount(at, weights=value, minlength=len(docs_))
-        words = np.bincount(at, weights=np.where(head, n, 0), minlength=len(docs_)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(docs_), pa.array(sums), pa.array(words)], names=["row_key", "part", "words"])
+        words = np.where(head, n, 0).astype(np.int64)
+        for lo in range(0, len(key), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[lo:lo + 100_000]) for x in (key, value, words)],
+                                             names=["row_key", "part", "words"])
 
     summed = dealt.select("row_key", "gram", "n", "rest").mapInArrow(add_up, "row_key long, part double, words long") \
         .groupBy("row_key").agg(F.sum("part").alias("log10_sum"), F.sum("words").alias("n_words"))
