@@ -11,17 +11,14 @@ are compared exactly, and links are closed into classes.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import HOT_SHARE, attach_facts, materialize
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
 def _mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64)."""
@@ -233,10 +230,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns are ignored; an empty table gives no rows. ``docs`` must be a scan
     or another input whose rows come in the same partitions when read again.
 
-    In a band, members are not paired with one another but with one hub: the
-    member that meets most others over all bands. Members that remain in other
-    classes than their hub meet the next hub in the next round, until every
-    band holds one class or all its pairs have been compared."""
+    In a band, members are not paired with one another but with one hub, the
+    member that meets most others over all bands. Where members of several
+    classes remain, the next round takes one hub of each class, until every
+    band holds one class besides those that have been hubs: then all its pairs
+    of different classes have been compared."""
     scan = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(id_col).alias("id"),
                        _words_key(F.col(text_col)).alias("words_key"), F.col(text_col).alias("text"))
     signed = materialize(signatures(scan.select("row_key", "words_key", "text"), bands, rows, width), "near-signed")
@@ -255,24 +253,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     meets = members.groupBy("node").agg(F.sum("n").alias("meets"))
     members = materialize(members.join(meets, "node"), "near-met")
     texts = scan.select(F.col("row_key").alias("node"), "text")
-    links, done = None, None
-    roots = None
+    links, done, roots, first = None, None, None, True
     while True:
-        now = members if roots is None else members.join(roots, "node", "left") \
+        now = members.withColumn("root", F.col("node")) if roots is None else members.join(roots, "node", "left") \
             .withColumn("root", F.coalesce("root", "node"))
-        if roots is None:
-            now = now.withColumn("root", F.col("node"))
-        # per band the hub: most meetings, then smallest; not one that has been hub here
-        hub = F.max(F.struct("meets", (-F.col("node")).alias("least"), F.col("root").alias("hub_root")))
-        classes = F.struct(F.min("root").alias("a"), F.max("root").alias("b"))
-        picked = materialize(now.groupBy("band", "key").agg(
-            hub.alias("hub"), classes.alias("c"), F.count(F.lit(1)).alias("n")).filter("c.a != c.b")
-            .select("band", "key", "n", (-F.col("hub.least")).alias("hub"), "hub.hub_root"), "near-picked")
-        if picked.isEmpty():
+        # bands that still hold members of several classes
+        open_bands = now.groupBy("band", "key").agg(F.min("root").alias("a"), F.max("root").alias("b"),
+                                                    F.count(F.lit(1)).alias("size")).filter("a != b")
+        open_bands = materialize(open_bands.select("band", "key", "size"), "near-open")
+        if open_bands.isEmpty():
             break
-        met = materialize(attach_facts(materialize(now, "near-now"), picked.select("band", "key", F.col("n").alias("size"), "hub", "hub_root"),
-                                       ["band", "key"], "size", total).filter("hub is not null"), "near-hubbed")
-        pairs = met.filter("root != hub_root and node != hub").select("node", "hub").distinct()
+        now = materialize(attach_facts(materialize(now, "near-now"), open_bands, ["band", "key"], "size", total)
+                          .filter("size is not null"), "near-open-members")
+        best = F.max(F.struct("meets", (-F.col("node")).alias("least"), "root")).alias("best")
+        hubs = materialize(now.groupBy("band", "key", *([] if first else ["root"])).agg(best, F.max("size").alias("band_size"))
+                           .select("band", "key", "band_size", (-F.col("best.least")).alias("hub"),
+                                   F.col("best.root").alias("hub_root")), "near-hubs-of-bands")
+        met = attach_facts(now, hubs, ["band", "key"], "band_size", total)
+        pairs = met.filter("root != hub_root").select("node", "hub").distinct()
         if done is not None:
             pairs = pairs.join(done, ["node", "hub"], "left_anti")
         pairs = materialize(pairs, "near-pairs")
@@ -281,8 +279,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         done = pairs if done is None else done.unionByName(pairs)
         if not found.isEmpty():
             roots = close_classes(links)
-        # the hub has met its whole band: it leaves, unless nothing is left to meet
-        members = materialize(met.filter("node != hub").select("node", "band", "key", "n", "meets"), "near-met")
+        # a hub has met its whole band and leaves it
+        members = materialize(now.join(hubs.select("band", "key", F.col("hub").alias("node")), ["band", "key", "node"],
+                                       "left_anti").select("node", "band", "key", "n", "meets"), "near-met")
+        first = False
     classes = same.join(roots, "node", "left") if roots is not None else same.withColumn("root", F.col("node"))
     classes = materialize(classes.select("words_key", "n", F.coalesce("root", "node").alias("class_id")), "near-classes")
     tagged = materialize(attach_facts(named, classes, ["words_key"], "n", total)
