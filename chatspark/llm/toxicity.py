@@ -239,7 +239,7 @@ class Scorer:
         return self.scores([text])[0]
 
 
-def choose_landmarks(docs: list[tuple[str, int]], kernel: Kernel, telling: int, common: int) -> list[str]:
+def choose_landmarks(docs: list[tuple[str, int]], kernel: Kernel, telling: int, common: int) -> tuple[list[str], list[str]]:
     """Words by which the labelled sentences' classes differ most, no two much
     alike, and the most common other words as a contrast."""
     seen = {0: Counter(), 1: Counter()}
@@ -259,7 +259,7 @@ def choose_landmarks(docs: list[tuple[str, int]], kernel: Kernel, telling: int,
         if not chosen or kernel.to([w], chosen, kernel.own(chosen)).max() < 0.6:
             chosen.append(w)
     others = sorted((w for w in seen[0] if w not in chosen), key=lambda w: (-seen[0][w], w))
-    return chosen + others[:common]
+    return chosen, others[:common]
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
@@ -281,10 +281,13 @@ def fit_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0,
 
 
 def fit(docs: list[tuple[str, int]], kernel: Kernel = Kernel(), telling: int = 40, common: int = 8) -> Model | None:
-    """Train on (text, label) pairs; None without both labels."""
+    """Train on (text, label) pairs; None without both labels or any word."""
     if len({label for _, label in docs}) < 2:
         return None
-    marks = choose_landmarks(docs, kernel, telling, common)
+    chosen, others = choose_landmarks(docs, kernel, telling, common)
+    marks = chosen + others
+    if not marks:
+        return None
     own = kernel.own(marks)
     gram = kernel.to(marks, marks, own).astype(np.float64)
     val, vec = np.linalg.eigh((gram + gram.T) / 2)
@@ -297,7 +300,7 @@ def fit(docs: list[tuple[str, int]], kernel: Kernel = Kernel(), telling: int = 4
     label = np.array([2 * y - 1 for _, y in docs], float)
     # the worst sentence stands for its document: first the one with the most
     # kernel mass on telling words, then the one the machine finds worst
-    n_tell = len(marks) - common
+    n_tell = len(chosen) or len(marks)
     pick = [int((b @ np.linalg.pinv(root))[:, :n_tell].max(axis=1).argmax()) for b in bags]
     cost = np.where(label > 0, len(label) / (2 * (label > 0).sum()), len(label) / (2 * (label < 0).sum()))
     w = np.zeros(len(marks) + 1)
