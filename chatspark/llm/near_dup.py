@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, attach_facts, materialize
+from .common import HOT_SHARE, attach_facts, materialize, small_batches
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -145,28 +145,35 @@ def _words_key(text: Column) -> Column:
 def signatures(docs: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
     """(row_key, words_key, keys) of a table with row_key, words_key, text."""
     def sign(batches):
-        for b in batches:
+        for b in _slices(batches):
             out = []
             for value in b.column(2):
                 h, n = shingle_counts(value.as_py(), width)
                 out.append(band_keys(dart_minhash(h, n.astype(np.float64), bands * rows), bands) if len(h) else
                            np.zeros(0, np.int64))
-            sizes = np.cumsum([0] + [len(x) for x in out])
-            keys = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()),
-                                            pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), keys], names=["row_key", "words_key", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _lists(out)],
+                                             names=["row_key", "words_key", "keys"])
 
     return docs.mapInArrow(sign, "row_key long, words_key binary, keys array<long>")
 
 
+def _slices(batches):
+    """Batches of few rows, so that a task holds the results of few texts."""
+    for b in batches:
+        for lo in range(0, b.num_rows, 64):
+            yield b.slice(lo, 64)
+
+
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    sizes = np.cumsum([0] + [len(x) for x in values])
+    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(values)))
+
+
 def _occurrence_table(docs: DataFrame, width: int) -> DataFrame:
     def expand(batches):
-        for b in batches:
-            out = [occurrences(v.as_py(), width) for v in b.column(1)]
-            sizes = np.cumsum([0] + [len(x) for x in out])
-            items = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()),
-                                             pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), items], names=["node", "items"])
+        for b in _slices(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists([occurrences(v.as_py(), width) for v in b.column(1)])],
+                                             names=["node", "items"])
 
     return docs.mapInArrow(expand, "node long, items array<long>")
 
@@ -180,7 +187,8 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, threshold: float, width: i
     counts = materialize(pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).withColumn("salts", share), "near-hubs")
     salted = attach_facts(salted, counts, ["hub"], "n", total).withColumn("salt", F.col("salt") % F.col("salts"))
     wanted = pairs.select("node").union(counts.select("hub")).distinct()
-    items = materialize(_occurrence_table(texts.join(wanted, "node").select("node", "text"), width), "near-items")
+    with small_batches(pairs.sparkSession):
+        items = materialize(_occurrence_table(texts.join(wanted, "node").select("node", "text"), width), "near-items")
     hubs = counts.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")) \
         .join(items.select(F.col("node").alias("hub"), F.col("items").alias("hub_items")), "hub")
     both = salted.join(items, "node").join(hubs, ["hub", "salt"])
@@ -237,7 +245,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of different classes have been compared."""
     scan = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(id_col).alias("id"),
                        _words_key(F.col(text_col)).alias("words_key"), F.col(text_col).alias("text"))
-    signed = materialize(signatures(scan.select("row_key", "words_key", "text"), bands, rows, width), "near-signed")
+    with small_batches(docs.sparkSession):
+        signed = materialize(signatures(scan.select("row_key", "words_key", "text"), bands, rows, width), "near-signed")
     named = materialize(scan.select("row_key", "id", "words_key"), "near-rows")
     total = named.count()
     # equal texts are one node, named by its first row
