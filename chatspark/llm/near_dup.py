@@ -135,20 +135,22 @@ def band_keys(signature: np.ndarray, bands: int) -> np.ndarray:
 
 
 def sketch(signature: np.ndarray) -> np.ndarray:
-    """Two bits of each coordinate, 32 coordinates to a 64-bit value."""
-    bits = _mix(signature) & np.uint64(3)
-    bits = np.concatenate([bits, np.zeros(-len(bits) % 32, np.uint64)]).reshape(-1, 32)
-    return np.bitwise_or.reduce(bits << np.arange(0, 64, 2, dtype=np.uint64), axis=1).view(np.int64)
+    """Four bits of each coordinate, 16 coordinates to a 64-bit value."""
+    bits = _mix(signature) & np.uint64(15)
+    bits = np.concatenate([bits, np.zeros(-len(bits) % 16, np.uint64)]).reshape(-1, 16)
+    return np.bitwise_or.reduce(bits << np.arange(0, 64, 4, dtype=np.uint64), axis=1).view(np.int64)
 
 
 def _may_be_similar(a: Column, b: Column, k: int, threshold: float) -> Column:
     """Whether two sketches disagree on no more coordinates than a pair at the
     threshold does: the mean and four standard deviations."""
-    p = (1 - threshold) * 0.75
+    p = (1 - threshold) * 15 / 16
     differ = F.lit(0)
-    for i in range(-(-k // 32)):
+    for i in range(-(-k // 16)):
         x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
-        differ += F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        differ += F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
     return differ <= int(k * p + 4 * (k * p * (1 - p)) ** 0.5)
 
 
@@ -302,8 +304,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                            .select("band", "key", "band_size", (-F.col("best.least")).alias("hub"),
                                    F.col("best.root").alias("hub_root"), F.col("best.sketch").alias("hub_sketch")),
                            "near-hubs-of-bands")
-        met = attach_facts(now, hubs, ["band", "key"], "band_size", total)
-        pairs = met.filter(F.col("root") != F.col("hub_root")).filter(
+        # two hubs meet from the side of the smaller root only
+        own = hubs.select("band", "key", F.col("hub").alias("node"), F.lit(True).alias("is_hub"))
+        members_now = materialize(now.join(own, ["band", "key", "node"], "left"), "near-meeting")
+        met = attach_facts(members_now, hubs, ["band", "key"], "band_size", total)
+        met = met.filter(F.when(F.col("is_hub"), F.col("root") < F.col("hub_root"))
+                         .otherwise(F.col("root") != F.col("hub_root")))
+        pairs = met.filter(
             _may_be_similar(F.col("sketch"), F.col("hub_sketch"), bands * rows, threshold)).select("node", "hub").distinct()
         if done is not None:
             pairs = pairs.join(done, ["node", "hub"], "left_anti")
