@@ -245,7 +245,7 @@ def close_classes(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8,
-                    bands: int = 64, rows: int = 10, width: int = 5) -> DataFrame:
+                    bands: int = 64, rows: int = 9, width: int = 5) -> DataFrame:
     """One row per row of ``docs``: id, class_id (the smallest row_key of its
     class), class_size, kept (one row of each class) and row_key (the row's
     number in the scan).
@@ -255,7 +255,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     components. Texts with the same words in order are one document to the
     comparison, so copies meet no other copy; a null text is empty, texts
     without words form one class. A pair at the threshold shares no band with
-    probability (1 - threshold**rows)**bands: 7e-4 by default (5e-6 at 0.85). The row with the
+    probability (1 - threshold**rows)**bands: 1e-4 by default (5e-8 at 0.85). The row with the
     smallest id stays, null ids last, of rows that repeat an id one. Other
     columns are ignored; an empty table gives no rows. ``docs`` must be a scan
     or another input whose rows come in the same partitions when read again.
