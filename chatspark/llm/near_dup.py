@@ -135,22 +135,21 @@ def band_keys(signature: np.ndarray, bands: int) -> np.ndarray:
 
 
 def sketch(signature: np.ndarray) -> np.ndarray:
-    """Four bits of each coordinate, 16 coordinates to a 64-bit value."""
-    bits = _mix(signature) & np.uint64(15)
-    bits = np.concatenate([bits, np.zeros(-len(bits) % 16, np.uint64)]).reshape(-1, 16)
-    return np.bitwise_or.reduce(bits << np.arange(0, 64, 4, dtype=np.uint64), axis=1).view(np.int64)
+    """Two bits of each coordinate, 32 coordinates to a 64-bit value."""
+    bits = _mix(signature) & np.uint64(3)
+    bits = np.concatenate([bits, np.zeros(-len(bits) % 32, np.uint64)]).reshape(-1, 32)
+    return np.bitwise_or.reduce(bits << np.arange(0, 64, 2, dtype=np.uint64), axis=1).view(np.int64)
 
 
 def _may_be_similar(a: Column, b: Column, k: int, threshold: float) -> Column:
     """Whether two sketches disagree on no more coordinates than a pair at the
     threshold does: the mean and four standard deviations."""
-    p = (1 - threshold) * 15 / 16
+    p = (1 - threshold) * 3 / 4
     differ = F.lit(0)
-    for i in range(-(-k // 16)):
+    for i in range(-(-k // 32)):
         x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        differ += F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+        differ += F.bit_count(x.bitwiseAND(F.lit(0x5555555555555555)))
     return differ <= int(k * p + 4 * (k * p * (1 - p)) ** 0.5)
 
 
