@@ -37,7 +37,7 @@ NEGATIVE_FLAGS = [
 NEUTRAL_FLAG = "neutral"
 
 # The six basic emotions kept by basic_emotions (one order for names and argmax).
-BASIC_EMOTIONS = ["anger", "disgust", "fear", "joy", "sadness", "surprise"]
+BASIC_EMOTIONS = ["anger", "fear", "joy", "sadness", "surprise", "disgust"]
 
 # 3-way label ids: neg 0, neu 1, pos 2.
 SENTIMENT_IDS = {"neg": 0, "neu": 1, "pos": 2}

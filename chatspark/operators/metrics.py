@@ -66,10 +66,14 @@ def class_report(df: DataFrame, y: str = "y_true", p: str = "pred", k: int = 3,
     """Per-class precision, recall, F1, support; macro and weighted
     averages (zero division -> 0). Computed from the k*k count grid."""
     cm = confusion_matrix(df, y, p, k)
+
+    def count(which: Column) -> Column:
+        return F.coalesce(F.sum(F.when(which, F.col("n")).otherwise(0)), F.lit(0))
+
     per = cm.groupBy().agg(
-        *[F.sum(F.when((F.col(y) == c) & (F.col(p) == c), F.col("n")).otherwise(0)).alias(f"tp{c}") for c in range(k)],
-        *[F.sum(F.when(F.col(p) == c, F.col("n")).otherwise(0)).alias(f"pp{c}") for c in range(k)],
-        *[F.sum(F.when(F.col(y) == c, F.col("n")).otherwise(0)).alias(f"ts{c}") for c in range(k)],
+        *[count((F.col(y) == c) & (F.col(p) == c)).alias(f"tp{c}") for c in range(k)],
+        *[count(F.col(p) == c).alias(f"pp{c}") for c in range(k)],
+        *[count(F.col(y) == c).alias(f"ts{c}") for c in range(k)],
     )
     rows = []
     for c in range(k):
@@ -81,9 +85,9 @@ def class_report(df: DataFrame, y: str = "y_true", p: str = "pred", k: int = 3,
     per_class = per.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
     agg = per_class.agg(
         F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
-        (F.sum(F.col("precision") * F.col("support")) / F.sum("support")).alias("wp"),
-        (F.sum(F.col("recall") * F.col("support")) / F.sum("support")).alias("wr"),
-        (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("wf"),
+        _safe_div(F.sum(F.col("precision") * F.col("support")), F.sum("support")).alias("wp"),
+        _safe_div(F.sum(F.col("recall") * F.col("support")), F.sum("support")).alias("wr"),
+        _safe_div(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("wf"),
         F.sum("support").cast("long").alias("n"))
     avgs = agg.select(F.explode(F.array(
         F.struct(F.lit("macro avg").alias("class"), F.col("mp").alias("precision"), F.col("mr").alias("recall"),
@@ -121,7 +125,7 @@ def roc_auc_ovr(df: DataFrame, y: str = "y_true", prob_cols: list[str] = ("p0",
            .groupBy("cls").agg(
                F.sum(F.col("np") * (F.col("nn_before") - F.col("_base") + F.col("nn") * 0.5)).alias("_u"),
                F.sum("np").alias("_p"), F.sum("nn").alias("_n")))
-    auc = per.select("cls", (F.col("_u") / (F.col("_p") * F.col("_n"))).alias("auc"))
+    auc = per.select("cls", F.try_divide("_u", F.col("_p").cast("double") * F.col("_n")).alias("auc"))
     return auc
 
 
@@ -156,7 +160,7 @@ def paired_diff_test(df: DataFrame, a: str, b: str) -> DataFrame:
     sd_b = F.sqrt(F.greatest(F.col("sbb") / n - mean_b * mean_b, F.lit(0.0)))
     se_a, se_b = sd_a / F.sqrt(n), sd_b / F.sqrt(n)
     var_d = (F.col("sdd") - F.col("sd") * F.col("sd") / n) / (n - 1)
-    t = mean_d / F.sqrt(var_d / n)
+    t = F.try_divide(mean_d, F.sqrt(var_d / n))  # null for identical inputs
     return s.select(F.col("n"), mean_a.alias("mean_a"), mean_b.alias("mean_b"), mean_d.alias("mean_diff"),
                     sd_a.alias("sd_a"), sd_b.alias("sd_b"), se_a.alias("se_a"), se_b.alias("se_b"),
                     (F.abs(mean_a - mean_b) > 2 * (se_a + se_b)).alias("beyond_2se"), t.alias("t_stat"))
@@ -176,7 +180,7 @@ def wilcoxon_signed_rank(df: DataFrame, a: str, b: str) -> DataFrame:
     n = F.col("n").cast("double")
     mu = n * (n + 1) / 4.0
     var = n * (n + 1) * (2 * n + 1) / 24.0 - F.col("ties") / 48.0
-    return s.select("w_plus", "w_minus", "n", "ties", ((F.col("w_plus") - mu) / F.sqrt(var)).alias("z"))
+    return s.select("w_plus", "w_minus", "n", "ties", F.try_divide(F.col("w_plus") - mu, F.sqrt(var)).alias("z"))
 
 
 def normality_check(df: DataFrame, col: str) -> DataFrame:
@@ -189,8 +193,8 @@ def normality_check(df: DataFrame, col: str) -> DataFrame:
     m2 = F.col("s2") / n - mu * mu
     m3 = F.col("s3") / n - 3 * mu * F.col("s2") / n + 2 * mu * mu * mu
     m4 = F.col("s4") / n - 4 * mu * F.col("s3") / n + 6 * mu * mu * F.col("s2") / n - 3 * mu * mu * mu * mu
-    skew = m3 / F.pow(m2, 1.5)
-    kurt = m4 / (m2 * m2) - 3
+    skew = F.try_divide(m3, F.pow(m2, 1.5))  # null for a constant column
+    kurt = F.try_divide(m4, m2 * m2) - 3
     return m.select("n", skew.alias("skewness"), kurt.alias("kurtosis"),
                     (n / 6 * (skew * skew + kurt * kurt / 4)).alias("jarque_bera"))
 
@@ -201,12 +205,13 @@ def normal_p_two_sided(z: float) -> float:
 
 
 def metric_verdict(metrics: DataFrame, baseline: str = "a", candidate: str = "b", margin: float = 1.05,
-                   z: DataFrame | None = None) -> DataFrame:
+                   z: DataFrame | None = None, lower_is_better: tuple[str, ...] = ("log_loss",)) -> DataFrame:
     """Per metric, practical improvement if candidate > margin x
-    baseline; significant if |z| of the paired test exceeds the 5 % value."""
+    baseline, or baseline > margin x candidate where lower is better; significant if |z| of the paired test exceeds the 5 % value."""
     w = metrics.groupBy("metric").pivot("model", [baseline, candidate]).agg(F.first("value"))
     out = w.select("metric", F.col(baseline).alias("baseline"), F.col(candidate).alias("candidate"),
-                   (F.col(candidate) > F.col(baseline) * margin).alias("practical"))
+                   F.when(F.col("metric").isin(*lower_is_better), F.col(baseline) > F.col(candidate) * margin)
+                   .otherwise(F.col(candidate) > F.col(baseline) * margin).alias("practical"))
     if z is not None:
         sig = z.select((F.abs(F.col("z")) > Z_05).alias("significant"))
         out = _attach_one_row(out, sig)
@@ -231,7 +236,9 @@ def histogram_bins(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
     x = F.col(col).cast("double")
     rng = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
     xc = F.col("x")
-    b = F.least(F.floor((xc - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)).cast("int")
+    # a constant column has all its rows in the first bin
+    b = F.least(F.floor(F.try_divide(xc - F.col("lo"), F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)).cast("int")
+    b = F.when(F.col("hi") > F.col("lo"), b)
     counts = _attach_one_row(df.select(x.alias("x")), rng).select(
         F.coalesce(b, F.lit(0)).alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
     spark = df.sparkSession

@@ -182,18 +182,22 @@ def grid_search(train: DataFrame, pipeline_stages: list, label: str = "label", s
     return model, grid
 
 
-def select_best(metrics: DataFrame, by: str = "accuracy", patience: int = 2) -> DataFrame:
-    """Per run (epoch-like ``step``), keep the best by ``by``; stop
-    after ``patience`` steps without gain -> rows up to the stop, best flag."""
+def select_best(metrics: DataFrame, by: str = "accuracy", patience: int = 2, larger_is_better: bool = True) -> DataFrame:
+    """Per run (epoch-like ``step``), keep the best by ``by``; stop at the
+    first step that is ``patience`` steps past the last strict gain -> rows up
+    to that stop, best flag. The metric table has one row per run."""
     from pyspark.sql import Window
-    w = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    m = metrics.withColumn("_best_so_far", F.max(by).over(w))
-    m = m.withColumn("_improved", F.col(by) >= F.col("_best_so_far"))
-    last_gain = m.filter("_improved").agg(F.max("step").alias("_lg"))
-    best = m.orderBy(F.desc(by), F.asc("step")).limit(1).select(F.col("step").alias("_bs"))
-    j = attach_one_row(attach_one_row(m, last_gain), best)
-    return (j.filter(F.col("step") <= F.col("_lg") + patience)
-            .select("step", by, (F.col("step") == F.col("_bs")).alias("best")))
+    w = Window.orderBy("step")
+    score = F.col(by) if larger_is_better else -F.col(by)
+    before = F.max("_score").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    m = metrics.withColumn("_score", score).withColumn("_nr", F.row_number().over(w)).withColumn("_before", before)
+    m = m.withColumn("_gain", F.when(F.col("_before").isNull() | (F.col("_score") > F.col("_before")), F.col("_nr")))
+    m = m.withColumn("_last", F.max("_gain").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    m = m.withColumn("_stops", F.sum(F.when(F.col("_nr") - F.col("_last") >= patience, 1).otherwise(0))
+                     .over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    kept = m.filter(F.coalesce("_stops", F.lit(0)) == 0)
+    whole = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return kept.withColumn("_best", F.max("_last").over(whole)).select("step", by, (F.col("_nr") == F.col("_best")).alias("best"))
 
 
 def scale_user_features(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -43,18 +43,38 @@ def read_named_fields(spark: SparkSession, path: str, names: list[str], sep: str
 
 
 def check_header(spark: SparkSession, path: str, expected: list[str], sep: str = "|") -> DataFrame:
-    """One row (ok, header) -- ``ok`` is false when the file header
-    differs from ``expected``. Reads the header only."""
-    schema = T_.StructType([T_.StructField(n, T_.StringType()) for n in expected])
-    first = spark.read.options(**CSV_OPTIONS).option("sep", sep).option("header", "false").schema(schema).csv(path).limit(1)
-    got = F.concat_ws(sep, *[F.col(n) for n in expected])
-    return first.select(got.alias("header"), (got == F.lit(sep.join(expected))).alias("ok"))
+    """Per file of ``path`` one row (header, ok) -- ``ok`` is false when
+    its first line differs from ``expected`` in any field, also one too many.
+    Reads the first split of each file only, whose first line is taken by its
+    place in the scan."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("place"))
+    first = lines.filter("start = 0").groupBy("file").agg(F.min_by("value", "place").alias("header"))
+    return first.select("header", (F.col("header") == F.lit(sep.join(expected))).alias("ok"))
 
 
 def read_skip_bad(spark: SparkSession, path: str, schema: T_.StructType | str, sep: str = ",") -> DataFrame:
-    """Malformed rows (wrong field count or type) are dropped."""
-    return (spark.read.schema(schema).options(**CSV_OPTIONS).option("sep", sep)
-            .option("mode", "DROPMALFORMED").csv(path))
+    """Malformed rows (wrong field count or type) are dropped, whatever
+    columns the caller selects."""
+    return _with_corrupt(spark, path, schema, sep).filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+
+
+def read_rejects(spark: SparkSession, path: str, schema: T_.StructType | str, sep: str = ",") -> DataFrame:
+    """The raw text (column ``record``) of the rows that
+    ``read_skip_bad`` drops."""
+    return _with_corrupt(spark, path, schema, sep).filter(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("record"))
+
+
+CORRUPT = "_corrupt_record"
+
+
+def _with_corrupt(spark: SparkSession, path: str, schema: T_.StructType | str, sep: str) -> DataFrame:
+    fields = schema if isinstance(schema, T_.StructType) else T_.StructType.fromDDL(schema)
+    raw = (spark.read.schema(T_.StructType([*fields, T_.StructField(CORRUPT, T_.StringType())])).options(**CSV_OPTIONS)
+           .option("sep", sep).option("columnNameOfCorruptRecord", CORRUPT).csv(path))
+    # always true; names every column, for only columns that are read are parsed and found malformed
+    return raw.filter(F.length(F.concat_ws("", *[F.col(f.name).cast("string") for f in fields])) >= 0)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -6,7 +6,7 @@ checkpoint location, and write to parquet sinks in the same folder. No
 socket, no server. Stateful logic:
 - T02 keeps a bounded per-key buffer in ``applyInPandasWithState``;
 - T03 is a watermarked event-time window aggregation;
-- T04 merges additive partial sums into a versioned store per micro-batch.
+- T04 writes additive partial sums per micro-batch and merges them on reading.
 """
 
 from __future__ import annotations
@@ -156,24 +156,23 @@ def message_partials(msgs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return parts, toks
 
 
-class VersionedStore:
-    """Per-user partial sums merged batch by batch; every batch writes a new
-    version (partition ``v``) so a failed batch never corrupts the last good
-    one, and readers take the highest version (partition pruning)."""
+class BatchStore:
+    """Per-user partials, one folder ``batch=N`` for each micro-batch. A batch
+    that is repeated overwrites its own folder and no other, so nothing counts
+    twice; readers add the batches up."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def latest(self, name: str) -> DataFrame | None:
-        try:
-            d = self.spark.read.parquet(f"{self.path}/{name}")
-        except Exception:
-            return None
-        top = d.agg(F.max("v")).first()[0]
-        return d.filter(F.col("v") == top).drop("v")
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}").drop("batch")
 
-    def write(self, name: str, df: DataFrame, version: int) -> None:
-        df.withColumn("v", F.lit(version)).write.mode("append").partitionBy("v").parquet(f"{self.path}/{name}")
+    def write(self, name: str, df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch_id}")
+
+
+def _users(store: BatchStore) -> DataFrame:
+    return store.read("users").groupBy("uid").agg(*[F.sum(c).alias(c) for c in ("n", "s_words", "s_punct")])
 
 
 def message_sketches(msgs: DataFrame) -> DataFrame:
@@ -184,23 +183,19 @@ def message_sketches(msgs: DataFrame) -> DataFrame:
             .groupBy("uid").agg(F.hll_sketch_agg("token").alias("sketch")))
 
 
-def merge_sketches_into_store(store: VersionedStore):
+def merge_sketches_into_store(store: BatchStore):
     """T04 scale variant: the non-additive distinct-token count is kept as
-    one HLL sketch per user and merged with ``hll_union_agg``; the additive
-    partials merge as sums."""
+    one HLL sketch per user and batch, merged by ``hll_union_agg`` on reading;
+    the additive partials merge as sums."""
     def fn(batch: DataFrame, batch_id: int) -> None:
-        parts, _ = message_partials(batch)
-        sk = message_sketches(batch)
-        old_p, old_s = store.latest("users"), store.latest("sketches")
-        p = parts if old_p is None else old_p.unionByName(parts)
-        store.write("users", p.groupBy("uid").agg(*[F.sum(c).alias(c) for c in ("n", "s_words", "s_punct")]), batch_id)
-        k = sk if old_s is None else old_s.unionByName(sk)
-        store.write("sketches", k.groupBy("uid").agg(F.hll_union_agg("sketch").alias("sketch")), batch_id)
+        store.write("users", message_partials(batch)[0], batch_id)
+        store.write("sketches", message_sketches(batch), batch_id)
     return fn
 
 
-def store_vectors_sketched(store: VersionedStore) -> DataFrame:
-    u, s = store.latest("users"), store.latest("sketches")
+def store_vectors_sketched(store: BatchStore) -> DataFrame:
+    u = _users(store)
+    s = store.read("sketches").groupBy("uid").agg(F.hll_union_agg("sketch").alias("sketch"))
     j = u.join(s, "uid", "left")
     return j.select(
         "uid", F.col("n").alias("n_msgs"), round_ratio(F.col("s_words"), F.col("n")).alias("mean_wordcount"),
@@ -208,20 +203,18 @@ def store_vectors_sketched(store: VersionedStore) -> DataFrame:
         F.coalesce(round_ratio(F.hll_sketch_estimate("sketch"), F.col("s_words")), F.lit(0.0)).alias("vocab_richness"))
 
 
-def merge_into_store(store: VersionedStore):
+def merge_into_store(store: BatchStore):
     def fn(batch: DataFrame, batch_id: int) -> None:
         parts, toks = message_partials(batch)
-        for name, new, keys in (("users", parts, ["uid"]), ("tokens", toks, ["uid", "token"])):
-            old = store.latest(name)
-            merged = new if old is None else old.unionByName(new)
-            vals = [c for c in new.columns if c not in keys]
-            store.write(name, merged.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in vals]), batch_id)
+        store.write("users", parts, batch_id)
+        store.write("tokens", toks, batch_id)
     return fn
 
 
-def store_vectors(store: VersionedStore) -> DataFrame:
+def store_vectors(store: BatchStore) -> DataFrame:
     """Recompute the ratios from the merged partials."""
-    u, t = store.latest("users"), store.latest("tokens")
+    u = _users(store)
+    t = store.read("tokens").groupBy("uid", "token").agg(F.sum("c").alias("c"))
     v = t.groupBy("uid").agg(F.count(F.lit(1)).alias("_d"), F.sum("c").alias("_t"))
     return u.join(v, "uid", "left").select(
         "uid", F.col("n").alias("n_msgs"), round_ratio(F.col("s_words"), F.col("n")).alias("mean_wordcount"),

@@ -91,3 +91,47 @@ def test_paired_and_verdict(spark):
     v = {x["metric"]: x["practical"] for x in M.metric_verdict(mt).collect()}
     assert v == {"accuracy": True, "f1": False}
     assert abs(M.normal_p_two_sided(1.959963984540054) - 0.05) < 1e-9
+
+
+def test_select_best_stops_after_patience(spark):
+    from chatspark.operators import models as MD
+
+    def run(scores, **kw):
+        df = spark.createDataFrame(list(enumerate(scores)), "step int, accuracy double")
+        got = sorted((r["step"], r["best"]) for r in MD.select_best(df, **kw).collect())
+        return [s for s, _ in got], [s for s, b in got if b]
+
+    assert run([.8, .7, .6, .9, .5]) == ([0, 1, 2], [0])
+    assert run([.5, .5, .5, .5]) == ([0, 1, 2], [0])
+    assert run([.1, .2, .3]) == ([0, 1, 2], [2])
+    assert run([.1, .3, .2, .4, .1, .1, .9]) == ([0, 1, 2, 3, 4, 5], [3])
+    assert run([.9, .8, .85, .1], larger_is_better=False) == ([0, 1, 2, 3], [3])
+
+
+def test_statistics_of_empty_and_constant_inputs(spark):
+    none = spark.createDataFrame([], "y_true int, pred int")
+    assert M.weighted_f1(none).first()["weighted_f1"] == 0
+    assert {r["support"] for r in M.class_report(none).collect()} == {0}
+    same = spark.createDataFrame([(1, 1)] * 4, "a int, b int")
+    assert M.paired_diff_test(same, "a", "b").first()["t_stat"] is None
+    assert M.normality_check(same, "a").first()["skewness"] is None
+    assert [r["n"] for r in M.histogram_bins(same, "a", 3).orderBy("bin").collect()] == [4, 0, 0]
+    loss = spark.createDataFrame([("log_loss", "a", .43), ("log_loss", "b", .50)], "metric string, model string, value double")
+    assert M.metric_verdict(loss).first()["practical"] is False
+
+
+def test_malformed_rows_whatever_is_selected(spark, tmp_path):
+    from chatspark.sources import readers as R
+    (tmp_path / "x.csv").write_text("id,n\n1,2\nfew\n3,x\n4,5\n")
+    good = R.read_skip_bad(spark, str(tmp_path / "x.csv"), "id int, n int")
+    assert good.count() == 2 and len(good.collect()) == 2
+    assert sorted(r["id"] for r in good.select("id").collect()) == [1, 4]
+    assert {r["record"] for r in R.read_rejects(spark, str(tmp_path / "x.csv"), "id int, n int").collect()} == {"few", "3,x"}
+
+
+def test_header_of_every_file(spark, tmp_path):
+    from chatspark.sources import readers as R
+    (tmp_path / "a.csv").write_text("uid|content\nu|c\n")
+    (tmp_path / "b.csv").write_text("uid|content|more\nu|c|d\n")
+    got = sorted(tuple(r) for r in R.check_header(spark, str(tmp_path), ["uid", "content"]).collect())
+    assert got == [("uid|content", True), ("uid|content|more", False)]

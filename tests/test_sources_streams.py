@@ -74,12 +74,16 @@ def test_versioned_store_merge_equals_batch(spark):
     from chatspark.streaming import streams as ST
     rows = [(i, f"u{i % 3}", "word " * (i % 4 + 1) + "tail text long enough here!") for i in range(60)]
     df = spark.createDataFrame(rows, "msg_id long, uid string, content string")
-    store = ST.VersionedStore(spark, _path(spark, "store"))
+    store = ST.BatchStore(spark, _path(spark, "store"))
     merge = ST.merge_into_store(store)
     for b in range(3):
         merge(df.filter((F.col("msg_id") >= b * 20) & (F.col("msg_id") < (b + 1) * 20)), b)
+    # a repeated batch, also one that broke off between its two tables, changes nothing
+    again = df.filter((F.col("msg_id") >= 20) & (F.col("msg_id") < 40))
+    merge(again, 1)
+    store.write("users", ST.message_partials(again)[0], 1)
     streamed = sorted(tuple(r) for r in ST.store_vectors(store).collect())
-    whole = ST.VersionedStore(spark, _path(spark, "store-batch"))
+    whole = ST.BatchStore(spark, _path(spark, "store-batch"))
     ST.merge_into_store(whole)(df, 0)
     assert streamed == sorted(tuple(r) for r in ST.store_vectors(whole).collect())
 
@@ -88,7 +92,7 @@ def test_sketch_store_close_to_exact(spark):
     from chatspark.streaming import streams as ST
     rows = [(i, f"u{i % 3}", " ".join(f"w{(i * 5 + j) % 300}" for j in range(30)) + " and a long tail") for i in range(90)]
     df = spark.createDataFrame(rows, "msg_id long, uid string, content string")
-    exact, sk = ST.VersionedStore(spark, _path(spark, "ex")), ST.VersionedStore(spark, _path(spark, "sk"))
+    exact, sk = ST.BatchStore(spark, _path(spark, "ex")), ST.BatchStore(spark, _path(spark, "sk"))
     for b in range(3):
         part = df.filter((F.col("msg_id") >= b * 30) & (F.col("msg_id") < (b + 1) * 30))
         ST.merge_into_store(exact)(part, b)
