@@ -142,6 +142,7 @@ def log_loss(df: DataFrame, y: str = "y_true", prob_cols: list[str] = ("p0", "p1
 
 
 def _moments(df: DataFrame, d: Column) -> DataFrame:
+    d = d.cast("decimal(19,0)")  # the powers of long values outgrow a long
     return df.agg(F.count(F.lit(1)).alias("n"), F.sum(d).alias("s1"), F.sum(d * d).alias("s2"),
                   F.sum(d * d * d).alias("s3"), F.sum(d * d * d * d).alias("s4"))
 
@@ -175,12 +176,14 @@ def wilcoxon_signed_rank(df: DataFrame, a: str, b: str) -> DataFrame:
          .groupBy(F.abs("d").alias("ad")).agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("d") > 0).alias("cp")))
     ps = prefix_sums(g, ["ad"], ["c"])
     rank = F.col("c_before") + (F.col("c") + 1) / 2.0
+    c = F.col("c").cast("decimal(12,0)")  # its cube outgrows a long
     s = ps.agg(F.sum(F.col("cp") * rank).alias("w_plus"), F.sum((F.col("c") - F.col("cp")) * rank).alias("w_minus"),
-               F.sum("c").cast("long").alias("n"), F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).cast("long").alias("ties"))
+               F.sum("c").cast("long").alias("n"), F.sum(c * c * c - c).alias("ties"))
     n = F.col("n").cast("double")
     mu = n * (n + 1) / 4.0
-    var = n * (n + 1) * (2 * n + 1) / 24.0 - F.col("ties") / 48.0
-    return s.select("w_plus", "w_minus", "n", "ties", F.try_divide(F.col("w_plus") - mu, F.sqrt(var)).alias("z"))
+    var = n * (n + 1) * (2 * n + 1) / 24.0 - F.col("ties").cast("double") / 48.0
+    ties = F.col("ties").try_cast("long").alias("ties")  # null where a long cannot hold it
+    return s.select("w_plus", "w_minus", "n", ties, F.try_divide(F.col("w_plus") - mu, F.sqrt(var)).alias("z"))
 
 
 def normality_check(df: DataFrame, col: str) -> DataFrame:

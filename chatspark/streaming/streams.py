@@ -31,7 +31,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 def replay_files(df: DataFrame, path: str, order_col: str, chunks: int = 4) -> str:
     """Write ``df`` as ``chunks`` parquet files in ``order_col`` ranges, one
     write per chunk so file times follow the order (file stream sources
-    take files oldest first)."""
+    take files oldest first). Rows with a null key go into the first."""
     dtype = dict(df.dtypes)[order_col]
     key = (F.unix_micros(F.col(order_col).cast("timestamp")) if dtype.startswith("timestamp")
            else F.col(order_col)).cast("double")
@@ -43,6 +43,8 @@ def replay_files(df: DataFrame, path: str, order_col: str, chunks: int = 4) -> s
             cond = cond & (key > F.lit(edges[i]))
         if edges[i + 1] is not None:
             cond = cond & (key <= F.lit(edges[i + 1]))
+        if i == 0:
+            cond = cond | key.isNull()
         df.filter(cond).coalesce(1).write.mode("append").parquet(path)
     return path
 

@@ -135,3 +135,17 @@ def test_header_of_every_file(spark, tmp_path):
     (tmp_path / "b.csv").write_text("uid|content|more\nu|c|d\n")
     got = sorted(tuple(r) for r in R.check_header(spark, str(tmp_path), ["uid", "content"]).collect())
     assert got == [("uid|content", True), ("uid|content|more", False)]
+
+
+def test_statistics_beyond_a_long(spark):
+    many = spark.range(3_000_000).select(F.lit(1).alias("a"), F.lit(0).alias("b"))
+    assert M.wilcoxon_signed_rank(many, "a", "b").first()["z"] > 1000
+    wide = spark.range(1_000_000).select(F.when(F.col("id") % 2 == 0, 3000).otherwise(-3000).alias("d"))
+    r = M.normality_check(wide, "d").first()
+    assert abs(r["skewness"]) < 1e-6 and abs(r["kurtosis"] + 2) < 1e-6
+
+
+def test_replay_keeps_rows_without_a_key(spark, tmp_path):
+    from chatspark.streaming import streams as ST
+    df = spark.createDataFrame([(1,), (2,), (3,), (4,), (None,)], "msg_id long")
+    assert spark.read.parquet(ST.replay_files(df, str(tmp_path / "r"), "msg_id", 2)).count() == 5
