@@ -354,6 +354,47 @@ def test_stupid_backoff(spark, docs, empty):
     assert stupid_backoff(empty).count() == 0
 
 
+def backoff_by_hand(texts, backoff=0.4):
+    """{text: (words, score)} from counts of all words and bigrams."""
+    words = {i: t.lower().split() for i, t in texts}
+    uni, big, grams = Counter(), Counter(), {}
+    for i, w in words.items():
+        grams[i] = Counter(zip(["<s>", *w[:-1]], w))
+        uni.update(w)
+        big.update(grams[i])
+    total, starts = sum(uni.values()), sum(map(bool, words.values()))
+    score = {}
+    for i, g in grams.items():
+        s = 0.0
+        for (c, w), n in g.items():
+            rest = big[c, w] - n
+            s += n * math.log10(rest / (starts if c == "<s>" else uni[c]) if rest else backoff * uni[w] / total)
+        score[i] = (len(words[i]), s)
+    return score
+
+
+def test_stupid_backoff_counts_every_word(spark, tmp_path):
+    from chatspark.llm.lm_score import stupid_backoff
+    rng = np.random.default_rng(8)
+
+    def check(texts, name, **more):
+        path = str(tmp_path / name)
+        spark.createDataFrame(texts, "doc_id long, text string").repartition(3).write.parquet(path)
+        got = {r["doc_id"]: r for r in stupid_backoff(spark.read.parquet(path), **more).collect()}
+        for i, (n, s) in backoff_by_hand(texts).items():
+            assert got[i]["n_words"] == n and got[i]["log10_sum"] == pytest.approx(s, abs=1e-6 * max(n, 1))
+
+    # rare words beside rare and frequent ones, seen elsewhere and not, at the start and alone
+    small = [(i, " ".join(f"w{x}" for x in rng.zipf(1.3, 60) % 400)) for i in range(150)]
+    small += [(200, "rare1 rare2 w1 rare3"), (201, "w1 rare1 rare2 w1"), (202, "rare4"), (203, ""), (204, "rare2 rare2 rare2")]
+    for share in (0.02, 0.5, 2.0):
+        check(small, f"small{share}", frequent=share)
+    # defaults: 2.4 million words, so words seen once or twice are below one in a million
+    large = [(i, " ".join(f"f{x}" for x in rng.integers(0, 40, 120_000))) for i in range(20)]
+    large += [(i, f"f1 odd{i % 3} odd{i % 4} f2 odd{i}") for i in range(20, 26)]
+    check(large, "large")
+
+
 # ---- 9: exact dedup
 
 def test_radix_dedup(docs, empty):
