@@ -22,8 +22,8 @@ from .topics import terms
 
 
 def text_features(df: DataFrame, text: str = "content", out: str = "text_vec") -> DataFrame:
-    """Token column for the vectorizer stages."""
-    return df.withColumn("_terms", terms(text))
+    """Token column for the vectorizer stages (no tokens for a null text)."""
+    return df.withColumn("_terms", F.coalesce(terms(text), F.array().cast("array<string>")))
 
 
 def tfidf_stages(vocab_size: int = 5000, out: str = "text_vec"):

@@ -138,8 +138,10 @@ def train_user_conditioned(spark, sf_dir):
 
 @query("batch_predict", "M19")
 def batch_predict(spark, sf_dir):
-    model, d = fit_sentiment(spark, sf_dir, False)
-    out = MD.batch_predict(model, d)
+    """Fitted on the labelled training split; scores every message, labelled
+    or not."""
+    model, _ = fit_sentiment(spark, sf_dir, False)
+    out = MD.batch_predict(model, MD.text_features(Fixtures(spark, sf_dir).msgs))
     return out.select("msg_id", "pred", "label", *[F.round(F.col("probs")[i], 6).alias(f"p{i}") for i in range(3)])
 
 
