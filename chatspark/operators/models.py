@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scalars import attach_one_row
-from .topics import terms
+from .topics import ALL_TERMS, terms
 
 
 def text_features(df: DataFrame, text: str = "content", out: str = "text_vec") -> DataFrame:
@@ -26,9 +26,10 @@ def text_features(df: DataFrame, text: str = "content", out: str = "text_vec") -
     return df.withColumn("_terms", F.coalesce(terms(text), F.array().cast("array<string>")))
 
 
-def tfidf_stages(vocab_size: int = 5000, out: str = "text_vec"):
-    """CountVectorizer + IDF stages (Spark's idf is ln((n+1)/(df+1)))."""
-    return [CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=vocab_size, minDF=2.0),
+def tfidf_stages(vocab_size: int | None = None, out: str = "text_vec"):
+    """CountVectorizer + IDF stages (Spark's idf is ln((n+1)/(df+1))) over all
+    terms, or the ``vocab_size`` most frequent ones."""
+    return [CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=vocab_size or ALL_TERMS, minDF=1.0),
             IDF(inputCol="_tf", outputCol=out)]
 
 
@@ -110,7 +111,7 @@ def linear_svm_ovr(train: DataFrame, test: DataFrame, key: str = "msg_id", label
     return margins.select(key, label, cls.alias("prediction"))
 
 
-def text_pipeline(vocab_size: int = 5000, extra_cols: list[str] | None = None, max_iter: int = 50,
+def text_pipeline(vocab_size: int | None = None, extra_cols: list[str] | None = None, max_iter: int = 50,
                   reg: float = 0.01) -> Pipeline:
     """M17 (no extra columns) / M18 (``extra_cols`` = scaled user vector):
     TF-IDF text vector, optionally concatenated with the user vector, then
@@ -141,8 +142,9 @@ def token_contributions(model: PipelineModel, df: DataFrame, key: str = "msg_id"
     contribution to a document is coef[c, j] * (x_j - mean_j); reported is
     the mean |contribution| over documents, top-k terms per class.
 
-    The coefficient table (classes x vocabulary) is bounded by the fitted
-    vocabulary size; document vectors stay distributed as (doc, j, x)."""
+    The coefficient table (classes x vocabulary) grows with the vocabulary, so
+    it is joined, not broadcast; document vectors stay distributed as
+    (doc, j, x)."""
     from .ordered import top_k_per_group
     from .topics import doc_terms
     spark = df.sparkSession
@@ -156,16 +158,16 @@ def token_contributions(model: PipelineModel, df: DataFrame, key: str = "msg_id"
             if coef[c, j] != 0.0]
     coefs = spark.createDataFrame(rows, "cls int, j int, coef double")
     # document vectors as a long table (doc, j, x = tf * idf), never densified
-    x = (doc_terms(df, key, "content").join(F.broadcast(table), "term")
+    x = (doc_terms(df, key, "content").join(table, "term")
          .select(key, "j", (F.col("tf") * F.col("idf")).alias("x")))
     n = df.count()
     stats = x.groupBy("j").agg(F.sum("x").alias("_sx"), F.count(F.lit(1)).alias("_df"))
     stats = stats.withColumn("_mu", F.col("_sx") / F.lit(float(n)))
-    present = (x.join(stats.select("j", "_mu"), "j").join(F.broadcast(coefs), "j")
+    present = (x.join(stats.select("j", "_mu"), "j").join(coefs, "j")
                .groupBy("cls", "j").agg(F.sum(F.abs(F.col("coef") * (F.col("x") - F.col("_mu")))).alias("_s")))
-    absent = stats.join(F.broadcast(coefs), "j").select(
+    absent = stats.join(coefs, "j").select(
         "cls", "j", ((F.lit(float(n)) - F.col("_df")) * F.abs(F.col("coef") * F.col("_mu"))).alias("_a"))
-    mean_abs = (absent.join(present, ["cls", "j"], "left").join(F.broadcast(table.select("j", "term")), "j")
+    mean_abs = (absent.join(present, ["cls", "j"], "left").join(table.select("j", "term"), "j")
                 .select("cls", "term", ((F.coalesce("_s", F.lit(0.0)) + F.col("_a")) / F.lit(float(n))).alias("mean_abs")))
     return top_k_per_group(mean_abs, ["cls"], [F.desc("mean_abs"), F.asc("term")], top_k, rank_col="rank")
 

@@ -1,9 +1,9 @@
 """Words, topics and term weighting.
 
 Term statistics are long tables ``(doc, term, count)`` built with one
-explode and one ``groupBy`` (map-side combine). A fitted vocabulary is
-bounded by ``max_features`` / ``vocab_size`` -- a proven size bound -- so
-it may be broadcast. Top-k per group uses pre-aggregated, bounded groups
+explode and one ``groupBy`` (map-side combine). A fitted vocabulary has all
+terms and is joined; only where the caller bounds it by ``max_features`` is
+it broadcast. Top-k per group uses pre-aggregated, bounded groups
 (or the salted two-stage ranking for unbounded ones).
 """
 
@@ -19,6 +19,9 @@ from .ordered import top_k_per_group
 # \b\w\w+\b on lower-cased text: runs of two or more Unicode word characters
 TERM_RUN = T.WORD_CHAR + "{2,}"
 
+#: vocabSize of a vectorizer that keeps all terms
+ALL_TERMS = 2**31 - 1
+
 
 def terms(col: Column | str, stop_words: list[str] | None = None) -> Column:
     """Vectorizer tokens: lower case, 2+ word characters, optional stop words."""
@@ -87,7 +90,7 @@ def fit_vocabulary(train_terms: DataFrame, max_features: int | None = None, key:
 
 
 def tfidf(train: DataFrame, test: DataFrame, key: str = "msg_id", text: str = "content",
-          max_features: int | None = 5000, stop_words: list[str] | None = None) -> DataFrame:
+          max_features: int | None = None, stop_words: list[str] | None = None) -> DataFrame:
     """Fit on ``train``, transform ``test`` -> (key, term, weight) with
     idf = ln((1+n)/(1+df)) + 1, raw tf, L2-normalised per document."""
     tr = doc_terms(train, key, text, stop_words)
@@ -140,16 +143,17 @@ def class_tfidf(docs: DataFrame, cls: str, text: str = "content", top_n: int = 1
 
 
 # ---------------------------------------------------------------- Spark ML
-def lda_topics(docs: DataFrame, k: int = 5, vocab_size: int = 2000, max_iter: int = 10, seed: int = 69,
+def lda_topics(docs: DataFrame, k: int = 5, vocab_size: int | None = None, max_iter: int = 10, seed: int = 69,
                key: str = "msg_id", text: str = "content", stop_words: list[str] | None = None, top_terms: int = 10):
-    """LDA over term counts. Returns (model pipeline, transformed docs,
+    """LDA over counts of all terms, or of the ``vocab_size`` most
+    frequent ones. Returns (model pipeline, transformed docs,
     topics table (topic, rank, term, weight))."""
     from pyspark.ml import Pipeline
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
 
     d = docs.select(key, *[c for c in docs.columns if c not in (key, text)], terms(text, stop_words).alias("_terms"))
-    cv = CountVectorizer(inputCol="_terms", outputCol="features", vocabSize=vocab_size, minDF=2.0)
+    cv = CountVectorizer(inputCol="_terms", outputCol="features", vocabSize=vocab_size or ALL_TERMS, minDF=1.0)
     lda = LDA(k=k, maxIter=max_iter, seed=seed, featuresCol="features", topicDistributionCol="topicDistribution")
     model = Pipeline(stages=[cv, lda]).fit(d)
     vocab = model.stages[0].vocabulary
@@ -158,7 +162,7 @@ def lda_topics(docs: DataFrame, k: int = 5, vocab_size: int = 2000, max_iter: in
     vocab_df = spark.createDataFrame([(i, t) for i, t in enumerate(vocab)], "idx int, term string")
     long = (topics.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "z"))
             .select("topic", "rank", F.col("z.termIndices").alias("idx"), F.col("z.termWeights").alias("weight")))
-    topic_terms = long.join(F.broadcast(vocab_df), "idx").drop("idx")
+    topic_terms = F.broadcast(long).join(vocab_df, "idx").drop("idx")
     return model, model.transform(d), topic_terms
 
 

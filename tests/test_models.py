@@ -23,3 +23,34 @@ def test_a_null_text_is_scored(spark):
     d = MD.text_features(spark.createDataFrame(rows, "msg_id long, content string, label double"))
     out = MD.batch_predict(MD.text_pipeline(max_iter=5).fit(d), d)
     assert sorted(r["msg_id"] for r in out.collect()) == [1, 2, 3, 4, 5]
+
+
+def _many_terms(spark):
+    """Two labelled documents with 6,000 terms, most of them seen once."""
+    texts = [(i, " ".join(f"t{j}" for j in range(i * 3000, (i + 1) * 3000)) + " both", float(i)) for i in range(2)]
+    return spark.createDataFrame(texts, "msg_id long, content string, label double")
+
+
+def test_vocabularies_keep_every_term(spark):
+    from chatspark.operators import topics as TP
+    d = _many_terms(spark)
+    model = MD.text_pipeline(max_iter=2).fit(MD.text_features(d))
+    assert len(model.stages[0].vocabulary) == 6001
+    assert TP.tfidf(d, d).count() == 6002
+    lda, _, topics = TP.lda_topics(d, k=2, max_iter=1)
+    assert len(lda.stages[0].vocabulary) == 6001 and topics.count() == 20
+    top = MD.token_contributions(model, d, top_k=7000).select("term").distinct().count()
+    assert top == 6000   # "both" has idf 0 and so no coefficient
+
+
+def test_a_callers_cap_holds(spark):
+    model = MD.text_pipeline(vocab_size=10, max_iter=2).fit(MD.text_features(_many_terms(spark)))
+    assert len(model.stages[0].vocabulary) == 10
+
+
+def test_registered_text_models_use_the_published_vocabulary(spark, monkeypatch):
+    from pyspark.ml.feature import CountVectorizer
+    seen, fit = [], CountVectorizer._fit
+    monkeypatch.setattr(CountVectorizer, "_fit", lambda self, d: seen.append((self.getVocabSize(), self.getMinDF())) or fit(self, d))
+    load_all()["train_decision_tree"].build(spark, SF)
+    assert seen == [(300_000, 1.0)]
