@@ -72,8 +72,8 @@ def train_classifier(train: DataFrame, kind: str = "logreg", label: str = "label
         est = DecisionTreeClassifier(labelCol=label, featuresCol=features, impurity="gini",
                                      maxDepth=min(params.get("maxDepth", 10), 30), seed=seed)
     elif kind == "forest":
-        est = RandomForestClassifier(labelCol=label, featuresCol=features, numTrees=params.get("numTrees", 20),
-                                     maxDepth=params.get("maxDepth", 8), seed=seed)
+        est = RandomForestClassifier(labelCol=label, featuresCol=features, numTrees=params.get("numTrees", 150),
+                                     maxDepth=min(params.get("maxDepth", 30), 30), seed=seed)
     elif kind == "svm":
         n = params.get("n", 1000)
         est = OneVsRest(classifier=LinearSVC(regParam=1.0 / (params.get("C", 0.9) * n), tol=params.get("tol", 1e-4),
@@ -87,7 +87,7 @@ def train_classifier(train: DataFrame, kind: str = "logreg", label: str = "label
 
 
 def linear_svm_ovr(train: DataFrame, test: DataFrame, key: str = "msg_id", label: str = "label",
-                   features: str = "features", C: float = 0.9, tol: float = 1e-4, max_iter: int = 10) -> DataFrame:
+                   features: str = "features", C: float = 0.9, tol: float = 1e-4, max_iter: int = 1500) -> DataFrame:
     """One-vs-rest linear SVMs: one binary LinearSVC per class seen in
     training (a bounded loop over classes), prediction = class with the
     largest margin. regParam = 1 / (C * n) matches the C of the published

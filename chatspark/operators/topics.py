@@ -143,7 +143,7 @@ def class_tfidf(docs: DataFrame, cls: str, text: str = "content", top_n: int = 1
 
 
 # ---------------------------------------------------------------- Spark ML
-def lda_topics(docs: DataFrame, k: int = 5, vocab_size: int | None = None, max_iter: int = 10, seed: int = 69,
+def lda_topics(docs: DataFrame, k: int = 10, vocab_size: int | None = None, max_iter: int = 10, seed: int = 69,
                key: str = "msg_id", text: str = "content", stop_words: list[str] | None = None, top_terms: int = 10):
     """LDA over counts of all terms, or of the ``vocab_size`` most
     frequent ones. Returns (model pipeline, transformed docs,

@@ -89,7 +89,7 @@ def _fit_text_model(spark, sf_dir, kind: str):
     test = v.filter("split <> 'train'")
     if kind == "svm":
         return MD.linear_svm_ovr(train, test, key="msg_id")
-    model = MD.train_classifier(train, kind, weight="weight", n=1000, numTrees=10, maxDepth=8)
+    model = MD.train_classifier(train, kind, weight="weight", n=1000, numTrees=150, maxDepth=30)
     return model.transform(test).select("msg_id", "label", F.col("prediction"))
 
 
@@ -187,7 +187,7 @@ def compare_models(spark, sf_dir):
 def grid_search(spark, sf_dir):
     d = sentiment_data(spark, sf_dir).filter("split <> 'test'")
     stages = MD.text_pipeline().getStages()
-    model, grid = MD.grid_search(d, stages, reg_params=(0.0, 0.1), max_iters=(10, 30))
+    model, grid = MD.grid_search(d, stages)
     rows = [(float(m[stages[-1].regParam]), int(m[stages[-1].maxIter]), float(v))
             for m, v in zip(grid, model.validationMetrics)]
     return spark.createDataFrame(rows, "reg_param double, max_iter int, accuracy double")

@@ -108,14 +108,14 @@ def parse_topic_terms(spark, sf_dir):
 @query("lda_topics", "M03")
 def lda_topics(spark, sf_dir):
     m = Fixtures(spark, sf_dir).msgs.select("msg_id", "uid", "content")
-    _, _, topics = TP.lda_topics(m, k=5, stop_words=ENGLISH_STOP_WORDS)
+    _, _, topics = TP.lda_topics(m, k=10, stop_words=ENGLISH_STOP_WORDS)
     return topics.select("topic", "rank", "term", "weight")
 
 
 @query("dominant_topic", "M04")
 def dominant_topic(spark, sf_dir):
     m = Fixtures(spark, sf_dir).msgs.select("msg_id", "uid", "content")
-    _, transformed, _ = TP.lda_topics(m, k=5, stop_words=ENGLISH_STOP_WORDS)
+    _, transformed, _ = TP.lda_topics(m, k=10, stop_words=ENGLISH_STOP_WORDS)
     return TP.dominant_topic(transformed)
 
 
@@ -134,7 +134,7 @@ def cluster_topics(spark, sf_dir):
 @query("topic_info", "M07")
 def topic_info(spark, sf_dir):
     m = Fixtures(spark, sf_dir).msgs.select("msg_id", "uid", "content")
-    _, transformed, topics = TP.lda_topics(m, k=5, stop_words=ENGLISH_STOP_WORDS)
+    _, transformed, topics = TP.lda_topics(m, k=10, stop_words=ENGLISH_STOP_WORDS)
     from ..operators.labels import argmax
     from pyspark.ml.functions import vector_to_array
     assigned = transformed.select(argmax(vector_to_array("topicDistribution")).alias("topic"))

@@ -1,5 +1,6 @@
 """Model queries do the whole job: every row is scored, every term is kept."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from chatspark.operators import models as MD
@@ -54,3 +55,24 @@ def test_registered_text_models_use_the_published_vocabulary(spark, monkeypatch)
     monkeypatch.setattr(CountVectorizer, "_fit", lambda self, d: seen.append((self.getVocabSize(), self.getMinDF())) or fit(self, d))
     load_all()["train_decision_tree"].build(spark, SF)
     assert seen == [(300_000, 1.0)]
+
+
+@pytest.mark.parametrize("name, kind, want", [
+    ("train_random_forest", "classification.RandomForestClassifier", {"numTrees": 150, "maxDepth": 30}),
+    ("train_linear_svm_ovr", "classification.LinearSVC", {"maxIter": 1500, "tol": 1e-4}),
+    ("lda_topics", "clustering.LDA", {"k": 10, "maxIter": 10})])
+def test_registered_sizes_are_the_published_ones(spark, monkeypatch, name, kind, want):
+    import pyspark.ml.classification
+    import pyspark.ml.clustering
+
+    class Stop(Exception):
+        pass
+
+    def fit(self, d):
+        assert {p: self.getOrDefault(p) for p in want} == want
+        raise Stop
+
+    module, cls = kind.split(".")
+    monkeypatch.setattr(getattr(getattr(pyspark.ml, module), cls), "_fit", fit)
+    with pytest.raises(Stop):
+        load_all()[name].build(spark, SF)
