@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,42 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _file_scan(docs: DataFrame) -> bool:
+    """Whether ``docs`` is a table scan under projections and filters only."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.children().size() == 1 and plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return "Relation" in plan.nodeName() and plan.children().size() == 0
+
+
+def numbered(docs: DataFrame, **columns: Column) -> DataFrame:
+    """``columns`` of ``docs`` and row_key, a number of each row that every
+    read gives again.
+
+    Of a Parquet scan (projections and filters allowed) it is the file's place
+    among the sorted paths and the row's place in the file, so it depends
+    neither on how files are split into tasks nor on the executors there are;
+    the paths, which the driver lists for any scan, are broadcast. Any other
+    input is written once with its numbers. Columns named like row_key are no
+    matter, since only ``columns`` are taken."""
+    spark = docs.sparkSession
+    if _file_scan(docs):
+        meta = docs.metadataColumn("_metadata")
+        scan = docs.select(meta["file_path"].alias("__path"), meta["row_index"].alias("__row"),
+                           *[c.alias(k) for k, c in columns.items()])
+        try:
+            scan.schema
+        except AnalysisException:  # a format without row numbers
+            scan = None
+        if scan is not None:
+            paths = sorted(r[0] for r in scan.select("__path").distinct().collect())
+            places = spark.createDataFrame(list(enumerate(paths)), "__file long, __path string")
+            return scan.join(F.broadcast(places), "__path").select(
+                (F.shiftleft("__file", 36) + F.col("__row")).alias("row_key"), *columns)
+    return materialize(docs.select(F.monotonically_increasing_id().alias("row_key"),
+                                   *[c.alias(k) for k, c in columns.items()]), "numbered")
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 512):
     """Send whole texts to Python tasks in batches of at most ``rows`` rows.

@@ -107,3 +107,9 @@ from n join g on n.t = g.t
 def op10_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity_scores
     return toxicity_scores(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query
+def op12_hirschberg_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversations import damaged_and_repaired
+    return damaged_and_repaired(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
