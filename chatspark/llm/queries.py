@@ -113,3 +113,29 @@ def op10_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_hirschberg_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .conversations import damaged_and_repaired
     return damaged_and_repaired(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+@query
+def op13_token_combination_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import ngram_jaccard_join
+    return ngram_jaccard_join(read_documents(spark, sf_dir), percent=90, width=3)
+
+
+ORACLES["op13_token_combination_join"] = r"""
+with recursive w as (
+  select row_number() over () as r, doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') as w from documents),
+s as (
+  select r, doc_id, case when coalesce(len(w), 0) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end as s
+  from w),
+d as (select min(r) as r, s, len(s) as n, min(doc_id) as least from s where len(s) > 0 group by s),
+t as materialized (select r, n, unnest(s) as t from d),
+p as materialized (
+  select a.r as a, b.r as b from t a join t b on a.t = b.t and a.r <> b.r
+  group by a.r, b.r, a.n, b.n having 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach as (select r as a, r as b from d union select reach.a, p.b from reach join p on p.a = reach.b),
+c as (select reach.a as r, min(d.least) as component_id from reach join d on d.r = reach.b group by 1)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, coalesce(c.component_id, case when len(s.s) = 0 then s.doc_id end) as component_id
+from s left join d on d.s = s.s left join c on c.r = d.r
+"""
