@@ -124,7 +124,8 @@ def op13_token_combination_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op13_token_combination_join"] = r"""
 with recursive w as (
   select row_number() over () as r, doc_id, regexp_extract_all(
-    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') as w from documents),
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') as w from documents),
 s as (
   select r, doc_id, case when coalesce(len(w), 0) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
     else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end as s
@@ -139,3 +140,29 @@ c as (select reach.a as r, min(d.least) as component_id from reach join d on d.r
 select s.doc_id, cast(len(s.s) as bigint) as n_shingles, coalesce(c.component_id, case when len(s.s) = 0 then s.doc_id end) as component_id
 from s left join d on d.s = s.s left join c on c.r = d.r
 """
+
+
+@query
+def op11_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical_search import build_index, search
+    return search(build_index(read_documents(spark, sf_dir)), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
+
+
+ORACLES["op11_block_max_search"] = r"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+g as (select cast(count(*) as bigint) as docs, cast(sum(len(w)) as bigint) as words from d where len(w) > 0),
+i as (select row_number() over () as i, item_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from benchmark),
+it as (select distinct i, item_id, unnest(w) as t from i),
+p as (select r, doc_id, n, t, count(*) as tf from (select r, doc_id, len(w) as n, unnest(w) as t from d)
+      where t in (select t from it) group by all),
+wt as (select t, cast(floor(1000 * ln((2.0 * max(docs) + 2) / (2 * count(*) + 1))) as bigint) as w from p, g group by t),
+s as (select it.i, it.item_id, p.r, p.doc_id,
+        cast(sum(wt.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * (10 + (90 * p.n * g.docs) // g.words)))) as bigint) as score
+      from it join p on p.t = it.t join wt on wt.t = it.t cross join g group by all),
+k as (select *, row_number() over (partition by i order by score desc, doc_id, r) as rank from s where score > 0)
+select item_id, cast(rank as integer) as rank, doc_id, score from k where rank <= 10
+"""
