@@ -34,10 +34,34 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     the lineage, survives lost executors and is stored compressed."""
     spark = df.sparkSession
     path = shared_folder(spark, name)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def tables_of(paths: list[str]):
+    """Note the tables that :func:`materialize` writes inside, so that the
+    caller can drop them once what was read from them has been written."""
+    _SCOPES.append(paths)
+    try:
+        yield paths
+    finally:
+        _SCOPES.pop()
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that :func:`materialize` has written."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    paths.clear()
+
+
 def _file_scan(docs: DataFrame) -> bool:
     """Whether ``docs`` is a table scan under projections and filters only."""
     plan = docs._jdf.queryExecution().analyzed()

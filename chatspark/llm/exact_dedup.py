@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, attach_facts, materialize
+from .common import SPACE, attach_facts, materialize, numbered
 
 FIRST_DIGIT = 64
 GROWTH = 8
@@ -32,10 +32,8 @@ def radix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stays, then the smallest id (null ids last); of rows that repeat both, one
     stays. A null text counts as empty, all texts without words form one
     group; an empty table gives an empty result. Other columns are ignored, so
-    their names cannot clash. ``docs`` must be a table scan or another input
-    whose rows come in the same partitions when read again."""
-    scan = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(id_col).alias("id"),
-                       F.col(text_col).alias("text"))
+    their names cannot clash."""
+    scan = numbered(docs, id=F.col(id_col), text=F.col(text_col))
     head = materialize(scan.select(
         "row_key", "id",
         F.char_length(F.coalesce("text", F.lit(""))).alias("chars"),

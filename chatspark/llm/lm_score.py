@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, numbered
 from .near_dup import _mix, word_hashes
 
 #: id of the unknown word and of the start of a text
@@ -122,14 +122,12 @@ def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     all words. Words are runs of characters other than white space in lower
     case. A null or empty text has no words and sum 0; rows that repeat are
     documents of their own, so copies support one another; an empty table gives
-    no rows; other columns are ignored. ``docs`` must be a scan or another
-    input whose rows come in the same partitions when read again.
+    no rows; other columns are ignored.
 
     ``frequent`` has no part in the result: words of that share are broadcast.
     Only a caller who sets ``rarest`` above 0 has all words below that share
     counted as one unknown word; the others are broadcast then."""
-    scan = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(id_col).alias("id"),
-                       F.col(text_col).alias("text"))
+    scan = numbered(docs, id=F.col(id_col), text=F.col(text_col))
     spark = docs.sparkSession
     counts = materialize(word_counts(scan), "lm-words")
     total = counts.agg(F.sum("n")).first()[0] or 0

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ordered import global_index
-from .common import WORD, materialize
+from .common import WORD, materialize, numbered
 
 #: equal parts of the unit interval into which a source's order is cut; only
 #: the part that holds the cut is ranked row by row
@@ -75,12 +75,10 @@ def pareto_mix(docs: DataFrame, weights: list[float], share: float = 1.5, limit:
     with the same random number, so ties are cut by the row's number. An empty
     table gives no rows. The random number depends on id and text alone, so
     reruns agree. A source's words differ from its target by at most half a
-    document. Other columns are ignored. ``docs`` must be a scan or another
-    input whose rows come in the same partitions when read again."""
-    sized = materialize(docs.select(
-        F.monotonically_increasing_id().alias("row_key"), F.col(id_col).alias("id"), F.col(source_col).alias("source"),
-        word_count(F.col(text_col)).alias("size"),
-        uniform(F.lit(seed), F.col(id_col), F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("u"),
+    document. Other columns are ignored."""
+    sized = materialize(numbered(
+        docs, id=F.col(id_col), source=F.col(source_col), size=word_count(F.col(text_col)),
+        u=uniform(F.lit(seed), F.col(id_col), F.md5(F.coalesce(F.col(text_col), F.lit("")))),
     ).withColumn("class", F.length(F.bin("size")) * (F.col("size") > 0).cast("int")), "mix-sized")
     classes = materialize(sized.groupBy("source", "class").agg(F.sum("size").alias("words")), "mix-classes")
     targets = source_targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, limit)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, attach_facts, materialize, small_batches
+from .common import HOT_SHARE, attach_facts, materialize, numbered, small_batches
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -256,8 +256,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     without words form one class. A pair at the threshold shares no band with
     probability (1 - threshold**rows)**bands: 1e-4 by default (5e-8 at 0.85). The row with the
     smallest id stays, null ids last, of rows that repeat an id one. Other
-    columns are ignored; an empty table gives no rows. ``docs`` must be a scan
-    or another input whose rows come in the same partitions when read again.
+    columns are ignored; an empty table gives no rows.
 
     In a band, members are not paired with one another but with one hub, the
     member that meets most others over all bands. Where members of several
@@ -266,8 +265,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of different classes have been compared. A member and a hub whose whole
     signatures disagree by four standard deviations more than a pair at the
     threshold are not compared exactly (loses 3e-5 of the pairs there)."""
-    scan = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(id_col).alias("id"),
-                       _words_key(F.col(text_col)).alias("words_key"), F.col(text_col).alias("text"))
+    scan = numbered(docs, id=F.col(id_col), words_key=_words_key(F.col(text_col)), text=F.col(text_col))
     with small_batches(docs.sparkSession):
         signed = materialize(signatures(scan.select("row_key", "words_key", "text"), bands, rows, width), "near-signed")
     named = materialize(scan.select("row_key", "id", "words_key"), "near-rows")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, numbered
 
 
 class Rule(NamedTuple):
@@ -139,15 +139,13 @@ def find_secrets(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", tex
     ``rules``) and row_key (the row's number in the scan).
 
     A null text is empty; null ids and rows that repeat are rows of their own;
-    an empty table gives no rows; other columns are ignored. ``docs`` must be a
-    scan or another input whose rows come in the same partitions when read
-    again. Only candidates' texts are shuffled."""
+    an empty table gives no rows; other columns are ignored.
+    All texts are shuffled once to meet the candidates."""
     queries = {k: q for k, r in enumerate(rules) if (q := mandatory_trigrams(r.pattern))}
     grams = sorted({t for q in queries.values() for s in q for t in s})
     free = [k for k in range(len(rules)) if k not in queries]
     id_type = docs.schema[id_col].dataType.simpleString()
-    scan = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(id_col).alias("id"),
-                       F.col(text_col).alias("text"))
+    scan = numbered(docs, id=F.col(id_col), text=F.col(text_col))
 
     def index(batches):
         scans = [(k, _faster(rules[k]), compiled(_faster(rules[k]))) for k in free]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach_facts, materialize, shared_folder
+from .common import attach_facts, materialize, numbered, shared_folder
 
 #: a read ends where the next range begins more than GAP bytes on, or at MOST
 GAP = 64 * 1024
@@ -88,14 +88,12 @@ def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_
     one), the others revisit it; smaller payloads are all responses. A null
     payload is empty. An empty table gives no records. Other columns are
     ignored. A task that runs again writes new files; the index names only
-    those of the attempt that Spark committed. ``pages`` must be a scan or
-    another input whose rows come in the same partitions when read again."""
+    those of the attempt that Spark committed."""
     spark = pages.sparkSession
     folder = folder or shared_folder(spark, "warc")
     id_type = pages.schema[id_col].dataType.simpleString()
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
-    scan = pages.select(F.monotonically_increasing_id().alias("row_key"), F.col(id_col).alias("page_id"),
-                        F.col(url_col).alias("url"), payload.alias("payload"))
+    scan = numbered(pages, page_id=F.col(id_col), url=F.col(url_col), payload=payload)
     keys = materialize(scan.select("row_key", "page_id", F.octet_length("payload").cast("long").alias("bytes"),
                                    F.sha2("payload", 256).alias("key")), "warc-keys")
     total = keys.count()

@@ -12,6 +12,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from chatspark.llm.common import numbered
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row_key string, id string, gid int"
 PATH = "word_bpe_49k.json"
 
@@ -173,7 +175,7 @@ def same_partition(a, b):
 def test_near_duplicates(spark, docs, empty, tmp_path):
     from chatspark.llm.near_dup import near_duplicates
     out = near_duplicates(docs).orderBy("row_key").collect()
-    order = [r["text"] for r in docs.select(F.monotonically_increasing_id().alias("k"), "text").orderBy("k").collect()]
+    order = [r["text"] for r in numbered(docs, text=F.col("text")).orderBy("row_key").collect()]
     assert same_partition([r["class_id"] for r in out], brute_classes(order))
     assert sum(r["kept"] for r in out) == len({r["class_id"] for r in out})
     # a star: copies edited in different places are linked through the original alone
@@ -280,7 +282,7 @@ def test_secrets(docs, empty):
     from chatspark.llm.secrets import BASE_RULES, MORE_RULES, brute_force, find_secrets
     rules = BASE_RULES + MORE_RULES
     out = find_secrets(docs, rules).orderBy("row_key").collect()
-    texts = [r["text"] for r in docs.select(F.monotonically_increasing_id().alias("k"), "text").orderBy("k").collect()]
+    texts = [r["text"] for r in numbered(docs, text=F.col("text")).orderBy("row_key").collect()]
     got = [[(s["start"], s["kind"], s["stop"]) for s in r["spans"]] for r in out]
     assert got == [brute_force(t, rules) for t in texts] and sum(map(len, got)) >= 5
     assert find_secrets(empty, rules).count() == 0
