@@ -10,8 +10,11 @@ all combinations of as many of them. Documents with a common signature are
 candidates and are compared exactly, so the classes of tokens and their order
 decide the work but not the result.
 
-Candidates meet in blocks of bounded size, in which all overlaps come from one
-product of incidence matrices; only links that join two classes leave a block.
+Few documents with a common signature become pairs; a pair's number of common
+signatures bounds its overlap, so most go before a set is looked at. Where many
+share a signature they meet in blocks of bounded size, in which all overlaps
+come from one product of incidence matrices; only links that join two classes
+leave a block.
 """
 
 from __future__ import annotations
@@ -29,14 +32,17 @@ from .near_dup import _lists, _mix, _slices, close_classes, shingle_counts
 
 #: sets up to SMALL tokens and over LARGE have single tokens only: in the
 #: former too few tokens are left over, in the latter combinations are too many
-SMALL, LARGE = 10, 160
-#: at most so many tokens are classed as frequent: the bound of the broadcast
-FREQUENT = 16_384
-#: a token is frequent (very frequent) from this share of the documents on
-PAIR_SHARE, TRIPLE_SHARE = 1e-3, 1e-2
+SMALL, LARGE = 10, 64
+#: at most so many tokens are ordered by frequency: the bound of the broadcast
+FREQUENT = 131_072
+#: a token is so ordered, frequent and very frequent from these shares of the
+#: documents on
+KNOWN_SHARE, PAIR_SHARE, TRIPLE_SHARE = 5e-5, 1e-3, 1e-2
+#: up to so many documents with a signature become pairs, more if they are long
+PAIRED = 32
 #: documents and tokens of a block
-BLOCK, BLOCK_TOKENS = 128, 1 << 21
-COUNTED = 1 << 20
+BLOCK, BLOCK_TOKENS = 256, 1 << 21
+COUNTED = 1 << 22
 
 
 def tokens_of(text: str | None, width: int) -> np.ndarray:
@@ -47,15 +53,15 @@ def tokens_of(text: str | None, width: int) -> np.ndarray:
 
 
 class Order:
-    """The frequent tokens, sorted, with rank (1: least frequent) and the
-    number of them that make a signature."""
+    """The tokens ordered by frequency, sorted, with rank (1: least frequent)
+    and the number of them that make a signature."""
 
     def __init__(self, tokens: np.ndarray, counts: np.ndarray, docs: int):
         rank = np.empty(len(tokens), np.int64)
         rank[np.lexsort((tokens, counts))] = np.arange(1, len(tokens) + 1)
         by_token = np.argsort(tokens)
         self.tokens, self.rank = tokens[by_token], rank[by_token]
-        self.wants = np.where(counts >= TRIPLE_SHARE * docs, 3, 2)[by_token]
+        self.wants = np.where(counts >= TRIPLE_SHARE * docs, 3, np.where(counts >= PAIR_SHARE * docs, 2, 1))[by_token]
 
     def signatures(self, tokens: np.ndarray, percent: int) -> np.ndarray:
         """Signatures of a set (sorted tokens) for a join at ``percent``."""
@@ -86,6 +92,7 @@ class Order:
                 more = need
             found.append(rare[:rest + more])
             part = frequent[by_rank][:len(inside)]
+            found.append(part[inside == 1])
             for k in (2, 3):
                 group = np.sort(part[inside == k])
                 found.append(np.array([_joined(c) for c in combinations(group, k)], np.uint64))
@@ -101,7 +108,7 @@ def _joined(tokens) -> np.uint64:
 
 
 def frequent_tokens(texts: DataFrame, width: int) -> Order:
-    """Tokens that repeat. Each task counts tokens over runs of about a
+    """Tokens that repeat. Each task counts tokens over runs of about four
     million of them and passes on those that occur in two documents of a run;
     Spark adds these up. At most FREQUENT come to the driver."""
 
@@ -126,7 +133,7 @@ def frequent_tokens(texts: DataFrame, width: int) -> Order:
     docs = texts.count()
     with small_batches(texts.sparkSession):
         counts = texts.select("text").mapInArrow(repeated, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-        top = counts.filter(F.col("n") >= F.lit(PAIR_SHARE * docs)).orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas()
+        top = counts.filter(F.col("n") >= F.lit(KNOWN_SHARE * docs)).orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas()
     return Order(top["token"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), docs)
 
 
@@ -215,6 +222,26 @@ def _block_of(blocks: Column) -> Column:
     return F.pmod(F.xxhash64("node"), blocks).cast("int")
 
 
+def _pairs(met: DataFrame, percent: int) -> DataFrame:
+    """Pairs (hub, node) of the rows (sign, node, size) that may be linked.
+    Where all signatures of both are single tokens, their number bounds the
+    overlap: beyond its prefix a set has one token less than it must share."""
+    def must(n: Column) -> Column:
+        return F.ceil(n * percent / 100)
+
+    def single(n: Column) -> Column:
+        return (n <= SMALL) | (n > LARGE * 100 // percent + 1)
+
+    a, b = F.col("a.size"), F.col("b.size")
+    both = met.alias("a").join(met.alias("b"), (F.col("a.sign") == F.col("b.sign")) & (F.col("a.node") < F.col("b.node"))
+                               & (100 * F.least(a, b) >= percent * F.greatest(a, b)))
+    counted = both.groupBy(F.col("a.node").alias("hub"), F.col("b.node").alias("node"), a.alias("a"), b.alias("b")) \
+        .agg(F.count(F.lit(1)).alias("common"))
+    a, b = F.col("a"), F.col("b")
+    most = F.least(a, b, F.col("common") + F.greatest(must(a), must(b)) - 1)
+    return counted.filter(~single(a) | ~single(b) | (100 * most >= percent * (a + b - most))).select("hub", "node")
+
+
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 90,
                        width: int = 3) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles and component_id, the
@@ -231,7 +258,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     A group of sets that share signatures and are not yet one class is
     compared block by block: its largest class meets the others, but not
-    itself. A group of m sets none of which are linked takes about m * m / 256
+    itself. A group of m sets none of which are linked takes about m * m / BLOCK
     rows; its rows are those of different sets, not of copies."""
     scan = numbered(docs, id=F.col(id_col), text=F.col(text_col))
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -258,17 +285,22 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.min("row_key").alias("node"), F.min("id").alias("least_id"), F.count(F.lit(1)).alias("n")), "jaccard-same")
     nodes = rows.join(same.select(F.col("node").alias("row_key")), "row_key")
     entries = materialize(nodes.select(F.col("row_key").alias("node"), "size", F.explode("signs").alias("sign")), "jaccard-entries")
-    # signatures with two nodes or more, and of those with the same nodes one
-    shared = materialize(entries.groupBy("sign").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "jaccard-shared")
+    shared = materialize(entries.groupBy("sign").agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"))
+                         .filter("n > 1"), "jaccard-shared")
     n_entries = entries.count()
-    met = materialize(attach_facts(entries, shared, ["sign"], "n", n_entries).filter("n is not null").drop("n"), "jaccard-met")
-    groups = met.groupBy("sign").agg(
+    met = materialize(attach_facts(entries, shared, ["sign"], "n", n_entries).filter("n is not null"), "jaccard-met")
+    # pairs of 24 bytes cost less than the sets of a block (8 bytes a token) if the documents are long
+    few = (F.col("n") <= PAIRED) | (3 * F.col("n") <= 2 * F.col("mean"))
+    pairs = materialize(_pairs(met.filter(few), percent), "jaccard-pairs")
+    # groups, and of those with the same nodes one
+    many = met.filter(~few).drop("n", "mean")
+    groups = many.groupBy("sign").agg(
         F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight"), F.min("node").alias("first"),
         F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
     groups = materialize(groups.groupBy("n", "weight", "first", "x", "y").agg(F.min("sign").alias("sign"))
                          .withColumn("blocks", _blocks(F.col("n"), F.col("weight"))).drop("x", "y"), "jaccard-groups")
-    members = materialize(attach_facts(met, groups, ["sign"], "n", n_entries).filter("n is not null"), "jaccard-members")
-    wanted = members.select("node").distinct()
+    members = materialize(attach_facts(many, groups, ["sign"], "n", n_entries).filter("n is not null"), "jaccard-members")
+    wanted = members.select("node").union(pairs.select("hub")).union(pairs.select("node")).distinct()
 
     def expand(batches):
         for b in _slices(batches):
@@ -283,7 +315,14 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = groups.filter("blocks > 1").select(
         "sign", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("first").alias("node"))
     once = dealt.unionByName(first).distinct().withColumns({"root": F.col("node"), "side": F.lit(-1)})
-    links = compared(once.join(items, "node"), ["sign", "block"], percent)
+    # of pairs, the hub meets the others
+    parts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    parts = pairs.join(parts, "hub").withColumn("block", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    partners = parts.select(F.col("hub").alias("sign"), "block", "node", F.lit(1).alias("side"))
+    hubs = parts.select(F.col("hub").alias("sign"), "block", F.col("hub").alias("node"), F.lit(0).alias("side")).distinct()
+    paired = partners.unionByName(hubs).withColumn("root", F.col("node"))
+    links = compared(once.join(items, "node"), ["sign", "block"], percent) \
+        .unionByName(compared(paired.join(items, "node"), ["sign", "block"], percent))
     roots = _roots(links)
     large = materialize(_attach_root(members.filter("blocks > 1").select("sign", "node", "size"), roots), "jaccard-large")
     classes = materialize(large.groupBy("sign", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight")),

@@ -73,10 +73,11 @@ def frame(spark, rows):
     return spark.createDataFrame([(d, t, "r", 1, "t", 2, "i") for d, t in rows], SCHEMA)
 
 
-@pytest.mark.parametrize("block,share", [(128, (1e-3, 1e-2)), (8, (2e-3, 5e-2)), (3, (0.5, 0.6))])
-def test_against_all_pairs(spark, monkeypatch, block, share):
+@pytest.mark.parametrize("block,paired,share", [(128, 32, (1e-3, 1e-2)), (8, 4, (2e-3, 5e-2)), (3, 1, (0.5, 0.6))])
+def test_against_all_pairs(spark, monkeypatch, block, paired, share):
     from chatspark.llm import jaccard_join
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "PAIRED", paired)
     monkeypatch.setattr(jaccard_join, "PAIR_SHARE", share[0])
     monkeypatch.setattr(jaccard_join, "TRIPLE_SHARE", share[1])
     rows = table(block)
