@@ -283,7 +283,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # equal sets are one node, named by its first row
     same = materialize(rows.filter("size > 0").groupBy("set_key").agg(
         F.min("row_key").alias("node"), F.min("id").alias("least_id"), F.count(F.lit(1)).alias("n")), "jaccard-same")
-    nodes = rows.join(same.select(F.col("node").alias("row_key")), "row_key")
+    # neither side has a bound, so these joins are shuffles at every size
+    nodes = rows.join(same.select(F.col("node").alias("row_key")).hint("merge"), "row_key")
     entries = materialize(nodes.select(F.col("row_key").alias("node"), "size", F.explode("signs").alias("sign")), "jaccard-entries")
     shared = materialize(entries.groupBy("sign").agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"))
                          .filter("n > 1"), "jaccard-shared")
@@ -308,7 +309,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), _lists(sets)], names=["node", "tokens"])
 
     with small_batches(docs.sparkSession):
-        items = materialize(scan.select(F.col("row_key").alias("node"), "text").join(wanted, "node")
+        items = materialize(scan.select(F.col("row_key").alias("node"), "text").join(wanted.hint("merge"), "node")
                             .mapInArrow(expand, "node long, tokens array<long>"), "jaccard-items")
     # all members of a block meet, and of a group in several blocks its first node
     dealt = members.select("sign", _block_of(F.col("blocks")).alias("block"), "node")
