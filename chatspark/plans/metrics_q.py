@@ -231,9 +231,13 @@ def metric_deltas(spark, sf_dir):
     return M.metric_deltas(metric_table(spark, sf_dir)).select("metric", F.round("delta", 6).alias("delta"))
 
 
-@query("metric_verdict", "A34", _MT + """
+#: the verdict on each metric, also of the written report
+VERDICT_SQL = _MT + """
 , w AS (SELECT metric, max(value) FILTER (WHERE model = 'a') AS baseline, max(value) FILTER (WHERE model = 'b') AS candidate FROM mt GROUP BY metric)
-SELECT metric, round(baseline, 6) AS baseline, round(candidate, 6) AS candidate, CASE WHEN metric = 'log_loss' THEN baseline > candidate * 1.05 ELSE candidate > baseline * 1.05 END AS practical FROM w""")
+SELECT metric, round(baseline, 6) AS baseline, round(candidate, 6) AS candidate, CASE WHEN metric = 'log_loss' THEN baseline > candidate * 1.05 ELSE candidate > baseline * 1.05 END AS practical FROM w"""
+
+
+@query("metric_verdict", "A34", VERDICT_SQL)
 def metric_verdict(spark, sf_dir):
     v = M.metric_verdict(metric_table(spark, sf_dir))
     return v.select("metric", F.round("baseline", 6).alias("baseline"), F.round("candidate", 6).alias("candidate"), "practical")

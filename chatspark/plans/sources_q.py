@@ -133,10 +133,8 @@ def feature_store(spark, sf_dir):
 
 
 def _verdict_sql() -> str:
-    from .metrics_q import _MT
-    return _MT + """
-, w AS (SELECT metric, max(value) FILTER (WHERE model = 'a') AS baseline, max(value) FILTER (WHERE model = 'b') AS candidate FROM mt GROUP BY metric)
-SELECT metric, round(baseline, 6) AS baseline, round(candidate, 6) AS candidate, candidate > baseline * 1.05 AS practical FROM w"""
+    from .metrics_q import VERDICT_SQL
+    return VERDICT_SQL
 
 
 @query("sink_report", "S14", _verdict_sql())
