@@ -8,8 +8,8 @@ Design for scale
   over a user, no join back to the messages.
 - Cross-message features never build a per-user string or list:
   vocabulary and POS shares come from a ``(uid, token)`` count table;
-  mean sentence length uses the carry method over fixed msg_id blocks, so
-  the ordered scan of a hot user is split into bounded pieces.
+  mean sentence length uses a segmented scan: a hot user's messages are cut
+  into blocks of about as many rows each, wherever their ids lie.
 """
 
 from __future__ import annotations
@@ -23,9 +23,12 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.lexicons import SENTIMENT_IDS
 from ..functions.rounding import round_ratio
+from ..session import cut_lineage
 from .joins import sized_broadcast
 
-DEFAULT_BLOCK = 1 << 20  # msg_id block for the split ordered scan
+DEFAULT_BLOCK = 1 << 16  # users with more rows may be cut for the ordered scan
+CUTS = 1 << 9            # a cut user has so many blocks at most
+HOT_SHARE = 1000         # only users with this part of all rows are cut, so at most so many
 
 
 @dataclass
@@ -153,10 +156,14 @@ TOKEN_FEATURES = ("vocab_richness", "noun_freq", "verb_freq", "adj_freq")
 
 def token_features_table(msgs: DataFrame, names=TOKEN_FEATURES, pos_lexicon: DataFrame | None = None,
                          **_) -> DataFrame:
-    """A03 and A11-A13 from ONE (uid, token) count table: distinct/total
-    tokens (case-sensitive, 2 places) and the shares of the exact tags NN,
-    VB, JJ among all tagged tokens."""
-    counts = user_token_counts(msgs)
+    """A03 and A11-A13 from ONE (uid, token) count table."""
+    return token_features(user_token_counts(msgs), names, pos_lexicon)
+
+
+def token_features(counts: DataFrame, names=TOKEN_FEATURES, pos_lexicon: DataFrame | None = None) -> DataFrame:
+    """A03 and A11-A13 of (uid, token, c): distinct/total tokens
+    (case-sensitive, 2 places) and the shares of the exact tags NN, VB, JJ
+    among all tagged tokens."""
     pos = [n for n in names if n in ("noun_freq", "verb_freq", "adj_freq")]
     if pos:
         counts = pos_tag_tokens(counts, pos_lexicon)
@@ -186,6 +193,32 @@ register_feature(Feature("vocab_richness_approx", ("content",), kind="table", ta
 
 
 # ----- A10: mean sentence length without a per-user string ----------------
+def with_order_blocks(rows: DataFrame, scan: DataFrame, key: str = "uid", order: str = "msg_id",
+                      block: int = DEFAULT_BLOCK, out: str = "_blk") -> DataFrame:
+    """``rows`` with a block number that rises with ``order`` within ``key``.
+
+    A key with more than ``block`` rows and at least one in HOT_SHARE of all
+    is cut at CUTS quantiles of its ``order`` values, so its blocks hold about
+    the same number of rows however the values are spread (ids made from
+    times, say); other keys have one block. ``scan`` gives the keys and values
+    to measure (two narrow passes, one if no key is hot). The cuts of at most
+    HOT_SHARE keys are broadcast. Null values come first, rows of a null key
+    are one block."""
+    counts = scan.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    size = counts.agg(F.sum("_n").alias("all"), F.max(F.when(F.col(key).isNotNull(), F.col("_n"))).alias("most")).first()
+    if (size["most"] or 0) <= block or size["most"] * HOT_SHARE < size["all"]:
+        return rows.withColumn(out, F.lit(0))
+    hot = counts.filter((F.col("_n") > block) & (F.col("_n") * HOT_SHARE >= size["all"])).select(key)
+    cuts = scan.select(key, order).join(F.broadcast(hot), key, "left_semi").groupBy(key).agg(
+        F.percentile_approx(order, [i / CUTS for i in range(1, CUTS)], 100 * CUTS).alias("_cuts"))
+    # written once: a second evaluation may cut elsewhere
+    tagged = rows.join(F.broadcast(cut_lineage(cuts)), key, "left")
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(CUTS.bit_length() - 1))])
+    place = F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        F.get(F.col("_cuts"), at + step - 1) < F.col(order), at + step).otherwise(at))
+    return tagged.withColumn(out, F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(place)).drop("_cuts")
+
+
 def sentence_parts(msgs: DataFrame) -> DataFrame:
     """Per message: sentence matches k, words, and the carry inputs."""
     seg = T.sentence_segments(F.col("content"))
@@ -204,10 +237,10 @@ def carried_state(parts: DataFrame, block: int = DEFAULT_BLOCK) -> DataFrame:
     """For each row with ``need``: ``carry`` = last non-null ``state`` among
     earlier messages of the same user (msg_id order).
 
-    Two-level scan: inside fixed msg_id blocks (bounded partitions even for a
-    hot user), then across block summaries (one row per user and block)."""
-    p = (parts.filter(F.col("state").isNotNull())
-         .withColumn("blk", F.floor(F.col("msg_id") / F.lit(block)).cast("long")))
+    Two-level scan: inside blocks of a user's messages (bounded partitions
+    even for a hot user, see :func:`with_order_blocks`), then across block
+    summaries (one row per user and block)."""
+    p = with_order_blocks(parts.filter(F.col("state").isNotNull()), parts.select("uid", "msg_id"), block=block, out="blk")
     w_in = Window.partitionBy("uid", "blk").orderBy("msg_id").rowsBetween(Window.unboundedPreceding, -1)
     local = p.withColumn("_local", F.last("state", ignorenulls=True).over(w_in))
     summary = p.groupBy("uid", "blk").agg(F.max_by("state", "msg_id").alias("_blk_state"))
@@ -272,13 +305,11 @@ def user_features(msgs: DataFrame, features: list[str] | None = None, min_chars:
     needed = {"uid", "msg_id"} | {c for f in feats for c in f.required}
     m = clean_for_features(msgs.select(*[c for c in msgs.columns if c in needed]), min_chars)
 
-    means = [f for f in feats if f.kind == "mean"]
-    partials = {k: v() for f in means for k, v in f.partials.items()}
-    aggs = {k: (v[0]() if isinstance(v, tuple) else v()) for f in means for k, v in f.aggs.items()}
-    reaggs = {k: (v[1] if isinstance(v, tuple) else "sum") for f in means for k, v in f.aggs.items()}
+    partials, aggs, reaggs = partial_columns(names)
     sentence = "mean_sentence_len" in names
     if sentence:
-        out = _blocked_aggregate(m, partials, aggs, block, reaggs)
+        blocked = with_order_blocks(m, msgs.select("uid", "msg_id"), block=block)
+        out = _blocked_aggregate(blocked, partials, aggs, reaggs)
     else:
         per_msg = m.select("uid", *[e.alias(k) for k, e in partials.items()])
         out = per_msg.groupBy("uid").agg(F.count(F.lit(1)).alias("n_msgs"), *[e.alias(k) for k, e in aggs.items()])
@@ -293,8 +324,22 @@ def user_features(msgs: DataFrame, features: list[str] | None = None, min_chars:
         done.add(id(f.table))
         t = f.table(m, names=[g.name for g in feats if g.table is f.table], pos_lexicon=pos_lexicon, block=block)
         out = out.join(t, "uid", "left")
+    return finished_features(out, names, drop_incomplete)
+
+
+def partial_columns(names: list[str]) -> tuple[dict, dict, dict]:
+    """Of the features that are means: columns per message, their aggregates
+    and how these combine ("sum", "min" or "max")."""
+    means = [f for f in map(REGISTRY.get, names) if f.kind == "mean"]
+    partials = {k: v() for f in means for k, v in f.partials.items()}
+    aggs = {k: (v[0]() if isinstance(v, tuple) else v()) for f in means for k, v in f.aggs.items()}
+    return partials, aggs, {k: (v[1] if isinstance(v, tuple) else "sum") for f in means for k, v in f.aggs.items()}
+
+
+def finished_features(out: DataFrame, names: list[str], drop_incomplete: bool = True) -> DataFrame:
+    """uid, n_msgs and the features from the combined aggregates."""
     cols = []
-    for f in feats:
+    for f in map(REGISTRY.get, names):
         if f.kind == "mean":
             cols.append(f.final().alias(f.name))
         elif f.default is not None:
@@ -307,23 +352,24 @@ def user_features(msgs: DataFrame, features: list[str] | None = None, min_chars:
     return out
 
 
-def _blocked_aggregate(m: DataFrame, partials: dict, aggs: dict, block: int,
-                       reaggs: dict | None = None) -> DataFrame:
+COMBINE = {"sum": F.sum, "min": F.min, "max": F.max}
+
+
+def _blocked_aggregate(m: DataFrame, partials: dict, aggs: dict, reaggs: dict | None = None) -> DataFrame:
     """The shared aggregate when mean sentence length is requested: ONE text
     pass yields every per-message count plus the carry inputs; rows shuffle
-    once by (uid, msg_id block) -- bounded groups even for a hot user --
+    once by (uid, _blk) -- bounded groups even for a hot user --
     where the in-block carry (window) and the per-block sums are computed
     on the same partitioning; a window over one row per (user, block)
     brings in the state of earlier blocks; then the per-user sums. All
     registered aggregates must combine across blocks: sums and counts are
     summed, ``(fn, "min")`` / ``(fn, "max")`` specs are re-aggregated so."""
     reaggs = reaggs or {}
-    combine = {"sum": F.sum, "min": F.min, "max": F.max}
     seg = T.sentence_segments(F.col("content"))
     has_term = F.size(seg) > 1
     first, last = F.element_at(seg, 1), F.element_at(seg, -1)
     per_msg = m.select(
-        "uid", "msg_id", F.floor(F.col("msg_id") / F.lit(block)).cast("long").alias("_blk"),
+        "uid", "msg_id", "_blk",
         *[e.alias(k) for k, e in partials.items()],
         (has_term & ~first).alias("_need"),
         F.when(has_term, last).when(first, F.lit(True)).alias("_state"))
@@ -340,7 +386,7 @@ def _blocked_aggregate(m: DataFrame, partials: dict, aggs: dict, block: int,
     blocks = blocks.withColumn("_in", F.last("_bs", ignorenulls=True).over(w_blk))
     carried = F.col("_xl") + F.when(F.col("_in"), F.col("_xo")).otherwise(F.lit(0))
     return blocks.groupBy("uid").agg(F.sum("_n").alias("n_msgs"),
-                                     *[combine[reaggs.get(k, "sum")](k).alias(k) for k in aggs],
+                                     *[COMBINE[reaggs.get(k, "sum")](k).alias(k) for k in aggs],
                                      F.sum(carried).alias("_x"))
 
 

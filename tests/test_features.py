@@ -96,3 +96,51 @@ def test_vocab_richness_approx_close_to_exact(spark):
     out = FT.user_features(df, ["vocab_richness", "vocab_richness_approx"], min_msgs=1).collect()
     for r in out:
         assert abs(r["vocab_richness"] - r["vocab_richness_approx"]) <= 0.02
+
+
+def _hot_user(n=4000):
+    """One user with most rows, ids made from times (far apart, in bursts)."""
+    rng = random.Random(9)
+    at, rows = 1_700_000_000_000_000_000, []
+    for i in range(n):
+        at += rng.choice([1 << 22, 1 << 22, 1 << 22, 1 << 45])
+        text = "".join(rng.choice(["hello ", "you", ". ", "! ", " and so", "...", "?"]) for _ in range(8))
+        rows.append((at, "hot" if i % 8 else f"u{i % 40}", text))
+    return rows
+
+
+def test_order_blocks_cut_a_hot_user_evenly(spark, monkeypatch):
+    rows = _hot_user()
+    df = spark.createDataFrame(rows + [(None, "hot", "x"), (5, None, "y")], "msg_id long, uid string, content string").repartition(6)
+    tagged = FT.with_order_blocks(df, df, block=100)
+    sizes = {(r["uid"], r["_blk"]): r["count"] for r in tagged.groupBy("uid", "_blk").count().collect()}
+    hot = [n for (u, _), n in sizes.items() if u == "hot"]
+    assert sum(hot) == 3501 and max(hot) <= 3 * sum(hot) / FT.CUTS + 2 and len(hot) > FT.CUTS / 3
+    assert all(b == 0 for u, b in sizes if u != "hot" and (u, 0) in sizes)
+    ordered = tagged.filter("uid = 'hot' and msg_id is not null").orderBy("msg_id").collect()
+    assert all(a["_blk"] <= b["_blk"] for a, b in zip(ordered, ordered[1:]))
+    untouched = FT.with_order_blocks(df, df, block=10_000)
+    assert {r["_blk"] for r in untouched.select("_blk").distinct().collect()} == {0}
+
+
+def test_hot_user_in_blocks_equals_one_block(spark):
+    df = spark.createDataFrame([(i, u, c + " " * 25, None) for i, u, c in _hot_user(1500)],
+                               "msg_id long, uid string, content string, sentiment string")
+    names = ["mean_sentence_len", "mean_wordcount", "mean_punct"]
+    whole = sorted(tuple(r) for r in FT.user_features(df, names, min_msgs=1).collect())
+    assert whole == sorted(tuple(r) for r in FT.user_features(df, names, min_msgs=1, block=20).collect())
+    by_user = {}
+    for i, u, c in sorted(_hot_user(1500)):
+        by_user.setdefault(u, []).append(c + " " * 25)
+    for u, _, length, *_ in whole:
+        s = " ".join(by_user[u])
+        assert abs(length - len(PY_WORD.findall(s)) / len(PY_SENT.findall(s))) < 1e-9
+
+
+def test_no_stage_holds_a_hot_user(spark):
+    """The rows of a hot user are windowed by block, not by user alone."""
+    df = spark.createDataFrame([(i, u, c, None) for i, u, c in _hot_user(600)],
+                               "msg_id long, uid string, content string, sentiment string")
+    plan = FT.user_features(df, ["mean_sentence_len"], min_msgs=1, block=20)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.split("\n") if "Window [last(_state" in line]
+    assert windows and all("_blk" in line.split("],")[1] for line in windows)
