@@ -67,6 +67,16 @@ def scan_skip_bad(spark, sf_dir):
     return R.read_skip_bad(spark, path, "event_id long, value double")
 
 
+@query("scan_rejects", "S05", "SELECT CAST(event_id AS VARCHAR) || ',not-a-number' AS record FROM events WHERE event_id % 10 = 9")
+def scan_rejects(spark, sf_dir):
+    """The raw text of the rows that scan_skip_bad drops."""
+    path = scratch(spark, "s05r")
+    ev = Fixtures(spark, sf_dir).events
+    bad = F.when(F.col("event_id") % 10 == 9, F.lit("not-a-number")).otherwise(F.col("value").cast("string"))
+    K.write_pipe(ev.select("event_id", bad.alias("value")), path, sep=",")
+    return R.read_rejects(spark, path, "event_id long, value double")
+
+
 @query("scan_pruned", "S06", duck_with("msgs") + "SELECT uid, content, sentiment FROM msgs")
 def scan_pruned(spark, sf_dir):
     return Fixtures(spark, sf_dir).msgs.select("uid", "content", "sentiment")

@@ -1,6 +1,7 @@
 """Readers for the reference's file formats (S01-S09): pipe CSV, the wide
 emotion CSV, positional fields, malformed-row handling and raw chat logs.
-Every read takes an explicit schema; no inference."""
+Every read takes an explicit schema; no inference. CSV files are read by
+many tasks each, also where quoted fields hold line ends (records.py)."""
 
 from __future__ import annotations
 
@@ -10,6 +11,7 @@ from pyspark.sql import types as T_
 
 from ..functions import text as T
 from ..functions.lexicons import EMOTIONS
+from .records import read_records, without_headers
 
 MESSAGES = T_.StructType([T_.StructField("uid", T_.StringType()), T_.StructField("timestamp", T_.StringType()),
                           T_.StructField("content", T_.StringType())])
@@ -20,26 +22,33 @@ EMOTION_TABLE = T_.StructType(
      T_.StructField("example_very_unclear", T_.IntegerType())]
     + [T_.StructField(e, T_.IntegerType()) for e in EMOTIONS])
 
-CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+CSV_OPTIONS = {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+
+
+def _parsed(spark: SparkSession, path: str, schema: T_.StructType | str, sep: str, **options: str) -> DataFrame:
+    """Records besides each file's first, parsed by position."""
+    fields = schema if isinstance(schema, T_.StructType) else T_.StructType.fromDDL(schema)
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    records = without_headers(read_records(spark, path, sep))
+    return records.select(F.from_csv("record", ddl, CSV_OPTIONS | {"sep": sep} | options).alias("_row")).select("_row.*")
 
 
 def read_pipe(spark: SparkSession, path: str, schema: T_.StructType | str = LABELLED, sep: str = "|") -> DataFrame:
     """Pipe-delimited CSV with header; quoted fields may hold the
     separator, quotes (doubled) and newlines."""
-    return spark.read.schema(schema).options(**CSV_OPTIONS).option("sep", sep).csv(path)
+    return _parsed(spark, path, schema, sep)
 
 
 def read_emotion_csv(spark: SparkSession, path: str) -> DataFrame:
     """Comma CSV with text, id, example_very_unclear and 28 flags."""
-    return spark.read.schema(EMOTION_TABLE).options(**CSV_OPTIONS).option("sep", ",").csv(path)
+    return _parsed(spark, path, EMOTION_TABLE, ",")
 
 
 def read_named_fields(spark: SparkSession, path: str, names: list[str], sep: str = "|") -> DataFrame:
     """The header line is skipped, fields are named by position by the
     caller; extra fields of a row are cut (PERMISSIVE), missing ones NULL."""
     schema = T_.StructType([T_.StructField(n, T_.StringType()) for n in names])
-    return (spark.read.schema(schema).options(**CSV_OPTIONS).option("sep", sep)
-            .option("enforceSchema", "true").csv(path))
+    return _parsed(spark, path, schema, sep)
 
 
 def check_header(spark: SparkSession, path: str, expected: list[str], sep: str = "|") -> DataFrame:
@@ -71,10 +80,8 @@ CORRUPT = "_corrupt_record"
 
 def _with_corrupt(spark: SparkSession, path: str, schema: T_.StructType | str, sep: str) -> DataFrame:
     fields = schema if isinstance(schema, T_.StructType) else T_.StructType.fromDDL(schema)
-    raw = (spark.read.schema(T_.StructType([*fields, T_.StructField(CORRUPT, T_.StringType())])).options(**CSV_OPTIONS)
-           .option("sep", sep).option("columnNameOfCorruptRecord", CORRUPT).csv(path))
-    # always true; names every column, for only columns that are read are parsed and found malformed
-    return raw.filter(F.length(F.concat_ws("", *[F.col(f.name).cast("string") for f in fields])) >= 0)
+    return _parsed(spark, path, T_.StructType([*fields, T_.StructField(CORRUPT, T_.StringType())]), sep,
+                   columnNameOfCorruptRecord=CORRUPT)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
