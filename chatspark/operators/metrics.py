@@ -4,16 +4,15 @@ Every metric starts from exact integer counts (one aggregate, partial
 aggregation before the shuffle); ratios are taken once at the end. Rank
 statistics (ROC AUC, Wilcoxon) group equal values first and use
 distributed prefix sums, never one global sort in a single task.
-p-values come from closed forms on the one-row result (driver side).
+p-values are Columns over the one-row results (functions/distributions.py).
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.distributions import normal_p_two_sided, normal_quantile, signed_rank_p_two_sided, student_p_two_sided
 from ..functions.lexicons import ID_LABELS
 from .ordered import prefix_sums
 
@@ -149,7 +148,7 @@ def _moments(df: DataFrame, d: Column) -> DataFrame:
 
 def paired_diff_test(df: DataFrame, a: str, b: str) -> DataFrame:
     """Means, population SDs, standard errors, the 2*(se_a+se_b) flag
-    and the paired t statistic of d = a - b. Inputs should be integers
+    and the paired t statistic of d = a - b with its two-sided p. Inputs should be integers
     (e.g. 0/1 correctness) so the power sums are exact."""
     A, B = F.col(a).cast("long"), F.col(b).cast("long")
     s = df.agg(F.count(F.lit(1)).alias("n"), F.sum(A).alias("sa"), F.sum(A * A).alias("saa"),
@@ -164,13 +163,15 @@ def paired_diff_test(df: DataFrame, a: str, b: str) -> DataFrame:
     t = F.try_divide(mean_d, F.sqrt(var_d / n))  # null for identical inputs
     return s.select(F.col("n"), mean_a.alias("mean_a"), mean_b.alias("mean_b"), mean_d.alias("mean_diff"),
                     sd_a.alias("sd_a"), sd_b.alias("sd_b"), se_a.alias("se_a"), se_b.alias("se_b"),
-                    (F.abs(mean_a - mean_b) > 2 * (se_a + se_b)).alias("beyond_2se"), t.alias("t_stat"))
+                    (F.abs(mean_a - mean_b) > 2 * (se_a + se_b)).alias("beyond_2se"), t.alias("t_stat")) \
+        .withColumn("p_value", student_p_two_sided(F.col("t_stat"), F.col("n") - 1))
 
 
 def wilcoxon_signed_rank(df: DataFrame, a: str, b: str) -> DataFrame:
     """Signed-rank statistic of d = a - b: zero differences dropped,
     average ranks of |d| for ties, W+ and W-, normal approximation z with
-    tie correction. Distinct |d| values are ranked by prefix sums."""
+    tie correction. Distinct |d| values are ranked by prefix sums. The
+    two-sided p is exact up to 50 differences without ties, else normal."""
     d = (F.col(a) - F.col(b))
     g = (df.select(d.alias("d")).filter(F.col("d") != 0)
          .groupBy(F.abs("d").alias("ad")).agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("d") > 0).alias("cp")))
@@ -183,7 +184,10 @@ def wilcoxon_signed_rank(df: DataFrame, a: str, b: str) -> DataFrame:
     mu = n * (n + 1) / 4.0
     var = n * (n + 1) * (2 * n + 1) / 24.0 - F.col("ties").cast("double") / 48.0
     ties = F.col("ties").try_cast("long").alias("ties")  # null where a long cannot hold it
-    return s.select("w_plus", "w_minus", "n", ties, F.try_divide(F.col("w_plus") - mu, F.sqrt(var)).alias("z"))
+    tested = s.select("w_plus", "w_minus", "n", ties, F.try_divide(F.col("w_plus") - mu, F.sqrt(var)).alias("z"))
+    exact = (F.col("n") <= 50) & (F.col("ties") == 0)
+    return tested.withColumn("p_value", F.when(exact, signed_rank_p_two_sided(F.col("w_plus"), F.when(exact, F.col("n"))))
+                             .otherwise(normal_p_two_sided(F.col("z"))))
 
 
 def normality_check(df: DataFrame, col: str) -> DataFrame:
@@ -202,25 +206,75 @@ def normality_check(df: DataFrame, col: str) -> DataFrame:
                     (n / 6 * (skew * skew + kurt * kurt / 4)).alias("jarque_bera"))
 
 
-def normal_p_two_sided(z: float) -> float:
-    """Two-sided p-value of a standard normal statistic (driver side)."""
-    return math.erfc(abs(z) / math.sqrt(2))
+def paired_p_values(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """(metric, n, t_stat, p_value): for each metric that is the mean of a
+    value per row, the paired t test of its two columns. One pass, one
+    aggregate; rows with a null are left out, equal columns and fewer than two
+    rows give nulls."""
+    diffs = F.array(*[F.struct(F.lit(m).alias("metric"), (F.col(a) - F.col(b)).cast("double").alias("d"))
+                      for m, (a, b) in pairs.items()])
+    per = df.select(F.explode(diffs).alias("r")).groupBy("r.metric").agg(
+        F.count("r.d").alias("n"), F.avg("r.d").alias("mean"), F.var_samp("r.d").alias("var"))
+    t = F.try_divide(F.col("mean"), F.sqrt(F.col("var") / F.col("n")))
+    return per.select("metric", "n", t.alias("t_stat")).withColumn(
+        "p_value", student_p_two_sided(F.col("t_stat"), F.col("n") - 1))
 
 
 def metric_verdict(metrics: DataFrame, baseline: str = "a", candidate: str = "b", margin: float = 1.05,
-                   z: DataFrame | None = None, lower_is_better: tuple[str, ...] = ("log_loss",)) -> DataFrame:
+                   z: DataFrame | None = None, lower_is_better: tuple[str, ...] = ("log_loss",),
+                   p_values: DataFrame | None = None, level: float = 0.05) -> DataFrame:
     """Per metric, practical improvement if candidate > margin x
-    baseline, or baseline > margin x candidate where lower is better; significant if |z| of the paired test exceeds the 5 % value."""
+    baseline, or baseline > margin x candidate where lower is better. With
+    ``p_values`` (metric, p_value) each metric has its own p, significant
+    below ``level`` (null without a p); with ``z`` instead, significant if
+    |z| of one paired test exceeds the 5 % value."""
     w = metrics.groupBy("metric").pivot("model", [baseline, candidate]).agg(F.first("value"))
     out = w.select("metric", F.col(baseline).alias("baseline"), F.col(candidate).alias("candidate"),
                    F.when(F.col("metric").isin(*lower_is_better), F.col(baseline) > F.col(candidate) * margin)
                    .otherwise(F.col(candidate) > F.col(baseline) * margin).alias("practical"))
-    if z is not None:
+    if p_values is not None:
+        # one row a metric on either side
+        out = out.join(p_values.select("metric", "p_value"), "metric", "left").withColumn("significant", F.col("p_value") < level)
+    elif z is not None:
         sig = z.select((F.abs(F.col("z")) > Z_05).alias("significant"))
         out = _attach_one_row(out, sig)
     return out
 
 
+def verdict_sentences(verdict: DataFrame) -> DataFrame:
+    """(place, line): two sentences on a verdict with p values, naming the
+    metrics that differ significantly and those of them that improve by the
+    margin, or none."""
+    def named(where: Column) -> Column:
+        return F.array_join(F.sort_array(F.collect_list(F.when(where, F.col("metric")))), ", ")
+
+    lists = verdict.agg(named(F.col("significant")).alias("a"), named(F.col("significant") & F.col("practical")).alias("b"))
+
+    def line(place: int, start: str, names: str) -> Column:
+        return F.struct(F.lit(place).alias("place"), F.concat(F.lit(start), F.when(F.col(names) == "", "no metric")
+                                                              .otherwise(F.col(names)), F.lit(".")).alias("line"))
+
+    return lists.select(F.explode(F.array(line(1, "Statistically significant difference on ", "a"),
+                                          line(2, "Practically significant improvement on ", "b"))).alias("r")).select("r.*")
+
+
+def qq_points(df: DataFrame, col: str, points: int = 99) -> DataFrame:
+    """(i, theoretical, sample) for i in 1..points: the normal quantile
+    and the sample's own at (i - 1/2) / points. Values are counted first, and
+    ranks come from distributed prefix sums, so only distinct values are
+    ordered. Nulls are left out."""
+    counts = df.select(F.col(col).alias("v")).filter("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    ranked = _attach_one_row(prefix_sums(counts, ["v"], ["c"]), counts.agg(F.sum("c").alias("n")))
+    # the points whose rank ceil((i - 1/2) / points * n) falls among a value's ranks
+    scaled = F.lit(2 * points) * F.col("c_before")
+    first = F.floor((scaled + F.col("n")) / (2 * F.col("n"))) + 1
+    last = F.floor((scaled + 2 * points * F.col("c") + F.col("n")) / (2 * F.col("n")))
+    rows = ranked.withColumns({"first": F.greatest(first, F.lit(1)), "last": F.least(last, F.lit(points))}) \
+        .filter(F.col("first") <= F.col("last")).select("v", F.explode(F.sequence("first", "last")).alias("i"))
+    return rows.select(F.col("i").cast("int").alias("i"), normal_quantile((F.col("i") - 0.5) / points).alias("theoretical"),
+                       F.col("v").cast("double").alias("sample"))
+
+
 def _attach_one_row(df: DataFrame, one: DataFrame) -> DataFrame:
     """Attach a one-row aggregate to every row (as typed literals)."""
     from .scalars import attach_one_row

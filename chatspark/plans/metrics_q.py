@@ -151,6 +151,19 @@ _PAIRED = _DS + """
 """
 
 
+def _normal_p(z: str) -> str:
+    """Two-sided p of the standard normal by Simpson's rule on 0 to |z|."""
+    return (f"(SELECT 1 - 2 * abs({z}) / 6000 / sqrt(2 * pi()) * sum(CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END "
+            f"* exp(-pow({z} * k / 2000, 2) / 2)) FROM range(2001) g(k))")
+
+
+def _student_p(t: str, df: str) -> str:
+    """Two-sided p of Student's t by Simpson's rule on 0 to |t|."""
+    return (f"(SELECT 1 - 2 * abs({t}) / 6000 * exp(lgamma(({df} + 1) / 2.0) - lgamma(({df}) / 2.0)) / sqrt(({df}) * pi()) * "
+            f"sum(CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * pow(1 + pow({t} * k / 2000, 2) / ({df}), "
+            f"-(({df}) + 1) / 2.0)) FROM range(2001) g(k))")
+
+
 @query("paired_diff_test", "A31", _PAIRED + """
 , s AS (SELECT count(*) AS n, CAST(sum(ca) AS BIGINT) AS sa, CAST(sum(ca * ca) AS BIGINT) AS saa, CAST(sum(cb) AS BIGINT) AS sb,
   CAST(sum(cb * cb) AS BIGINT) AS sbb, CAST(sum(ca - cb) AS BIGINT) AS sd, CAST(sum((ca - cb) * (ca - cb)) AS BIGINT) AS sdd FROM pr),
@@ -158,19 +171,20 @@ m AS (SELECT n, sa / n AS ma, sb / n AS mb, sd / n AS md, sqrt(greatest(saa / n
   sqrt(greatest(sbb / n - (sb / n) * (sb / n), 0.0)) AS sdb, (sdd - sd * sd / n) / (n - 1) AS vd FROM s)
 SELECT n, round(ma, 6) AS mean_a, round(mb, 6) AS mean_b, round(md, 6) AS mean_diff, round(sda, 6) AS sd_a, round(sdb, 6) AS sd_b,
   round(sda / sqrt(n), 6) AS se_a, round(sdb / sqrt(n), 6) AS se_b, abs(ma - mb) > 2 * (sda / sqrt(n) + sdb / sqrt(n)) AS beyond_2se,
-  round(md / sqrt(vd / n), 6) AS t_stat FROM m""")
+  round(md / sqrt(vd / n), 6) AS t_stat, round(""" + _student_p("md / sqrt(vd / n)", "n - 1") + """, 6) AS p_value FROM m""")
 def paired_diff_test(spark, sf_dir):
     r = M.paired_diff_test(paired(spark, sf_dir), "ca", "cb")
-    return _r6(r, ["mean_a", "mean_b", "mean_diff", "sd_a", "sd_b", "se_a", "se_b", "t_stat"])
+    return _r6(r, ["mean_a", "mean_b", "mean_diff", "sd_a", "sd_b", "se_a", "se_b", "t_stat", "p_value"])
 
 
 @query("wilcoxon_signed_rank", "A32", _PAIRED + """
 , g AS (SELECT abs(sa - sb) AS ad, count(*) AS c, count(*) FILTER (WHERE sa - sb > 0) AS cp FROM pr WHERE sa <> sb GROUP BY 1),
 r AS (SELECT *, coalesce(sum(c) OVER (ORDER BY ad ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (c + 1) / 2.0 AS rk FROM g),
 s AS (SELECT sum(cp * rk) AS w_plus, sum((c - cp) * rk) AS w_minus, CAST(sum(c) AS BIGINT) AS n, CAST(sum(c * c * c - c) AS BIGINT) AS ties FROM r)
-SELECT w_plus, w_minus, n, ties, round((w_plus - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0), 6) AS z FROM s""")
+SELECT w_plus, w_minus, n, ties, round(z, 6) AS z, round(""" + _normal_p("z") + """, 6) AS p_value FROM (
+  SELECT *, (w_plus - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0) AS z FROM s)""")
 def wilcoxon_signed_rank(spark, sf_dir):
-    return _r6(M.wilcoxon_signed_rank(paired(spark, sf_dir), "sa", "sb"), ["z"])
+    return _r6(M.wilcoxon_signed_rank(paired(spark, sf_dir), "sa", "sb"), ["z", "p_value"])
 
 
 @query("normality_check", "A33", _PAIRED + """
@@ -231,16 +245,71 @@ def metric_deltas(spark, sf_dir):
     return M.metric_deltas(metric_table(spark, sf_dir)).select("metric", F.round("delta", 6).alias("delta"))
 
 
+def paired_rows(spark, sf_dir) -> DataFrame:
+    """Per message both models' correctness (ca, cb) and loss (la, lb)."""
+    def one(model: str) -> DataFrame:
+        true = F.element_at(F.array("p0", "p1", "p2"), F.col("y_true") + 1)
+        return scored(spark, sf_dir, model).select(
+            "msg_id", (F.col("pred") == F.col("y_true")).cast("int").alias(f"c{model}"),
+            (-F.ln(F.least(F.greatest(true, F.lit(M.EPS)), F.lit(1 - M.EPS)))).alias(f"l{model}"))
+
+    return one("a").join(one("b"), "msg_id")
+
+
+def verdict(spark, sf_dir) -> DataFrame:
+    """The verdict on each metric; accuracy and log loss are means over
+    messages and have a p of their own."""
+    p = M.paired_p_values(paired_rows(spark, sf_dir), {"accuracy": ("ca", "cb"), "log_loss": ("la", "lb")})
+    v = M.metric_verdict(metric_table(spark, sf_dir), p_values=p)
+    return v.select("metric", *[F.round(c, 6).alias(c) for c in ("baseline", "candidate")], "practical",
+                    F.round("p_value", 6).alias("p_value"), "significant")
+
+
 #: the verdict on each metric, also of the written report
-VERDICT_SQL = _MT + """
-, w AS (SELECT metric, max(value) FILTER (WHERE model = 'a') AS baseline, max(value) FILTER (WHERE model = 'b') AS candidate FROM mt GROUP BY metric)
-SELECT metric, round(baseline, 6) AS baseline, round(candidate, 6) AS candidate, CASE WHEN metric = 'log_loss' THEN baseline > candidate * 1.05 ELSE candidate > baseline * 1.05 END AS practical FROM w"""
+_VERDICT_CTES = _MT + f"""
+, pv AS (SELECT CAST(a.pred = a.y_true AS INTEGER) - CAST(b.pred = b.y_true AS INTEGER) AS dc,
+  ln(least(greatest(list_extract([b.p0, b.p1, b.p2], b.y_true + 1), {M.EPS}), 1 - {M.EPS}))
+  - ln(least(greatest(list_extract([a.p0, a.p1, a.p2], a.y_true + 1), {M.EPS}), 1 - {M.EPS})) AS dl
+  FROM sc_a a JOIN sc_b b ON a.msg_id = b.msg_id),
+tt AS (SELECT 'accuracy' AS metric, count(*) AS n, avg(dc) / sqrt(var_samp(dc) / count(*)) AS t FROM pv
+  UNION ALL SELECT 'log_loss', count(*), avg(dl) / sqrt(var_samp(dl) / count(*)) FROM pv),
+tp AS (SELECT metric, """ + _student_p("t", "n - 1") + """ AS p FROM tt),
+w AS (SELECT metric, max(value) FILTER (WHERE model = 'a') AS baseline, max(value) FILTER (WHERE model = 'b') AS candidate FROM mt GROUP BY metric),
+v AS (SELECT w.metric, round(baseline, 6) AS baseline, round(candidate, 6) AS candidate, CASE WHEN w.metric = 'log_loss' THEN baseline > candidate * 1.05 ELSE candidate > baseline * 1.05 END AS practical,
+  round(p, 6) AS p_value, p < 0.05 AS significant FROM w LEFT JOIN tp ON tp.metric = w.metric)
+"""
+VERDICT_SQL = _VERDICT_CTES + "SELECT * FROM v"
 
 
 @query("metric_verdict", "A34", VERDICT_SQL)
 def metric_verdict(spark, sf_dir):
-    v = M.metric_verdict(metric_table(spark, sf_dir))
-    return v.select("metric", F.round("baseline", 6).alias("baseline"), F.round("candidate", 6).alias("candidate"), "practical")
+    return verdict(spark, sf_dir)
+
+
+@query("verdict_sentences", "S14", _VERDICT_CTES + """SELECT 1 AS place, 'Statistically significant difference on '
+  || coalesce(string_agg(metric, ', ' ORDER BY metric) FILTER (WHERE significant), 'no metric') || '.' AS line FROM v
+UNION ALL SELECT 2, 'Practically significant improvement on '
+  || coalesce(string_agg(metric, ', ' ORDER BY metric) FILTER (WHERE significant AND practical), 'no metric') || '.' FROM v""")
+def verdict_sentences(spark, sf_dir):
+    return M.verdict_sentences(verdict(spark, sf_dir))
+
+
+_QQ = 99
+
+
+def _theoretical() -> str:
+    from statistics import NormalDist
+    return ", ".join(f"({i}, {NormalDist().inv_cdf((i - 0.5) / _QQ)!r})" for i in range(1, _QQ + 1))
+
+
+@query("qq_points", "A36", _PAIRED + f"""
+, r AS (SELECT CAST(sa - sb AS DOUBLE) AS d, row_number() OVER (ORDER BY sa - sb) AS k, count(*) OVER () AS n FROM pr),
+q(i, theoretical) AS (VALUES {_theoretical()})
+SELECT CAST(q.i AS INTEGER) AS i, round(CAST(q.theoretical AS DOUBLE), 6) AS theoretical, r.d AS sample
+FROM q JOIN r ON r.k = ((2 * q.i - 1) * r.n + {2 * _QQ - 1}) // {2 * _QQ}""")
+def qq_points(spark, sf_dir):
+    d = paired(spark, sf_dir).select((F.col("sa") - F.col("sb")).alias("d"))
+    return M.qq_points(d, "d", _QQ).select("i", F.round("theoretical", 6).alias("theoretical"), "sample")
 
 
 @query("histogram_bins", "A36", _PAIRED + """

@@ -150,13 +150,11 @@ def _verdict_sql() -> str:
 @query("sink_report", "S14", _verdict_sql())
 def sink_report(spark, sf_dir):
     """The verdict table written as JSON lines and read back."""
-    from .metrics_q import metric_table
-    from ..operators import metrics as M
+    from .metrics_q import verdict
     path = scratch(spark, "s14")
-    v = M.metric_verdict(metric_table(spark, sf_dir))
-    K.write_report(v.select("metric", F.round("baseline", 6).alias("baseline"), F.round("candidate", 6).alias("candidate"),
-                            "practical"), path)
-    return spark.read.schema("metric string, baseline double, candidate double, practical boolean").json(path)
+    v = verdict(spark, sf_dir)
+    K.write_report(v, path)
+    return spark.read.schema(v.schema).json(path)
 
 
 @query("save_model", "S15")

@@ -1,6 +1,7 @@
 """Metrics: published golden values, and rank statistics vs brute force."""
 
 import itertools
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -90,7 +91,7 @@ def test_paired_and_verdict(spark):
                                "model string, metric string, value double")
     v = {x["metric"]: x["practical"] for x in M.metric_verdict(mt).collect()}
     assert v == {"accuracy": True, "f1": False}
-    assert abs(M.normal_p_two_sided(1.959963984540054) - 0.05) < 1e-9
+    assert abs(spark.range(1).select(M.normal_p_two_sided(F.lit(1.959963984540054))).first()[0] - 0.05) < 1e-9
 
 
 def test_select_best_stops_after_patience(spark):
@@ -149,3 +150,45 @@ def test_replay_keeps_rows_without_a_key(spark, tmp_path):
     from chatspark.streaming import streams as ST
     df = spark.createDataFrame([(1,), (2,), (3,), (4,), (None,)], "msg_id long")
     assert spark.read.parquet(ST.replay_files(df, str(tmp_path / "r"), "msg_id", 2)).count() == 5
+
+
+def test_p_values_per_metric_and_sentences(spark):
+    rng = random.Random(12)
+    rows = [(i, rng.random(), rng.random() + 0.05, float(i), float(i), None) for i in range(400)] + [(9, None, 1.0, 1.0, 1.0, None)]
+    df = spark.createDataFrame(rows, "i int, a double, b double, c double, d double, e double")
+    got = {r["metric"]: r for r in M.paired_p_values(df, {"x": ("a", "b"), "same": ("c", "d"), "none": ("a", "e")}).collect()}
+    d = [r[1] - r[2] for r in rows if r[1] is not None]
+    mean = sum(d) / len(d)
+    t = mean / math.sqrt(sum((x - mean) ** 2 for x in d) / (len(d) - 1) / len(d))
+    assert got["x"]["n"] == 400 and abs(got["x"]["t_stat"] - t) < 1e-9
+    assert abs(got["x"]["p_value"] - math.erfc(abs(t) / math.sqrt(2))) < 0.005
+    assert got["same"]["p_value"] is None and got["none"]["p_value"] is None and got["none"]["n"] == 0
+    table = spark.createDataFrame([("a", m, 0.5) for m in ("x", "y", "z")] + [("b", "x", 0.9), ("b", "y", 0.51), ("b", "z", 0.9)],
+                                  "model string, metric string, value double")
+    p = spark.createDataFrame([("x", 0.01), ("y", 0.02), ("z", 0.5)], "metric string, p_value double")
+    verdict = M.metric_verdict(table, p_values=p)
+    lines = [r["line"] for r in M.verdict_sentences(verdict).orderBy("place").collect()]
+    assert lines == ["Statistically significant difference on x, y.", "Practically significant improvement on x."]
+    none = [r["line"] for r in M.verdict_sentences(verdict.filter("metric = 'z'")).orderBy("place").collect()]
+    assert none == ["Statistically significant difference on no metric.", "Practically significant improvement on no metric."]
+
+
+def test_small_signed_rank_is_exact(spark):
+    df = spark.createDataFrame([(0, d) for d in (1, -2, 3, 4, 5)], "z int, d int")
+    r = M.wilcoxon_signed_rank(df, "d", "z").first()
+    assert (r["w_plus"], r["w_minus"]) == (13.0, 2.0) and abs(r["p_value"] - 0.1875) < 1e-12
+
+
+def test_qq_points_by_rank(spark):
+    import statistics
+    rng = random.Random(3)
+    for n in (1, 7, 99, 500):
+        values = [rng.randint(-5, 5) for _ in range(n)]
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v int")
+        got = {r["i"]: (r["theoretical"], r["sample"]) for r in M.qq_points(df, "v", 20).collect()}
+        ordered = sorted(values)
+        assert sorted(got) == list(range(1, 21))
+        for i, (q, v) in got.items():
+            assert v == ordered[-(-(2 * i - 1) * n // 40) - 1]
+            assert abs(q - statistics.NormalDist().inv_cdf((i - 0.5) / 20)) < 1e-7
+    assert M.qq_points(df.filter("v is null"), "v").count() == 0
