@@ -16,8 +16,11 @@ def drop_prefixed(df: DataFrame, prefix: str = "Unnamed") -> DataFrame:
 
 
 def rename_positional(df: DataFrame, names: list[str]) -> DataFrame:
-    """Set all column names by position (extra columns are cut)."""
-    return df.select(*df.columns[: len(names)]).toDF(*names)
+    """Set all column names by position; raises unless there are as many
+    names as columns."""
+    if len(names) != len(df.columns):
+        raise ValueError(f"{len(names)} names for {len(df.columns)} columns")
+    return df.toDF(*names)
 
 
 def rename_drop_if_present(df: DataFrame, rename: dict[str, str] | None = None,

@@ -11,7 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 BROADCAST_MAX_ROWS = 2_000_000
+#: a key is hot if it has this part of all rows, so at most so many keys are
+HOT_SHARE = 1000
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, bool]:
@@ -33,6 +37,26 @@ def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFr
     return small_side(df, max_rows)[0]
 
 
+def split_join(rows: DataFrame, facts: DataFrame, key: str, freq: str, how: str = "inner") -> DataFrame:
+    """Join ``rows`` with ``facts``, one row for each value of ``key``, whose
+    column ``freq`` says how many rows have that value.
+
+    Values with a share of at least 1 / HOT_SHARE of what ``freq`` adds up to,
+    of which there are at most HOT_SHARE, are broadcast, so their rows stay
+    where they are; the others, none of which is hot, meet in a shuffle.
+    ``freq`` is kept. ``how`` is inner or left; facts with a null key and rows
+    with one meet nothing. The facts are written once (they are read for their
+    sum and by both joins)."""
+    if how not in ("inner", "left"):
+        raise ValueError(f"split_join does inner and left joins, not {how}")
+    facts = cut_lineage(facts)
+    total = facts.agg(F.sum(freq)).first()[0] or 0
+    hot = facts.filter(F.col(freq) * HOT_SHARE >= F.lit(total))
+    hit = rows.join(F.broadcast(hot), key, "inner")
+    miss = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return hit.unionByName(miss.join(facts.filter(F.col(freq) * HOT_SHARE < F.lit(total)), key, how))
+
+
 def merge_user_aliases(msgs: DataFrame, alias: DataFrame, uid: str = "uid") -> DataFrame:
     """Replace uid by its canonical uid when listed."""
     a = sized_broadcast(alias.select(F.col("uid").alias("_alias_uid"), F.col("canonical").alias("_canonical")))

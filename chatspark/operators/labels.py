@@ -197,6 +197,57 @@ def punctuation_labeler_pandas():
     return run
 
 
+def isolated_labeler(label_batch):
+    """A labeler from ``label_batch(pdf) -> labels`` (one for each row of
+    msg_id, chunk_id, chunk) that no row can stop.
+
+    A batch that raises, or gives another number of labels, is cut in half
+    until the failing rows are alone; these get a null label (``Err`` in
+    :func:`run_labelers`) and the message in ``error``. So ``label_batch`` must
+    be free to see rows again; it runs at most twice the depth of the halving
+    over a row."""
+    import pandas as pd
+
+    def tried(pdf):
+        try:
+            labels = list(label_batch(pdf))
+            if len(labels) != len(pdf):
+                raise ValueError(f"{len(labels)} labels for {len(pdf)} rows")
+            return labels, [None] * len(pdf)
+        except Exception as e:
+            if len(pdf) == 1:
+                return [None], [f"{type(e).__name__}: {e}"]
+        half = len(pdf) // 2
+        (a, b), (c, d) = tried(pdf.iloc[:half]), tried(pdf.iloc[half:])
+        return a + c, b + d
+
+    def batches(it):
+        for pdf in it:
+            labels, errors = tried(pdf) if len(pdf) else ([], [])
+            yield pd.DataFrame({"msg_id": pdf["msg_id"], "chunk_id": pdf["chunk_id"], "label": pd.Series(labels, index=pdf.index, dtype=object),
+                                "error": pd.Series(errors, index=pdf.index, dtype=object)})
+
+    def run(chunks: DataFrame) -> DataFrame:
+        return chunks.select("msg_id", "chunk_id", "chunk").mapInPandas(
+            batches, "msg_id long, chunk_id int, label string, error string")
+
+    return run
+
+
+def write_with_rejects(labelled: DataFrame, labels_path: str, rejects_path: str) -> dict[str, int]:
+    """Write what :func:`isolated_labeler` gives: the labels (``Err`` where a
+    row failed) and a table of the rejected rows with their messages. Both are
+    overwritten by a repeated run. Returns how many rows there are of either,
+    counted while the labels are written."""
+    from pyspark.sql import Observation
+    seen = Observation()
+    counted = labelled.observe(seen, F.count(F.lit(1)).alias("rows"), F.count("error").alias("rejects"))
+    counted.withColumn("label", F.coalesce("label", F.lit("Err"))).write.mode("overwrite").parquet(labels_path)
+    written = labelled.sparkSession.read.parquet(labels_path)
+    written.filter("error is not null").select("msg_id", "chunk_id", "error").write.mode("overwrite").parquet(rejects_path)
+    return dict(seen.get)
+
+
 def run_labelers(chunks: DataFrame, labelers: list) -> DataFrame:
     """apply each labeler ``fn(chunks) -> (msg_id, chunk_id, label)``;
     a failing labeler row gives ``Err`` (L13). Returns the vote table

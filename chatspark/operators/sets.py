@@ -57,6 +57,15 @@ def split_sizes(n: int, train_ratio: float, val_ratio: float) -> tuple[int, int,
     return n_train, n_val, rest - n_val
 
 
+def split_test_size(df: DataFrame, test_size: float, key: str = "msg_id", seed: int = 69) -> DataFrame:
+    """W07, two-way form: the test part has ceil(n * test_size) rows, the rest
+    trains, in keyed-hash order. Adds ``split`` in {train, test}."""
+    n = df.count()
+    n_train = n - math.ceil(n * test_size)
+    ranked = global_index(df.withColumn("_h", hash_key(F.col(key), seed)), ["_h", key], "_idx")
+    return ranked.withColumn("split", F.when(F.col("_idx") < n_train, "train").otherwise("test")).drop("_h", "_idx")
+
+
 def split_exact(df: DataFrame, key: str = "msg_id", train_ratio: float = 0.75, val_ratio: float = 0.1,
                 seed: int = 69) -> DataFrame:
     """Exact sizes (e.g. 33,026 -> 24,769 / 5,504 / 2,753) in keyed-hash

@@ -2,8 +2,8 @@
 
 Term statistics are long tables ``(doc, term, count)`` built with one
 explode and one ``groupBy`` (map-side combine). A fitted vocabulary has all
-terms and is joined; only where the caller bounds it by ``max_features`` is
-it broadcast. Top-k per group uses pre-aggregated, bounded groups
+terms unless the caller bounds it; it is joined with hot terms apart
+(:func:`~chatspark.operators.joins.split_join`). Top-k per group uses pre-aggregated, bounded groups
 (or the salted two-stage ranking for unbounded ones).
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..session import cut_lineage
+from .joins import split_join
 from .ordered import top_k_per_group
 
 # \b\w\w+\b on lower-cased text: runs of two or more Unicode word characters
@@ -97,10 +98,9 @@ def tfidf(train: DataFrame, test: DataFrame, key: str = "msg_id", text: str = "c
     n = train.select(key).distinct().agg(F.count(F.lit(1)).alias("_n"))
     vocab = fit_vocabulary(tr, max_features)
     idf = _with_total(vocab, n)
-    idf = idf.select("term", (F.ln((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    idf = idf.select("term", "df", (F.ln((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"))
     te = doc_terms(test, key, text, stop_words)
-    v = idf if max_features is None else F.broadcast(idf)
-    w = te.join(v, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    w = split_join(te, idf, "term", "df").withColumn("w", F.col("tf") * F.col("idf"))
     # L2 norm per document with a window over the document's own terms
     # (bounded by its distinct terms): no self-join, one pass over the text
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
@@ -116,11 +116,14 @@ def doc_term_counts(docs: DataFrame, key: str = "msg_id", text: str = "content",
                     max_df: float = 0.9, stop_words: list[str] | None = None) -> DataFrame:
     """Bag of words restricted to terms in [min_df, max_df] of the
     documents -> (key, term, tf)."""
-    dt = doc_terms(docs, key, text, stop_words)
+    # written once: counted and filtered from one pass over the texts
+    dt = cut_lineage(doc_terms(docs, key, text, stop_words))
     n = docs.select(key).distinct().agg(F.count(F.lit(1)).alias("_n"))
     dfs = _with_total(dt.groupBy("term").agg(F.count(F.lit(1)).alias("_df")), n)
     keep = dfs.filter((F.col("_df") >= F.col("_n") * min_df) & (F.col("_df") <= F.col("_n") * max_df)).select("term")
-    return dt.join(keep, "term", "left_semi")
+    # a term of at least min_df of the documents: no more of them than the mean
+    # number of distinct terms a document has, over min_df
+    return dt.join(F.broadcast(keep) if min_df > 0 else keep, "term", "left_semi")
 
 
 def class_tfidf(docs: DataFrame, cls: str, text: str = "content", top_n: int = 10,

@@ -101,6 +101,12 @@ def split_exact(spark, sf_dir):
     return S.split_exact(Fixtures(spark, sf_dir).msgs.select("msg_id")).select("msg_id", "split")
 
 
+@query("split_test_size", "W07", duck_with("msgs") + _SPLIT +
+       "SELECT msg_id, CASE WHEN idx < (SELECT count(*) - ceil(count(*) * 0.15) FROM msgs) THEN 'train' ELSE 'test' END AS split FROM t")
+def split_test_size(spark, sf_dir):
+    return S.split_test_size(Fixtures(spark, sf_dir).msgs.select("msg_id"), 0.15).select("msg_id", "split")
+
+
 @query("split_hash", "W08", duck_with("msgs") + """
 SELECT msg_id, CASE WHEN u < 0.75 THEN 'train' WHEN u < 0.75 + (1 - 0.75) * (0.1 / (1 - (0.75 + 0.1))) THEN 'val' ELSE 'test' END AS split
 FROM (SELECT msg_id, CAST(('0x' || substr(md5(CAST(msg_id AS VARCHAR) || '69'), 1, 8))::BIGINT AS DOUBLE) / 4294967296.0 AS u FROM msgs)""")

@@ -181,6 +181,28 @@ r AS (SELECT *, row_number() OVER (PARTITION BY msg_id ORDER BY n DESC, f, label
 SELECT msg_id, label, n AS votes FROM r WHERE rk = 1"""
 
 
+def _raising(pdf):
+    """A labeler that cannot stand a per cent sign."""
+    bad = pdf["chunk"].str.contains("%", regex=False)
+    if bad.any():
+        raise ValueError("per cent")
+    return ["pos" if len(c) % 2 else "neg" for c in pdf["chunk"]]
+
+
+@query("isolated_labels", "L13", duck_with("msgs", "lexicon") + _CHUNKS.replace("{{", "{").replace("}}", "}").split(",\ncw AS")[0] + """
+SELECT msg_id, chunk_id, CASE WHEN contains(chunk, '%') THEN 'Err' WHEN length(chunk) % 2 = 1 THEN 'pos' ELSE 'neg' END AS label,
+  CASE WHEN contains(chunk, '%') THEN 'ValueError: per cent' END AS error FROM ch""")
+def isolated_labels(spark, sf_dir):
+    """Labels of a labeler that raises on some rows, and their rejects."""
+    from ..operators.clean import chunk_text
+    from ..streaming.streams import scratch
+    path = scratch(spark, "l13")
+    chunks = chunk_text(Fixtures(spark, sf_dir).msgs.select("msg_id", "content"))
+    L.write_with_rejects(L.isolated_labeler(_raising)(chunks), f"{path}/labels", f"{path}/rejects")
+    labels = spark.read.parquet(f"{path}/labels").drop("error")
+    return labels.join(spark.read.parquet(f"{path}/rejects"), ["msg_id", "chunk_id"], "left")
+
+
 @query("custom_labeler_vote", "F06", duck_with("msgs", "lexicon") + _CHUNKS.replace("{{", "{").replace("}}", "}"))
 def custom_labeler_vote(spark, sf_dir):
     """Chunk every message (X05), run three pluggable labelers (two lexicon

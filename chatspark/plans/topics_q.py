@@ -53,7 +53,7 @@ _SPLIT = """(SELECT msg_id, content, CASE WHEN u < 0.75 THEN 'train' ELSE 'test'
 , sp AS {_SPLIT},
 dt AS (SELECT msg_id, split, term, count(*) AS tf FROM (SELECT msg_id, split, unnest({_TERMS}) AS term FROM sp) GROUP BY ALL),
 n AS (SELECT count(*) AS n FROM sp WHERE split = 'train'),
-v AS (SELECT term, count(*) AS df, sum(tf) AS cnt FROM dt WHERE split = 'train' GROUP BY term ORDER BY cnt DESC, term LIMIT 5000),
+v AS (SELECT term, count(*) AS df, sum(tf) AS cnt FROM dt WHERE split = 'train' GROUP BY term),
 idf AS (SELECT term, ln((1 + n) / (1 + df)) + 1 AS idf FROM v, n),
 w AS (SELECT msg_id, dt.term, tf * idf AS w FROM dt JOIN idf ON idf.term = dt.term WHERE split = 'test'),
 nr AS (SELECT msg_id, sqrt(sum(w * w)) AS nrm FROM w GROUP BY msg_id)
@@ -62,15 +62,15 @@ def tfidf(spark, sf_dir):
     m = S.split_hash(Fixtures(spark, sf_dir).msgs.select("msg_id", "content"), train_ratio=0.75, val_ratio=0.0)
     train = m.filter(F.col("split") == "train")
     test = m.filter(F.col("split") != "train")
-    r = TP.tfidf(train, test, max_features=5000)
+    r = TP.tfidf(train, test)
     return r.select("msg_id", "term", F.round("weight", 6).alias("weight"))
 
 
 @query("doc_term_counts", "M02", duck_with("msgs") + f"""
-, dt AS (SELECT msg_id, term, count(*) AS tf FROM (SELECT msg_id, unnest(list_filter({_TERMS}, lambda t: t NOT IN ({_STOP}))) AS term FROM msgs) GROUP BY ALL),
-n AS (SELECT count(*) AS n FROM msgs),
-k AS (SELECT term FROM dt, n GROUP BY term, n.n HAVING count(*) >= n.n * 0.1 AND count(*) <= n.n * 0.9)
-SELECT msg_id, term, tf FROM dt WHERE term IN (SELECT term FROM k)""")
+, dt AS MATERIALIZED (SELECT msg_id, term, count(*) AS tf FROM (SELECT msg_id, unnest({_TERMS}) AS term FROM msgs) GROUP BY ALL),
+k AS (SELECT term FROM dt WHERE term NOT IN ({_STOP}) GROUP BY term
+  HAVING count(*) >= (SELECT count(*) FROM msgs) * 0.1 AND count(*) <= (SELECT count(*) FROM msgs) * 0.9)
+SELECT msg_id, term, tf FROM dt SEMI JOIN k ON k.term = dt.term""")
 def doc_term_counts(spark, sf_dir):
     m = Fixtures(spark, sf_dir).msgs
     return TP.doc_term_counts(m, stop_words=ENGLISH_STOP_WORDS).select("msg_id", "term", "tf")

@@ -52,10 +52,11 @@ def load_model(path: str):
 
 
 def overlength_side_output(df: DataFrame, side_path: str, max_len: int = 512, col: str = "content") -> DataFrame:
-    """Rows with more than ``max_len`` tokens are appended to a side
-    table and still flow on, truncated to ``max_len`` tokens."""
+    """Rows with more than ``max_len`` tokens are written to a side table
+    (a run that is repeated overwrites it) and still flow on, truncated to
+    ``max_len`` tokens."""
     toks = T.tokens_ws(col)
     tagged = df.withColumn("_n", F.size(toks))
-    tagged.filter(F.col("_n") > max_len).drop("_n").write.mode("append").parquet(side_path)
+    tagged.filter(F.col("_n") > max_len).drop("_n").write.mode("overwrite").parquet(side_path)
     return (tagged.withColumn("truncated", F.col("_n") > max_len)
             .withColumn(col, F.concat_ws(" ", F.slice(toks, 1, max_len))).drop("_n"))
