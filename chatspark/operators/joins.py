@@ -37,7 +37,8 @@ def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFr
     return small_side(df, max_rows)[0]
 
 
-def split_join(rows: DataFrame, facts: DataFrame, key: str, freq: str, how: str = "inner") -> DataFrame:
+def split_join(rows: DataFrame, facts: DataFrame, key: str, freq: str, how: str = "inner",
+               total: int | None = None) -> DataFrame:
     """Join ``rows`` with ``facts``, one row for each value of ``key``, whose
     column ``freq`` says how many rows have that value.
 
@@ -46,11 +47,13 @@ def split_join(rows: DataFrame, facts: DataFrame, key: str, freq: str, how: str
     where they are; the others, none of which is hot, meet in a shuffle.
     ``freq`` is kept. ``how`` is inner or left; facts with a null key and rows
     with one meet nothing. The facts are written once (they are read for their
-    sum and by both joins)."""
+    sum and by both joins); a caller who knows the sum gives ``total`` and
+    facts that are written already."""
     if how not in ("inner", "left"):
         raise ValueError(f"split_join does inner and left joins, not {how}")
-    facts = cut_lineage(facts)
-    total = facts.agg(F.sum(freq)).first()[0] or 0
+    if total is None:
+        facts = cut_lineage(facts)
+        total = facts.agg(F.sum(freq)).first()[0] or 0
     hot = facts.filter(F.col(freq) * HOT_SHARE >= F.lit(total))
     hit = rows.join(F.broadcast(hot), key, "inner")
     miss = rows.join(F.broadcast(hot.select(key)), key, "left_anti")

@@ -169,11 +169,12 @@ def lda_topics(docs: DataFrame, k: int = 10, vocab_size: int | None = None, max_
     return model, model.transform(d), topic_terms
 
 
-def dominant_topic(transformed: DataFrame, uid: str = "uid") -> DataFrame:
-    """Argmax of the mean topic distribution of a user's messages.
+def dominant_topic(transformed: DataFrame, uid: str = "uid", col: str = "topicDistribution") -> DataFrame:
+    """M04 (``col``: an ML vector or an array of shares): argmax of the mean topic distribution of a user's messages.
     One global model; per-(user, topic) means; bounded top-1 per user."""
     from pyspark.ml.functions import vector_to_array
-    dist = transformed.select(uid, F.posexplode(vector_to_array("topicDistribution")).alias("topic", "p"))
+    shares = F.col(col) if dict(transformed.dtypes)[col].startswith("array") else vector_to_array(col)
+    dist = transformed.select(uid, F.posexplode(shares).alias("topic", "p"))
     means = dist.groupBy(uid, "topic").agg(F.avg("p").alias("mean_p"))
     return top_k_per_group(means, [uid], [F.desc("mean_p"), F.asc("topic")], 1)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicons import ENGLISH_STOP_WORDS
 from ..operators import sets as S
+from ..operators import lda as LD
 from ..operators import topics as TP
 from ..sources.fixtures import Fixtures, duck_with
 from . import duck as D
@@ -104,19 +105,24 @@ def parse_topic_terms(spark, sf_dir):
     return s.select("msg_id", F.explode(TP.parse_topic_terms("s")).alias("r")).select("msg_id", "r.weight", "r.word")
 
 
-# ----------------------------------------------------- Spark ML (rows only)
+# ------------------------------------------- iterative models (rows only)
+def _batch_lda(spark, sf_dir):
+    """Messages and the model of 10 topics, 10 iterations over all messages
+    and all terms but the stop words."""
+    m = Fixtures(spark, sf_dir).msgs.select("msg_id", "uid", "content")
+    counts = TP.doc_terms(m, stop_words=ENGLISH_STOP_WORDS)
+    return m, LD.lda_batch(counts, k=10, iterations=10, bounds=False)
+
+
 @query("lda_topics", "M03")
 def lda_topics(spark, sf_dir):
-    m = Fixtures(spark, sf_dir).msgs.select("msg_id", "uid", "content")
-    _, _, topics = TP.lda_topics(m, k=10, stop_words=ENGLISH_STOP_WORDS)
-    return topics.select("topic", "rank", "term", "weight")
+    return _batch_lda(spark, sf_dir)[1].top_terms(10)
 
 
 @query("dominant_topic", "M04")
 def dominant_topic(spark, sf_dir):
-    m = Fixtures(spark, sf_dir).msgs.select("msg_id", "uid", "content")
-    _, transformed, _ = TP.lda_topics(m, k=10, stop_words=ENGLISH_STOP_WORDS)
-    return TP.dominant_topic(transformed)
+    m, model = _batch_lda(spark, sf_dir)
+    return TP.dominant_topic(m.select("msg_id", "uid").join(model.distributions(), "msg_id"), col="topic_distribution")
 
 
 def _embedding_vectors(spark, sf_dir):
@@ -133,9 +139,18 @@ def cluster_topics(spark, sf_dir):
 
 @query("topic_info", "M07")
 def topic_info(spark, sf_dir):
-    m = Fixtures(spark, sf_dir).msgs.select("msg_id", "uid", "content")
-    _, transformed, topics = TP.lda_topics(m, k=10, stop_words=ENGLISH_STOP_WORDS)
     from ..operators.labels import argmax
-    from pyspark.ml.functions import vector_to_array
-    assigned = transformed.select(argmax(vector_to_array("topicDistribution")).alias("topic"))
-    return TP.topic_info(assigned, topics)
+    _, model = _batch_lda(spark, sf_dir)
+    assigned = model.distributions().select(argmax(F.col("topic_distribution")).alias("topic"))
+    return TP.topic_info(assigned, model.top_terms(4))
+
+
+@query("reduced_topics", "M07")
+def reduced_topics(spark, sf_dir):
+    """The labels of the embeddings as topics, merged until half are left."""
+    e = Fixtures(spark, sf_dir).embeddings.select(F.col("label").alias("topic"), F.posexplode("embedding").alias("i", "x"))
+    cells = e.groupBy("topic", "i").agg(F.avg(F.col("x").cast("double")).alias("x"), F.count(F.lit(1)).alias("count"))
+    vectors = cells.groupBy("topic").agg(F.max("count").alias("count"), F.transform(
+        F.sort_array(F.collect_list(F.struct("i", "x"))), lambda c: c["x"]).alias("vector"))
+    n = vectors.count()
+    return LD.reduce_topics(vectors.select("topic", "vector"), n // 2, vectors.select("topic", "count"))
