@@ -59,8 +59,7 @@ def test_registered_text_models_use_the_published_vocabulary(spark, monkeypatch)
 
 @pytest.mark.parametrize("name, kind, want", [
     ("train_random_forest", "classification.RandomForestClassifier", {"numTrees": 150, "maxDepth": 30}),
-    ("train_linear_svm_ovr", "classification.LinearSVC", {"maxIter": 1500, "tol": 1e-4}),
-    ("lda_topics", "clustering.LDA", {"k": 10, "maxIter": 10})])
+    ("train_linear_svm_ovr", "classification.LinearSVC", {"maxIter": 1500, "tol": 1e-4})])
 def test_registered_sizes_are_the_published_ones(spark, monkeypatch, name, kind, want):
     import pyspark.ml.classification
     import pyspark.ml.clustering
@@ -76,3 +75,21 @@ def test_registered_sizes_are_the_published_ones(spark, monkeypatch, name, kind,
     monkeypatch.setattr(getattr(getattr(pyspark.ml, module), cls), "_fit", fit)
     with pytest.raises(Stop):
         load_all()[name].build(spark, SF)
+
+
+def test_registered_lda_has_the_published_size(spark, monkeypatch):
+    from chatspark.operators import lda
+
+    class Stop(Exception):
+        pass
+
+    def fit(counts, k, iterations, **_):
+        assert (k, iterations) == (10, 10)
+        # every message with a term, every term but the stop words
+        assert counts.select("msg_id").distinct().count() > 100
+        raise Stop
+
+    monkeypatch.setattr(lda, "lda_batch", fit)
+    for name in ("lda_topics", "dominant_topic", "topic_info"):
+        with pytest.raises(Stop):
+            load_all()[name].build(spark, SF)
