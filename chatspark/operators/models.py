@@ -8,8 +8,7 @@ objects are fitted parameters (bounded by feature count x classes).
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, LogisticRegression, OneVsRest,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IDF, PCA, CountVectorizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -33,6 +32,12 @@ def tfidf_stages(vocab_size: int | None = None, out: str = "text_vec"):
             IDF(inputCol="_tf", outputCol=out)]
 
 
+def maxabs_tfidf_stages(vocab_size: int | None = None, out: str = "text_vec"):
+    """The same, each term's weight divided by its largest in the fitted rows."""
+    from pyspark.ml.feature import MaxAbsScaler
+    return [*tfidf_stages(vocab_size, out="_unscaled"), MaxAbsScaler(inputCol="_unscaled", outputCol=out)]
+
+
 def assemble(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=cols, outputCol=out).transform(df)
 
@@ -67,17 +72,13 @@ def pca_scores(df: DataFrame, cols: list[str], k: int = 2, out: str = "pca") ->
 
 def train_classifier(train: DataFrame, kind: str = "logreg", label: str = "label", features: str = "features",
                      weight: str | None = None, seed: int = 69, **params):
-    """One classifier on an assembled feature column."""
+    """One classifier on an assembled feature column (M15: svm.py)."""
     if kind == "tree":
         est = DecisionTreeClassifier(labelCol=label, featuresCol=features, impurity="gini",
                                      maxDepth=min(params.get("maxDepth", 10), 30), seed=seed)
     elif kind == "forest":
         est = RandomForestClassifier(labelCol=label, featuresCol=features, numTrees=params.get("numTrees", 150),
                                      maxDepth=min(params.get("maxDepth", 30), 30), seed=seed)
-    elif kind == "svm":
-        n = params.get("n", 1000)
-        est = OneVsRest(classifier=LinearSVC(regParam=1.0 / (params.get("C", 0.9) * n), tol=params.get("tol", 1e-4),
-                                             maxIter=params.get("maxIter", 100)), labelCol=label, featuresCol=features)
     else:
         est = LogisticRegression(labelCol=label, featuresCol=features, maxIter=params.get("maxIter", 50),
                                  regParam=params.get("regParam", 0.01), family="multinomial")
@@ -86,31 +87,6 @@ def train_classifier(train: DataFrame, kind: str = "logreg", label: str = "label
     return est.fit(train)
 
 
-def linear_svm_ovr(train: DataFrame, test: DataFrame, key: str = "msg_id", label: str = "label",
-                   features: str = "features", C: float = 0.9, tol: float = 1e-4, max_iter: int = 1500) -> DataFrame:
-    """One-vs-rest linear SVMs: one binary LinearSVC per class seen in
-    training (a bounded loop over classes), prediction = class with the
-    largest margin. regParam = 1 / (C * n) matches the C of the published
-    setup. The training frame is persisted (iterative learner)."""
-    from pyspark import StorageLevel
-    tr = train.select(label, features).persist(StorageLevel.MEMORY_AND_DISK)
-    n = tr.count()
-    classes = sorted(r[0] for r in tr.select(label).distinct().collect())
-    margins = test.select(key, label, features)
-    cols = []
-    for i, c in enumerate(classes):
-        binary = tr.select(F.when(F.col(label) == c, 1.0).otherwise(0.0).alias("_y"), features)
-        m = LinearSVC(labelCol="_y", featuresCol=features, regParam=1.0 / (C * max(n, 1)), tol=tol,
-                      maxIter=max_iter).fit(binary)
-        margins = (m.setPredictionCol(f"_pred{i}").setRawPredictionCol(f"_raw{i}").transform(margins)
-                   .withColumn(f"_m{i}", vector_to_array(f"_raw{i}")[1]).drop(f"_pred{i}", f"_raw{i}"))
-        cols.append(F.col(f"_m{i}"))
-    arr = F.array(*cols)
-    best = F.array_position(arr, F.array_max(arr)) - 1
-    cls = F.element_at(F.array(*[F.lit(float(c)) for c in classes]), best.cast("int") + 1)
-    return margins.select(key, label, cls.alias("prediction"))
-
-
 def text_pipeline(vocab_size: int | None = None, extra_cols: list[str] | None = None, max_iter: int = 50,
                   reg: float = 0.01) -> Pipeline:
     """M17 (no extra columns) / M18 (``extra_cols`` = scaled user vector):

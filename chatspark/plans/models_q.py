@@ -14,6 +14,7 @@ from ..operators import labels as L
 from ..operators import metrics as M
 from ..operators import models as MD
 from ..operators import sets as S
+from ..session import cut_lineage
 from ..sources.fixtures import Fixtures
 from .features_q import duck_user_features
 from .registry import query
@@ -82,14 +83,13 @@ _MAX_FEATURES = {"tree": 300_000, "forest": 99_999, "svm": 300_000}
 def _fit_text_model(spark, sf_dir, kind: str):
     from pyspark.ml import Pipeline
     d = MD.text_features(_emotion_data(spark, sf_dir))
-    feats = Pipeline(stages=MD.tfidf_stages(_MAX_FEATURES[kind], out="features")).fit(d.filter("split = 'train'"))
+    stages = MD.maxabs_tfidf_stages if kind == "forest" else MD.tfidf_stages
+    feats = Pipeline(stages=stages(_MAX_FEATURES[kind], out="features")).fit(d.filter("split = 'train'"))
     v = feats.transform(d).select("msg_id", "label", "weight", "split", "features")
     # iterative learners re-read their input every pass: keep it materialised
     train = v.filter("split = 'train'").persist(StorageLevel.MEMORY_AND_DISK)
     test = v.filter("split <> 'train'")
-    if kind == "svm":
-        return MD.linear_svm_ovr(train, test, key="msg_id")
-    model = MD.train_classifier(train, kind, weight="weight", n=1000, numTrees=150, maxDepth=30)
+    model = MD.train_classifier(train, kind, weight="weight", numTrees=150, maxDepth=30)
     return model.transform(test).select("msg_id", "label", F.col("prediction"))
 
 
@@ -105,7 +105,15 @@ def train_random_forest(spark, sf_dir):
 
 @query("train_linear_svm_ovr", "M15")
 def train_linear_svm_ovr(spark, sf_dir):
-    return _fit_text_model(spark, sf_dir, "svm")
+    """Fitted on the training split's max-abs scaled TF-IDF vectors, with the
+    published C, tolerance and rounds; predicts the other rows."""
+    from ..operators import svm
+    from ..operators.vectors import scaled_tfidf
+    d = _emotion_data(spark, sf_dir).withColumn("is_train", F.col("split") == "train")
+    vectors, _ = scaled_tfidf(d, "is_train", max_features=_MAX_FEATURES["svm"])
+    vectors = cut_lineage(vectors)
+    model = svm.fit_linear_svm(vectors.filter("is_train"), _MAX_FEATURES["svm"], C=0.9, tol=1e-4, max_iter=1500)
+    return model.predict(vectors.filter("not is_train")).select("msg_id", "label", "prediction")
 
 
 # ---------------------------------------------- sentiment models
