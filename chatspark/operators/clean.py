@@ -108,6 +108,14 @@ def quality_checks(df: DataFrame) -> DataFrame:
     )
 
 
+def one_user_violations(df: DataFrame, group: str, uid: str = "uid") -> DataFrame:
+    """(group, n_users, missing_uid) of the groups whose messages are
+    not all of one user: two users or more, or rows without one beside others."""
+    per = df.groupBy(group).agg(F.count_if(F.col(uid).isNull()).alias("missing_uid"), F.count_distinct(uid).alias("n_users"))
+    return per.filter((F.col("n_users") > 1) | ((F.col("missing_uid") > 0) & (F.col("n_users") > 0))) \
+        .select(group, "n_users", "missing_uid")
+
+
 def drop_first_row(df: DataFrame, order: str = "msg_id") -> DataFrame:
     """P16 (compat): the row with the smallest key is lost. Found with a
     global min (partial aggregate), not a global row_number."""

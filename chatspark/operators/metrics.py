@@ -241,6 +241,50 @@ def metric_verdict(metrics: DataFrame, baseline: str = "a", candidate: str = "b"
     return out
 
 
+def metric_table(scored: dict[str, DataFrame]) -> DataFrame:
+    """Long table (model, metric, value) of tables with y_true, pred and p0 to
+    p2: accuracy, F1 averages, log loss and macro one-vs-rest ROC AUC."""
+    parts = []
+    for model, s in scored.items():
+        acc = accuracy(s).select(F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value"))
+        rep = class_report(s).filter(F.col("class").isin("macro avg", "weighted avg")).select(
+            F.concat(F.lit("f1 "), F.col("class")).alias("metric"), F.col("f1").alias("value"))
+        ll = log_loss(s).select(F.lit("log_loss").alias("metric"), F.col("log_loss").alias("value"))
+        auc = macro_auc(roc_auc_ovr(s)).select(F.lit("roc_auc").alias("metric"), F.col("roc_auc").alias("value"))
+        parts.append(acc.unionByName(rep).unionByName(ll).unionByName(auc).withColumn("model", F.lit(model)))
+    out = parts[0]
+    for other in parts[1:]:
+        out = out.unionByName(other)
+    return out
+
+
+def paired_rows(a: DataFrame, b: DataFrame, key: str = "msg_id") -> DataFrame:
+    """Per key of both scored tables the models' correctness (ca, cb) and
+    loss (la, lb)."""
+    def one(s: DataFrame, model: str) -> DataFrame:
+        true = F.element_at(F.array("p0", "p1", "p2"), F.col("y_true").cast("int") + 1)
+        return s.select(key, (F.col("pred") == F.col("y_true")).cast("int").alias(f"c{model}"),
+                        (-F.ln(F.least(F.greatest(true, F.lit(EPS)), F.lit(1 - EPS)))).alias(f"l{model}"))
+
+    return one(a, "a").join(one(b, "b"), key)
+
+
+def compared(a: DataFrame, b: DataFrame, key: str = "msg_id") -> DataFrame:
+    """The verdict on each metric of two scored tables. Accuracy and log
+    loss are means over rows and have the p of a paired test of their own."""
+    p = paired_p_values(paired_rows(a, b, key), {"accuracy": ("ca", "cb"), "log_loss": ("la", "lb")})
+    return metric_verdict(metric_table({"a": a, "b": b}), p_values=p)
+
+
+def compared_cells(scored: dict[str, DataFrame]) -> DataFrame:
+    """The confusion matrices of several models, one row a cell."""
+    parts = [confusion_matrix(s).withColumn("model", F.lit(m)) for m, s in scored.items()]
+    out = parts[0]
+    for other in parts[1:]:
+        out = out.unionByName(other)
+    return out
+
+
 def verdict_sentences(verdict: DataFrame) -> DataFrame:
     """(place, line): two sentences on a verdict with p values, naming the
     metrics that differ significantly and those of them that improve by the

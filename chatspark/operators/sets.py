@@ -36,6 +36,20 @@ def shared_columns(a: DataFrame, b: DataFrame, minus: tuple[str, ...] = ()) -> l
     return sorted((set(a.columns) & set(b.columns)) - set(minus))
 
 
+def shared_column_profile(a: DataFrame, b: DataFrame, minus: tuple[str, ...] = ()) -> DataFrame:
+    """(column, n_left, n_right): the non-null values each shared column has
+    in either table; one aggregate a table."""
+    cols = shared_columns(a, b, minus)
+
+    def counts(df: DataFrame, name: str) -> DataFrame:
+        cells = F.array(*[F.struct(F.lit(c).alias("column"), F.count(c).alias(name)) for c in cols])
+        return df.agg(cells.alias("_c")).select(F.explode("_c").alias("_c")).select("_c.*")
+
+    if not cols:
+        return a.sparkSession.createDataFrame([], "column string, n_left long, n_right long")
+    return counts(a, "n_left").join(counts(b, "n_right"), "column")
+
+
 def hash_key(key: Column, seed: int) -> Column:
     """md5 of ``key || seed`` -- deterministic pseudo-random order."""
     return F.md5(F.concat(key.cast("string"), F.lit(str(seed))))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rounding import duck_round_ratio as rr
 from ..operators import features as FT
-from ..sources.fixtures import Fixtures, duck_with
+from ..sources.fixtures import Fixtures, RELATIONS, duck_with
 from . import duck as D
 from .registry import query
 
@@ -182,6 +182,34 @@ def quality_checks(spark, sf_dir):
     return qc(Fixtures(spark, sf_dir).msgs_dirty)
 
 
+@query("one_user_violations", "P15", duck_with("msgs_dirty") + """
+SELECT CAST(msg_id // 50 AS BIGINT) AS bundle, count(DISTINCT uid) AS n_users, count(*) FILTER (WHERE uid IS NULL) AS missing_uid
+FROM msgs_dirty GROUP BY 1 HAVING n_users > 1 OR (missing_uid > 0 AND n_users > 0)""")
+def one_user_violations(spark, sf_dir):
+    """Bundles of 50 message numbers that are not one user's."""
+    from ..operators.clean import one_user_violations as ouv
+    d = Fixtures(spark, sf_dir).msgs_dirty.withColumn("bundle", F.expr("msg_id div 50"))
+    return ouv(d, "bundle")
+
+
+def _violations_sql() -> str:
+    head, users = duck_user_features(FT.VECTOR_FEATURES, min_msgs=1, drop_incomplete=False).rsplit("\n", 1)
+    null = " OR ".join(f"{n} IS NULL" for n in FT.VECTOR_FEATURES)
+    return (head + "\n, uv AS (" + users + "), dirty AS (" + RELATIONS["msgs_dirty"][2].replace("{msgs}", "msgs") + ")\n"
+            "SELECT d.*, u.* FROM (SELECT count(*) FILTER (WHERE uid IS NULL) AS missing_uid, "
+            "count(*) FILTER (WHERE content IS NULL) AS missing_content FROM dirty) d, "
+            f"(SELECT count(*) FILTER (WHERE {null}) AS users_with_null_feature FROM uv) u")
+
+
+@query("feature_violations", "P15", _violations_sql())
+def feature_violations(spark, sf_dir):
+    """Raw rows without user or text, and users of the clean ones with a
+    feature that is null (no labelled message for the mean sentiment)."""
+    fx = Fixtures(spark, sf_dir)
+    users = FT.user_features(fx.msgs, min_msgs=1, pos_lexicon=fx.pos_lexicon, drop_incomplete=False)
+    return FT.feature_violations(fx.msgs_dirty, users)
+
+
 # a feature registered by the caller joins the shared aggregate
 FT.register_feature(FT.Feature(
     name="mean_exclamations", required=("content",),

@@ -130,9 +130,11 @@ def union_user_matrices(spark, sf_dir):
     return S.union_datasets(en, other)
 
 
-@query("shared_columns", "U03")
+@query("shared_columns", "U03", duck_with("msgs", "msgs_dirty") + "\nUNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", (SELECT count({c}) FROM msgs) AS n_left, (SELECT count({c}) FROM msgs_dirty) AS n_right"
+    for c in ("uid", "content", "sentiment")))
 def shared_columns(spark, sf_dir):
-    """Column-name intersection of two tables minus one name (schema only)."""
+    """The columns two tables share, minus one name, with the values they
+    hold in either."""
     fx = Fixtures(spark, sf_dir)
-    cols = S.shared_columns(fx.msgs, fx.msgs_dirty, minus=("msg_id",))
-    return spark.createDataFrame([(c,) for c in cols], "column string")
+    return S.shared_column_profile(fx.msgs, fx.msgs_dirty, minus=("msg_id",))

@@ -201,17 +201,7 @@ def normality_check(spark, sf_dir):
 
 
 def metric_table(spark, sf_dir) -> DataFrame:
-    """Long metric table (model, metric, value) for both models."""
-    parts = []
-    for model in ("a", "b"):
-        s = scored(spark, sf_dir, model)
-        acc = M.accuracy(s).select(F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value"))
-        rep = M.class_report(s).filter(F.col("class").isin("macro avg", "weighted avg")).select(
-            F.concat(F.lit("f1 "), F.col("class")).alias("metric"), F.col("f1").alias("value"))
-        ll = M.log_loss(s).select(F.lit("log_loss").alias("metric"), F.col("log_loss").alias("value"))
-        auc = M.macro_auc(M.roc_auc_ovr(s)).select(F.lit("roc_auc").alias("metric"), F.col("roc_auc").alias("value"))
-        parts.append(acc.unionByName(rep).unionByName(ll).unionByName(auc).withColumn("model", F.lit(model)))
-    return parts[0].unionByName(parts[1])
+    return M.metric_table({m: scored(spark, sf_dir, m) for m in ("a", "b")})
 
 
 def _duck_metric_table() -> str:
@@ -245,22 +235,8 @@ def metric_deltas(spark, sf_dir):
     return M.metric_deltas(metric_table(spark, sf_dir)).select("metric", F.round("delta", 6).alias("delta"))
 
 
-def paired_rows(spark, sf_dir) -> DataFrame:
-    """Per message both models' correctness (ca, cb) and loss (la, lb)."""
-    def one(model: str) -> DataFrame:
-        true = F.element_at(F.array("p0", "p1", "p2"), F.col("y_true") + 1)
-        return scored(spark, sf_dir, model).select(
-            "msg_id", (F.col("pred") == F.col("y_true")).cast("int").alias(f"c{model}"),
-            (-F.ln(F.least(F.greatest(true, F.lit(M.EPS)), F.lit(1 - M.EPS)))).alias(f"l{model}"))
-
-    return one("a").join(one("b"), "msg_id")
-
-
 def verdict(spark, sf_dir) -> DataFrame:
-    """The verdict on each metric; accuracy and log loss are means over
-    messages and have a p of their own."""
-    p = M.paired_p_values(paired_rows(spark, sf_dir), {"accuracy": ("ca", "cb"), "log_loss": ("la", "lb")})
-    v = M.metric_verdict(metric_table(spark, sf_dir), p_values=p)
+    v = M.compared(scored(spark, sf_dir, "a"), scored(spark, sf_dir, "b"))
     return v.select("metric", *[F.round(c, 6).alias(c) for c in ("baseline", "candidate")], "practical",
                     F.round("p_value", 6).alias("p_value"), "significant")
 
@@ -286,6 +262,18 @@ def metric_verdict(spark, sf_dir):
     return verdict(spark, sf_dir)
 
 
+@query("compared_cells", "M21", _DS + """
+, g AS (SELECT unnest([0, 1, 2]) AS c)
+SELECT m.model, CAST(t.c AS INTEGER) AS y_true, CAST(p.c AS INTEGER) AS pred, count(s.msg_id) AS n
+FROM (SELECT unnest(['a', 'b']) AS model) m CROSS JOIN g t CROSS JOIN g p
+LEFT JOIN (SELECT 'a' AS model, * FROM sc_a UNION ALL SELECT 'b', * FROM sc_b) s ON s.model = m.model AND s.y_true = t.c AND s.pred = p.c
+GROUP BY ALL""")
+def compared_cells(spark, sf_dir):
+    cells = M.compared_cells({m: scored(spark, sf_dir, m) for m in ("a", "b")})
+    return cells.select("model", F.col("y_true").cast("int").alias("y_true"),
+                                        F.col("pred").cast("int").alias("pred"), "n")
+
+
 @query("verdict_sentences", "S14", _VERDICT_CTES + """SELECT 1 AS place, 'Statistically significant difference on '
   || coalesce(string_agg(metric, ', ' ORDER BY metric) FILTER (WHERE significant), 'no metric') || '.' AS line FROM v
 UNION ALL SELECT 2, 'Practically significant improvement on '

@@ -171,24 +171,13 @@ def _scored(model, d: DataFrame) -> DataFrame:
 
 @query("compare_models", "M21")
 def compare_models(spark, sf_dir):
-    """Baseline (text only) vs user-conditioned model on the same test rows:
-    metric table, deltas and verdict (A25-A31, A34)."""
+    """Baseline (text only) against the user-conditioned model on the same
+    test rows: each metric (A26-A30) with verdict and p (A31, A34)."""
     base, d0 = fit_sentiment(spark, sf_dir, False)
     cand, d1 = fit_sentiment(spark, sf_dir, True)
-    sa = _scored(base, d0.filter("split = 'test'"))
-    sb = _scored(cand, d1.filter("split = 'test'"))
-    parts = []
-    for name, s in (("a", sa), ("b", sb)):
-        acc = M.accuracy(s).select(F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value"))
-        rep = M.class_report(s).filter(F.col("class").isin("macro avg", "weighted avg")).select(
-            F.concat(F.lit("f1 "), F.col("class")).alias("metric"), F.col("f1").alias("value"))
-        ll = M.log_loss(s).select(F.lit("log_loss").alias("metric"), F.col("log_loss").alias("value"))
-        parts.append(acc.unionByName(rep).unionByName(ll).withColumn("model", F.lit(name)))
-    table = parts[0].unionByName(parts[1])
-    pair = (sa.select("msg_id", (F.col("pred") == F.col("y_true")).cast("int").alias("ca"))
-            .join(sb.select("msg_id", (F.col("pred") == F.col("y_true")).cast("int").alias("cb")), "msg_id"))
-    z = M.wilcoxon_signed_rank(pair, "ca", "cb")
-    return M.metric_verdict(table, z=z)
+    # scored once: each feeds five metrics and the paired tests
+    a, b = (cut_lineage(_scored(m, d.filter("split = 'test'"))) for m, d in ((base, d0), (cand, d1)))
+    return M.compared(a, b)
 
 
 @query("grid_search", "M16")

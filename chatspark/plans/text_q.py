@@ -222,17 +222,24 @@ def rename_drop_if_present(spark, sf_dir):
     return C.rename_drop_if_present(m)
 
 
-@query("reject_column", "P04")
+@query("reject_column", "P04", duck_with("msgs") + """
+SELECT 'clean' AS "case", false AS raised, CAST(NULL AS VARCHAR) AS message, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_values FROM msgs
+UNION ALL SELECT 'with_nan_column', true, 'nan column found (first non-null at msg_id='
+  || CAST(min(msg_id) FILTER (WHERE msg_id % 7 = 3) AS VARCHAR) || ')', count(*), count(*) FILTER (WHERE msg_id % 7 = 3) FROM msgs""")
 def reject_column(spark, sf_dir):
-    """Run the guard on a clean frame and on one with a ``nan`` column; one
-    row per case with the raised message (the guard itself raises)."""
+    """The guard on the messages and on the messages with a ``nan`` column:
+    its message, the rows it saw and the values that stand in the column."""
     m = Fixtures(spark, sf_dir).msgs
     cases = {"clean": m, "with_nan_column": m.withColumn("nan", F.when(F.col("msg_id") % 7 == 3, F.lit("x")))}
-    rows = []
+    parts = []
     for name, df in cases.items():
+        message = None
         try:
             C.reject_column(df)
-            rows.append((name, False, None))
         except ValueError as e:
-            rows.append((name, True, str(e)))
-    return spark.createDataFrame(rows, "case string, raised boolean, message string")
+            message = str(e)
+        values = F.count("nan") if "nan" in df.columns else F.lit(0).cast("long")
+        parts.append(df.agg(F.count(F.lit(1)).alias("n_rows"), values.alias("n_values")).select(
+            F.lit(name).alias("case"), F.lit(message is not None).alias("raised"),
+            F.lit(message).cast("string").alias("message"), "n_rows", "n_values"))
+    return parts[0].unionByName(parts[1])
