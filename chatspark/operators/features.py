@@ -402,27 +402,24 @@ def response_time_table(events: DataFrame, uid: str = "uid", ts: str = "ts", ord
     """Gaps between consecutive messages of a user (ts, id order);
     gaps < ``max_gap_s`` kept; mean seconds, 2 places; 0 when none.
 
-    The previous row is found inside time blocks (bounded partitions),
-    the first row of a block takes the last time of the user's previous
-    block from a per-(user, block) summary."""
+    Gaps inside a time block come from one window over (user, block), a
+    bounded group, and are added up there; the gap into a block from its first
+    time and the last of the user's previous block, on one row a block. One
+    scan, one shuffle by (user, block) and one of the sums by user."""
     us = F.unix_micros(F.col(ts).cast("timestamp"))
     e = events.select(F.col(uid).alias("uid"), us.alias("_us"), F.col(order).alias("_o"),
                       F.date_trunc(block, F.col(ts).cast("timestamp")).alias("_blk"))
-    w_in = Window.partitionBy("uid", "_blk").orderBy("_us", "_o")
-    local = e.withColumn("_prev", F.lag("_us").over(w_in))
-    summary = e.groupBy("uid", "_blk").agg(F.max("_us").alias("_last"))
-    incoming = summary.select("uid", "_blk", F.lag("_last").over(Window.partitionBy("uid").orderBy("_blk")).alias("_in"))
-    firsts = local.filter(F.col("_prev").isNull()).join(incoming, ["uid", "_blk"], "left")
-    gaps = (local.filter(F.col("_prev").isNotNull()).select("uid", (F.col("_us") - F.col("_prev")).alias("gap"))
-            .unionByName(firsts.filter(F.col("_in").isNotNull())
-                         .select("uid", (F.col("_us") - F.col("_in")).alias("gap"))))
-    kept = gaps.filter(F.col("gap") < max_gap_s * 1_000_000)
-    users = e.select("uid").distinct()
-    agg = kept.groupBy("uid").agg(F.sum("gap").alias("_s"), F.count(F.lit(1)).alias("_n"))
-    return users.join(agg, "uid", "left").select(
-        "uid",
-        F.coalesce(round_ratio(F.col("_s"), F.col("_n") * F.lit(1_000_000)), F.lit(0.0)).alias("mean_response_time"),
-    )
+    inside = F.col("_us") - F.lag("_us").over(Window.partitionBy("uid", "_blk").orderBy("_us", "_o"))
+    short = F.col("_gap") < max_gap_s * 1_000_000
+    blocks = e.withColumn("_gap", inside).groupBy("uid", "_blk").agg(
+        F.sum(F.when(short, F.col("_gap"))).alias("_s"), F.count_if(short).alias("_n"),
+        F.min("_us").alias("_first"), F.max("_us").alias("_last"))
+    into = F.col("_first") - F.lag("_last").over(Window.partitionBy("uid").orderBy("_blk"))
+    sums = blocks.withColumn("_gap", into).groupBy("uid").agg(
+        (F.coalesce(F.sum("_s"), F.lit(0)) + F.coalesce(F.sum(F.when(short, F.col("_gap"))), F.lit(0))).alias("_s"),
+        (F.sum("_n") + F.count_if(short)).alias("_n"))
+    return sums.select("uid", F.coalesce(round_ratio(F.col("_s"), F.col("_n") * F.lit(1_000_000)), F.lit(0.0))
+                       .alias("mean_response_time"))
 
 
 def msgs_per_day_table(events: DataFrame, uid: str = "uid", ts: str = "ts") -> DataFrame:

@@ -80,21 +80,23 @@ def normalized_compound(score: Column, alpha: float = 15.0) -> Column:
 
 
 def lexicon_score(msgs: DataFrame, lexicon: DataFrame, key: str = "msg_id", text: str = "content") -> DataFrame:
-    """Per message, the sum of lexicon weights of its (lower-cased
-    Unicode) words; 0 when no word is in the lexicon."""
-    words = (msgs.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(T.WORD_RUN), 0)).alias("w"))
+    """Per value of ``key``, the sum of lexicon weights of the
+    (lower-cased Unicode) words; 0 when no word is in the lexicon or the text
+    is null. The texts are read once."""
+    words = (msgs.select(key, F.explode_outer(F.regexp_extract_all(F.col(text), F.lit(T.WORD_RUN), 0)).alias("w"))
              .select(key, F.lower("w").alias("word")))
     lex, small = small_side(lexicon.select("word", "weight"))
     if small:
         # broadcast lookup: no shuffle of the words, one aggregate per message
-        per = words.join(lex, "word", "inner").groupBy(key).agg(F.sum("weight").alias("score"))
+        per = words.join(lex, "word", "left").groupBy(key).agg(F.sum("weight").alias("score"))
     else:
         # shuffle join: count (message, word) first so a hot word is one row
-        # per message before it meets the lexicon
-        counted = words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("_c"))
-        per = counted.join(lex, "word", "inner").groupBy(key).agg(F.sum(F.col("_c") * F.col("weight")).alias("score"))
-    return (msgs.select(key).join(per, key, "left")
-            .select(key, F.coalesce(F.col("score"), F.lit(0)).cast("long").alias("score")))
+        # per message before it meets the lexicon; a message without words
+        # has a value of its own that no lexicon holds
+        none = F.concat(F.lit("\0"), F.coalesce(F.col(key).cast("string"), F.lit("")))
+        counted = words.withColumn("word", F.coalesce("word", none)).groupBy(key, "word").agg(F.count(F.lit(1)).alias("_c"))
+        per = counted.join(lex, "word", "left").groupBy(key).agg(F.sum(F.col("_c") * F.col("weight")).alias("score"))
+    return per.select(key, F.coalesce(F.col("score"), F.lit(0)).cast("long").alias("score"))
 
 
 def softmax(logits: Column) -> Column:

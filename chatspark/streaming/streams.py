@@ -138,14 +138,23 @@ def count_buffer_twin(events: DataFrame, n: int = 250) -> DataFrame:
 
 # ------------------------------------------------------------------ T03
 def weekly_features(sdf: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Per user and 7-day event-time window: messages and value sum.
-    ``ts`` must be TIMESTAMP (not timestamp_ntz) for the watermark."""
+    """Per user and 7-day event-time window: messages and value sum. Run
+    it in update mode: only weeks that changed are written, and a week's state
+    is dropped once the watermark passes it. ``ts`` must be TIMESTAMP (not timestamp_ntz) for the watermark."""
     return (sdf.withWatermark("ts", delay)
             .groupBy(F.window("ts", "7 days").alias("w"), "uid")
             .agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value_sum"))
             .select("uid", F.col("w.start").alias("week_start"), "n", "value_sum"))
 
 
+def weekly_latest(spark: SparkSession, path: str) -> DataFrame:
+    """The newest row of each (uid, week) of an update-mode stream that wrote
+    the changed rows of every micro-batch to ``batch=N``."""
+    rows = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+    newest = F.max_by(F.struct("n", "value_sum"), "batch").alias("_r")
+    return rows.groupBy("uid", "week_start").agg(newest).select("uid", "week_start", "_r.n", "_r.value_sum")
+
+
 # ------------------------------------------------------------------ T04
 def message_partials(msgs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Additive per-user partials of one batch of messages (P06 + X01) and

@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from chatspark.operators import features as FT
@@ -144,3 +145,20 @@ def test_no_stage_holds_a_hot_user(spark):
     plan = FT.user_features(df, ["mean_sentence_len"], min_msgs=1, block=20)._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.split("\n") if "Window [last(_state" in line]
     assert windows and all("_blk" in line.split("],")[1] for line in windows)
+
+
+def test_response_time_equals_a_walk_over_each_user(spark):
+    import random
+    from datetime import datetime, timedelta
+    rng = random.Random(11)
+    start = datetime(2024, 1, 1)
+    rows = [(i, rng.choice(["a", "a", "a", "b", None]), start + timedelta(seconds=rng.choice([0, 1, 59, 1800, 3599, 3600, 7000]) * rng.randrange(40)))
+            for i in range(300)]
+    rows += [(300, "alone", start), (301, "a", None)]
+    got = {r["uid"]: r["mean_response_time"] for r in FT.response_time_table(
+        spark.createDataFrame(rows, "event_id long, uid string, ts timestamp")).collect()}
+    assert set(got) == {"a", "b", "alone", None}
+    for uid, value in got.items():
+        times = [t for t, _ in sorted((t, i) for i, u, t in rows if u == uid and t is not None)]
+        gaps = [(y - x).total_seconds() for x, y in zip(times, times[1:]) if (y - x).total_seconds() < 3600]
+        assert value == pytest.approx(sum(gaps) / len(gaps) if gaps else 0.0, abs=0.0051)

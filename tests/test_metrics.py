@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from chatspark.operators import metrics as M
@@ -192,3 +193,16 @@ def test_qq_points_by_rank(spark):
             assert v == ordered[-(-(2 * i - 1) * n // 40) - 1]
             assert abs(q - statistics.NormalDist().inv_cdf((i - 0.5) / 20)) < 1e-7
     assert M.qq_points(df.filter("v is null"), "v").count() == 0
+
+
+def test_two_models_compared_on_their_rows(spark):
+    rows_a = [(1, 0, .8, .1, .1, 0), (2, 1, .2, .7, .1, 1), (3, 2, .6, .3, .1, 0), (4, 2, .1, .2, .7, 2)]
+    rows_b = [(1, 0, .9, .05, .05, 0), (2, 1, .1, .8, .1, 1), (3, 2, .1, .1, .8, 2), (4, 2, .4, .3, .3, 0), (5, 0, .9, .1, 0., 0)]
+    schema = "msg_id long, y_true int, p0 double, p1 double, p2 double, pred int"
+    a, b = spark.createDataFrame(rows_a, schema), spark.createDataFrame(rows_b, schema)
+    got = {r["metric"]: r for r in M.compared(a, b).collect()}
+    assert set(got) == {"accuracy", "log_loss", "roc_auc", "f1 macro avg", "f1 weighted avg"}
+    assert got["accuracy"]["baseline"] == 0.75 and got["accuracy"]["candidate"] == 0.8
+    assert got["accuracy"]["p_value"] == pytest.approx(1.0) and got["roc_auc"]["p_value"] is None
+    cells = {(r["model"], r["y_true"], r["pred"]): r["n"] for r in M.compared_cells({"a": a, "b": b}).collect()}
+    assert len(cells) == 18 and sum(cells.values()) == 9 and cells["a", 2, 0] == 1 and cells["b", 0, 0] == 2

@@ -66,3 +66,29 @@ def test_collapse_multihot(spark):
                                "text string, id long, example_very_unclear int, " + ", ".join(f"{e} int" for e in EMOTIONS))
     out = L.collapse_multihot(df)
     assert out.columns == ["text", "id", "sentiment"] and out.first()["sentiment"] == "pos"
+
+
+def test_lexicon_score_of_any_text_and_both_joins(spark, monkeypatch):
+    from chatspark.operators import labels
+    rows = [(1, "Good good bad"), (2, "nothing here"), (3, None), (4, ""), (5, "!!!"), (6, "bad " * 2000)]
+    msgs = spark.createDataFrame(rows, "msg_id long, content string")
+    lexicon = spark.createDataFrame([("good", 2), ("bad", -1)], "word string, weight int")
+    want = {1: 3, 2: 0, 3: 0, 4: 0, 5: 0, 6: -2000}
+    for small in (True, False):
+        monkeypatch.setattr(labels, "small_side", lambda df: (df, small))
+        got = labels.lexicon_score(msgs, lexicon).collect()
+        assert len(got) == 6 and {r["msg_id"]: r["score"] for r in got} == want
+    assert labels.lexicon_score(msgs.limit(0), lexicon).count() == 0
+
+
+def test_shared_column_profile_and_one_user_rule(spark):
+    from chatspark.operators import clean, sets
+    a = spark.createDataFrame([(1, "x", None), (2, None, "y")], "msg_id long, uid string, t string")
+    b = spark.createDataFrame([("x", 1, 2.0)], "uid string, msg_id long, other double")
+    got = [tuple(r) for r in sets.shared_column_profile(a, b, minus=("msg_id",)).collect()]
+    assert got == [("uid", 1, 1)]
+    assert sets.shared_column_profile(a, b, minus=("msg_id", "uid")).count() == 0
+    assert sets.shared_column_profile(a.limit(0), b).count() == 2
+    rows = [(1, "a"), (1, "a"), (2, "a"), (2, "b"), (3, None), (3, "c"), (4, None)]
+    found = clean.one_user_violations(spark.createDataFrame(rows, "g int, uid string"), "g").collect()
+    assert sorted(tuple(r) for r in found) == [(2, 2, 0), (3, 1, 1)]
