@@ -110,9 +110,9 @@ def train_linear_svm_ovr(spark, sf_dir):
     from ..operators import svm
     from ..operators.vectors import scaled_tfidf
     d = _emotion_data(spark, sf_dir).withColumn("is_train", F.col("split") == "train")
-    vectors, _ = scaled_tfidf(d, "is_train", max_features=_MAX_FEATURES["svm"])
+    vectors, index = scaled_tfidf(d, "is_train", max_features=_MAX_FEATURES["svm"])
     vectors = cut_lineage(vectors)
-    model = svm.fit_linear_svm(vectors.filter("is_train"), _MAX_FEATURES["svm"], C=0.9, tol=1e-4, max_iter=1500)
+    model = svm.fit_linear_svm(vectors.filter("is_train"), index.count(), C=0.9, tol=1e-4, max_iter=1500)
     return model.predict(vectors.filter("not is_train")).select("msg_id", "label", "prediction")
 
 

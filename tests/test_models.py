@@ -78,12 +78,17 @@ def test_registered_sizes_are_the_published_ones(spark, monkeypatch, name, kind,
 
 def test_registered_svm_has_the_published_size(spark, monkeypatch):
     from chatspark.operators import svm
+    from chatspark.operators import vectors as VC
 
     class Stop(Exception):
         pass
 
+    real, caps = VC.scaled_tfidf, []
+    monkeypatch.setattr(VC, "scaled_tfidf", lambda *a, **k: caps.append(k["max_features"]) or real(*a, **k))
+
     def fit(vectors, n_features, C, tol, max_iter):
-        assert (n_features, C, tol, max_iter) == (300_000, 0.9, 1e-4, 1500)
+        assert (caps, C, tol, max_iter) == ([300_000], 0.9, 1e-4, 1500)
+        assert n_features == vectors.select(F.max(F.array_max("j"))).first()[0] + 1
         assert vectors.filter("size(j) > 0").count() > 100
         raise Stop
 
