@@ -240,14 +240,12 @@ def write_with_rejects(labelled: DataFrame, labels_path: str, rejects_path: str)
     """Write what :func:`isolated_labeler` gives: the labels (``Err`` where a
     row failed) and a table of the rejected rows with their messages. Both are
     overwritten by a repeated run. Returns how many rows there are of either,
-    counted while the labels are written."""
-    from pyspark.sql import Observation
-    seen = Observation()
-    counted = labelled.observe(seen, F.count(F.lit(1)).alias("rows"), F.count("error").alias("rejects"))
-    counted.withColumn("label", F.coalesce("label", F.lit("Err"))).write.mode("overwrite").parquet(labels_path)
+    counted in the written table: an ``Observation`` would leave the session
+    unable to send a fitted binary model to tasks."""
+    labelled.withColumn("label", F.coalesce("label", F.lit("Err"))).write.mode("overwrite").parquet(labels_path)
     written = labelled.sparkSession.read.parquet(labels_path)
     written.filter("error is not null").select("msg_id", "chunk_id", "error").write.mode("overwrite").parquet(rejects_path)
-    return dict(seen.get)
+    return written.agg(F.count(F.lit(1)).alias("rows"), F.count("error").alias("rejects")).first().asDict()
 
 
 def run_labelers(chunks: DataFrame, labelers: list) -> DataFrame:
