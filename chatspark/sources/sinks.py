@@ -42,12 +42,22 @@ def write_report(df: DataFrame, path: str) -> None:
 
 
 def save_model(model, path: str) -> None:
-    """Persist a fitted pipeline."""
-    model.write().overwrite().save(path)
+    """Persist a fitted pipeline or text model."""
+    from ..operators.logreg import TextLogreg
+    if isinstance(model, TextLogreg):
+        model.save(path)
+    else:
+        model.write().overwrite().save(path)
 
 
 def load_model(path: str):
     from pyspark.ml import PipelineModel
+
+    from ..operators.logreg import TextLogreg
+    spark = SparkSession.active()
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/weights")
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return TextLogreg.load(spark, path)
     return PipelineModel.load(path)
 
 
