@@ -23,8 +23,10 @@ _FEATS = FT.VECTOR_FEATURES
 
 
 def _users(spark, sf_dir) -> DataFrame:
+    """The user vectors, written once: scalers and projections read them for
+    their statistics and again for the result."""
     fx = Fixtures(spark, sf_dir)
-    return FT.user_features(fx.msgs, pos_lexicon=fx.pos_lexicon)
+    return cut_lineage(FT.user_features(fx.msgs, pos_lexicon=fx.pos_lexicon))
 
 
 def _users_sql() -> str:

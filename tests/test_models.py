@@ -113,3 +113,23 @@ def test_registered_lda_has_the_published_size(spark, monkeypatch):
     for name in ("lda_topics", "dominant_topic", "topic_info"):
         with pytest.raises(Stop):
             load_all()[name].build(spark, SF)
+
+
+@pytest.mark.parametrize("name", ["standard_scale", "maxabs_scale", "pca_users", "project_2d"])
+def test_user_vectors_are_made_once(spark, monkeypatch, name):
+    """A scaler's statistics and result read written user vectors, not the texts again."""
+    from chatspark.operators import features as FT
+    made = spark.sparkContext.accumulator(0)
+
+    def users(*_, **__):
+        def seen(batches):
+            for b in batches:
+                made.add(b.num_rows)
+                yield b
+        rows = [(f"u{i}", 30, *[float(i * (j + 1) % 7) for j in range(len(FT.VECTOR_FEATURES))]) for i in range(9)]
+        d = spark.createDataFrame(rows, "uid string, n_msgs long, " + ", ".join(f"{c} double" for c in FT.VECTOR_FEATURES))
+        return d.mapInArrow(seen, d.schema)
+
+    monkeypatch.setattr(FT, "user_features", users)
+    assert len(load_all()[name].build(spark, SF).collect()) == 9
+    assert made.value == 9
