@@ -99,7 +99,13 @@ def tokens_ws(col: Column | str) -> Column:
 
 
 def count_tokens_ws(col: Column | str) -> Column:
-    return F.coalesce(F.size(tokens_ws(col)), F.lit(0))
+    """The size of :func:`tokens_ws`, without making the tokens."""
+    return regex_count(col, NOT_SPACE_CHAR + "+")
+
+
+def has_token(col: Column | str) -> Column:
+    """Whether there is a token (NULL for a null text)."""
+    return _c(col).rlike(NOT_SPACE_CHAR)
 
 
 def count_emoji(col: Column | str) -> Column:

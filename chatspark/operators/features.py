@@ -83,7 +83,7 @@ _mean_of("mean_hashtags", T.count_hashtags)
 def _sentiment_partial() -> Column:
     valid = F.col("uid").isNotNull() & F.col("content").isNotNull() & F.col("sentiment").isNotNull()
     score = F.coalesce(F.create_map(*[F.lit(x) for kv in SENTIMENT_IDS.items() for x in kv])[F.col("sentiment")], F.lit(0))
-    return F.when(valid, F.when(T.count_tokens_ws("content") >= 1, score).otherwise(F.lit(0)))
+    return F.when(valid, F.when(T.has_token("content"), score).otherwise(F.lit(0)))
 
 
 # Rows with a NULL are left out; NULL when nothing is left

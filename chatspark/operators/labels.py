@@ -14,8 +14,12 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.lexicons import (BASIC_EMOTIONS, EMOTION_TO_SENTIMENT, EMOTIONS, ID_LABELS,
                                   NEGATIVE_FLAGS, NEUTRAL_FLAG, POSITIVE_FLAGS, SENTIMENT_IDS)
+from ..session import cut_lineage
 from .joins import small_side
 
+#: with a lexicon too large to broadcast, so many of the most frequent words are looked up in place
+HOT_WORDS = 300_000
+
 
 def _map(d: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
@@ -85,20 +89,32 @@ def lexicon_score(msgs: DataFrame, lexicon: DataFrame, key: str = "msg_id", text
     is null. The texts are read once."""
     words = (msgs.select(key, F.explode_outer(F.regexp_extract_all(F.col(text), F.lit(T.WORD_RUN), 0)).alias("w"))
              .select(key, F.lower("w").alias("word")))
-    lex, small = small_side(lexicon.select("word", "weight"))
+    lexicon = cut_lineage(lexicon.select("word", "weight"))  # counted, and joined up to twice
+    lex, small = small_side(lexicon)
     if small:
         # broadcast lookup: no shuffle of the words, one aggregate per message
         per = words.join(lex, "word", "left").groupBy(key).agg(F.sum("weight").alias("score"))
     else:
-        # shuffle join: count (message, word) first so a hot word is one row
-        # per message before it meets the lexicon; a message without words
-        # has a value of its own that no lexicon holds
-        none = F.concat(F.lit("\0"), F.coalesce(F.col(key).cast("string"), F.lit("")))
-        counted = words.withColumn("word", F.coalesce("word", none)).groupBy(key, "word").agg(F.count(F.lit(1)).alias("_c"))
-        per = counted.join(lex, "word", "left").groupBy(key).agg(F.sum(F.col("_c") * F.col("weight")).alias("score"))
+        per = _score_by_large_lexicon(words, lexicon, key)
     return per.select(key, F.coalesce(F.col("score"), F.lit(0)).cast("long").alias("score"))
 
 
+def _score_by_large_lexicon(words: DataFrame, lexicon: DataFrame, key: str) -> DataFrame:
+    """(key, score) of (key, word) rows. The most frequent words, in the lexicon
+    or not, are looked up where they stand and added up to one row a message;
+    only the others are shuffled, those that no lexicon row can meet apart."""
+    seen = words.groupBy("word").agg(F.count(F.lit(1)).alias("_n"))
+    hot = cut_lineage(seen.filter("word is not null").orderBy(F.desc("_n"), "word").limit(HOT_WORDS).select("word"))
+    weights = hot.join(lexicon, "word", "left").groupBy("word").agg(F.sum("weight").alias("_w"))
+    looked = words.join(F.broadcast(weights.withColumn("_hot", F.lit(True))), "word", "left")
+    rare = F.when(F.col("_hot").isNull(), F.col("word")).alias("_rare")
+    per = cut_lineage(looked.groupBy(key, rare).agg(F.sum("_w").alias("_s"), F.count(F.lit(1)).alias("_c")))
+    found = per.filter("_rare is not null").join(lexicon, F.col("_rare") == F.col("word")).select(
+        key, (F.col("_c") * F.col("weight")).alias("_s"))
+    # a message with rare words only has its row here too
+    return per.select(key, "_s").unionByName(found).groupBy(key).agg(F.sum("_s").alias("score"))
+
+
 def softmax(logits: Column) -> Column:
     """Numerically stable softmax of an array column."""
     mx = F.array_max(logits)
