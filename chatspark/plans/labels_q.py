@@ -210,7 +210,8 @@ def custom_labeler_vote(spark, sf_dir):
     from ..operators.clean import chunk_text
     fx = Fixtures(spark, sf_dir)
     chunks = chunk_text(fx.msgs.select("msg_id", "content"))
-    labelers = [L.lexicon_chunk_labeler(fx.lexicon, "sign"), L.lexicon_chunk_labeler(fx.lexicon, "band"),
+    scores = L.chunk_scores(fx.lexicon)
+    labelers = [L.lexicon_chunk_labeler(fx.lexicon, "sign", scores), L.lexicon_chunk_labeler(fx.lexicon, "band", scores),
                 L.punctuation_labeler_pandas()]
     votes = L.run_labelers(chunks, labelers)
     return L.ensemble_vote(votes, normalize=True, n_labelers=3)
