@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import attach_facts, materialize, numbered, small_batches
-from .near_dup import _lists, _mix, _slices, close_classes, shingle_counts
+from .near_dup import _attach_root, _lists, _mix, _slices, close_classes, shingle_counts
 
 #: sets up to SMALL tokens and over LARGE have single tokens only: in the
 #: former too few tokens are left over, in the latter combinations are too many
@@ -222,6 +222,32 @@ def _block_of(blocks: Column) -> Column:
     return F.pmod(F.xxhash64("node"), blocks).cast("int")
 
 
+def rest_blocks(large: DataFrame, total: int) -> DataFrame | None:
+    """Blocks (sign, a, b, node, root, side) in which all members of different
+    classes of a group meet, of the written rows (sign, node, size, root), of
+    which there are ``total`` or fewer: a group's largest class meets the rest,
+    but not itself. None if every group is one class."""
+    classes = materialize(large.groupBy("sign", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight")),
+                          "jaccard-classes")
+    main = classes.groupBy("sign").agg(
+        F.max(F.struct("n", "root", "weight")).alias("main"), F.sum("n").alias("n"), F.sum("weight").alias("weight"))
+    main = materialize(main.filter("n > main.n").select(
+        "sign", F.col("main.root").alias("main"), "n",
+        _blocks(F.col("n") - F.col("main.n"), F.col("weight") - F.col("main.weight")).alias("rest_blocks"),
+        _blocks(F.col("main.n"), F.col("main.weight")).alias("main_blocks")), "jaccard-open")
+    if main.isEmpty():
+        return None
+    # the rest meets itself and the main class, block by block
+    open_ = attach_facts(large, main, ["sign"], "n", total).filter("main is not null")
+    is_main = F.col("root") == F.col("main")
+    own = F.when(is_main, F.col("rest_blocks") + _block_of(F.col("main_blocks"))).otherwise(_block_of(F.col("rest_blocks")))
+    others = F.when(is_main, F.sequence(F.lit(0), F.col("rest_blocks") - 1)) \
+        .otherwise(F.sequence(F.lit(0), F.col("rest_blocks") + F.col("main_blocks") - 1))
+    return open_.withColumns({"own": own, "other": F.explode(others)}).select(
+        "sign", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node", "root",
+        F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side"))
+
+
 def _pairs(met: DataFrame, percent: int) -> DataFrame:
     """Pairs (hub, node) of the rows (sign, node, size) that may be linked.
     Where all signatures of both are single tokens, their number bounds the
@@ -326,24 +352,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .unionByName(compared(paired.join(items, "node"), ["sign", "block"], percent))
     roots = _roots(links)
     large = materialize(_attach_root(members.filter("blocks > 1").select("sign", "node", "size"), roots), "jaccard-large")
-    classes = materialize(large.groupBy("sign", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight")),
-                          "jaccard-classes")
-    main = classes.groupBy("sign").agg(
-        F.max(F.struct("n", "root", "weight")).alias("main"), F.sum("n").alias("n"), F.sum("weight").alias("weight"))
-    main = materialize(main.filter("n > main.n").select(
-        "sign", F.col("main.root").alias("main"), "n",
-        _blocks(F.col("n") - F.col("main.n"), F.col("weight") - F.col("main.weight")).alias("rest_blocks"),
-        _blocks(F.col("main.n"), F.col("main.weight")).alias("main_blocks")), "jaccard-open")
-    if not main.isEmpty():
-        # the rest meets itself and the main class, block by block
-        open_ = attach_facts(large, main, ["sign"], "n", n_entries).filter("main is not null")
-        is_main = F.col("root") == F.col("main")
-        own = F.when(is_main, F.col("rest_blocks") + _block_of(F.col("main_blocks"))).otherwise(_block_of(F.col("rest_blocks")))
-        others = F.when(is_main, F.sequence(F.lit(0), F.col("rest_blocks") - 1)) \
-            .otherwise(F.sequence(F.lit(0), F.col("rest_blocks") + F.col("main_blocks") - 1))
-        pairs = open_.withColumns({"own": own, "other": F.explode(others)}).select(
-            "sign", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node", "root",
-            F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side"))
+    pairs = rest_blocks(large, n_entries)
+    if pairs is not None:
         more = compared(pairs.join(items, "node"), ["sign", "a", "b"], percent)
         roots = _roots(links.unionByName(more))
     least = materialize(_attach_root(same.select("set_key", "node", "n", "least_id"), roots), "jaccard-roots")
@@ -358,9 +368,3 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def _roots(links: DataFrame) -> DataFrame | None:
     return None if links.isEmpty() else close_classes(links)
-
-
-def _attach_root(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
-    if roots is None:
-        return nodes.withColumn("root", F.col("node"))
-    return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 
 from .common import HOT_SHARE, attach_facts, materialize, numbered, small_batches
 
+#: in a band of up to so many members those of different classes become pairs,
+#: in a larger one they meet in blocks
+PAIRED = 32
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -243,6 +247,34 @@ def close_classes(links: DataFrame) -> DataFrame:
         root = after.select("node", "root")
 
 
+def _attach_root(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
+    if roots is None:
+        return nodes.withColumn("root", F.col("node"))
+    return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _block_links(rest: DataFrame, texts: DataFrame, threshold: float, width: int, total: int) -> DataFrame:
+    """Links (node, hub) between members of different classes of the same band,
+    of the written rows (band, key, node, root): block by block, so that a
+    member is sent once for each block and not once for each other member.
+    Bands with the same members are compared once."""
+    from .jaccard_join import compared, rest_blocks
+    bands = materialize(rest.select(F.xxhash64("band", "key").alias("sign"), "node", "root").distinct(), "near-bands")
+    alike = bands.groupBy("sign").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"),
+                                      F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    once = materialize(alike.groupBy("n", "first", "x", "y").agg(F.min("sign").alias("sign")).select("sign", "n"), "near-groups")
+    members = materialize(attach_facts(bands, once, ["sign"], "n", total)
+                          .filter("n is not null").drop("n"), "near-members")
+    with small_batches(rest.sparkSession):
+        items = materialize(_occurrence_table(texts.join(members.select("node").distinct(), "node").select("node", "text"), width)
+                            .withColumnRenamed("items", "tokens"), "near-items")
+    sized = materialize(members.join(items.select("node", F.size("tokens").cast("long").alias("size")), "node"), "near-sized")
+    blocks = rest_blocks(sized, total)
+    if blocks is None:
+        return members.select("node", F.col("node").alias("hub")).limit(0)
+    return compared(blocks.join(items, "node"), ["sign", "a", "b"], threshold * 100)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8,
                     bands: int = 64, rows: int = 9, width: int = 5) -> DataFrame:
     """One row per row of ``docs``: id, class_id (the smallest row_key of its
@@ -259,12 +291,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns are ignored; an empty table gives no rows.
 
     In a band, members are not paired with one another but with one hub, the
-    member that meets most others over all bands. Where members of several
-    classes remain, the next round takes one hub of each class, until every
-    band holds one class besides those that have been hubs: then all its pairs
-    of different classes have been compared. A member and a hub whose whole
-    signatures disagree by four standard deviations more than a pair at the
-    threshold are not compared exactly (loses 3e-5 of the pairs there)."""
+    member that meets most others over all bands, and classes are closed. Where
+    members of several classes remain, all pairs of different classes are
+    compared: one by one in a band of at most PAIRED members, else block by
+    block, the largest class against the rest, so a band of m members with r
+    outside its largest class takes about m * r / BLOCK rows. Two documents of a
+    pair whose whole signatures disagree by four standard deviations more than a
+    pair at the threshold are not compared exactly (loses 3e-5 of the pairs
+    there); in blocks all are."""
     scan = numbered(docs, id=F.col(id_col), words_key=_words_key(F.col(text_col)), text=F.col(text_col))
     with small_batches(docs.sparkSession):
         signed = materialize(signatures(scan.select("row_key", "words_key", "text"), bands, rows, width), "near-signed")
@@ -284,43 +318,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = materialize(members.join(meets, "node"), "near-met")
     sketches = signed.select(F.col("row_key").alias("node"), "sketch")
     texts = scan.select(F.col("row_key").alias("node"), "text")
-    links, done, roots, first = None, None, None, True
-    while True:
-        now = members.withColumn("root", F.col("node")) if roots is None else members.join(roots, "node", "left") \
-            .withColumn("root", F.coalesce("root", "node"))
-        # bands that still hold members of several classes
-        open_bands = now.groupBy("band", "key").agg(F.min("root").alias("a"), F.max("root").alias("b"),
-                                                    F.count(F.lit(1)).alias("size")).filter("a != b")
-        open_bands = materialize(open_bands.select("band", "key", "size"), "near-open")
-        if open_bands.isEmpty():
-            break
-        now = materialize(attach_facts(materialize(now, "near-now"), open_bands, ["band", "key"], "size", total)
-                          .filter("size is not null").join(sketches, "node"), "near-open-members")
-        best = F.max(F.struct("meets", (-F.col("node")).alias("least"), "root", "sketch")).alias("best")
-        hubs = materialize(now.groupBy("band", "key", *([] if first else ["root"])).agg(best, F.max("size").alias("band_size"))
-                           .select("band", "key", "band_size", (-F.col("best.least")).alias("hub"),
-                                   F.col("best.root").alias("hub_root"), F.col("best.sketch").alias("hub_sketch")),
-                           "near-hubs-of-bands")
-        # two hubs meet from the side of the smaller root only
-        own = hubs.select("band", "key", F.col("hub").alias("node"), F.lit(True).alias("is_hub"))
-        members_now = materialize(now.join(own, ["band", "key", "node"], "left"), "near-meeting")
-        met = attach_facts(members_now, hubs, ["band", "key"], "band_size", total)
-        met = met.filter(F.when(F.col("is_hub"), F.col("root") < F.col("hub_root"))
-                         .otherwise(F.col("root") != F.col("hub_root")))
-        pairs = met.filter(
-            _may_be_similar(F.col("sketch"), F.col("hub_sketch"), bands * rows, threshold)).select("node", "hub").distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["node", "hub"], "left_anti")
-        pairs = materialize(pairs, "near-pairs")
-        found = materialize(similar_pairs(pairs, texts, threshold, width, total), "near-links")
-        links = found if links is None else links.unionByName(found)
-        done = pairs if done is None else done.unionByName(pairs)
-        if not found.isEmpty():
-            roots = close_classes(links)
-        # a hub has met its whole band and leaves it
-        members = materialize(now.join(hubs.select("band", "key", F.col("hub").alias("node")), ["band", "key", "node"],
-                                       "left_anti").select("node", "band", "key", "n", "meets"), "near-met")
-        first = False
+    # first the members of a band meet its hub
+    now = materialize(members.join(sketches, "node"), "near-sketched")
+    best = F.max(F.struct("meets", (-F.col("node")).alias("least"), "sketch")).alias("best")
+    hubs = materialize(now.groupBy("band", "key").agg(best, F.max("n").alias("band_size")).select(
+        "band", "key", "band_size", (-F.col("best.least")).alias("hub"), F.col("best.sketch").alias("hub_sketch")),
+        "near-hubs-of-bands")
+    met = attach_facts(now, hubs, ["band", "key"], "band_size", total).filter(F.col("node") != F.col("hub"))
+    similar = _may_be_similar(F.col("sketch"), F.col("hub_sketch"), bands * rows, threshold)
+    pairs = materialize(met.filter(similar).select("node", "hub").distinct(), "near-pairs")
+    links = materialize(similar_pairs(pairs, texts, threshold, width, total), "near-links")
+    roots = None if links.isEmpty() else close_classes(links)
+    # then the members of different classes, where a band still holds several
+    now = materialize(_attach_root(now, roots), "near-now")
+    open_bands = now.groupBy("band", "key").agg(F.min("root").alias("a"), F.max("root").alias("b"),
+                                                F.count(F.lit(1)).alias("open_size")).filter("a != b")
+    open_bands = materialize(open_bands.select("band", "key", "open_size"), "near-open")
+    if not open_bands.isEmpty():
+        rest = materialize(attach_facts(now, open_bands, ["band", "key"], "open_size", total)
+                           .filter("open_size is not null"), "near-rest")
+        few = rest.filter(F.col("open_size") <= PAIRED)
+        a, b = few.alias("a"), few.alias("b")
+        both = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key"))
+                      & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
+                      & _may_be_similar(F.col("a.sketch"), F.col("b.sketch"), bands * rows, threshold))
+        more = both.select(F.col("a.node").alias("node"), F.col("b.node").alias("hub")).distinct()
+        done = pairs.select(F.least("node", "hub").alias("node"), F.greatest("node", "hub").alias("hub"))
+        more = materialize(more.join(done, ["node", "hub"], "left_anti"), "near-pairs")
+        found = materialize(similar_pairs(more, texts, threshold, width, total), "near-links")
+        links = links.unionByName(found).unionByName(
+            _block_links(rest.filter(F.col("open_size") > PAIRED), texts, threshold, width, total))
+        roots = None if links.isEmpty() else close_classes(links)
     classes = same.join(roots, "node", "left") if roots is not None else same.withColumn("root", F.col("node"))
     classes = materialize(classes.select("words_key", "n", F.coalesce("root", "node").alias("class_id")), "near-classes")
     tagged = materialize(attach_facts(named, classes, ["words_key"], "n", total)

@@ -197,6 +197,32 @@ def test_near_duplicates(spark, docs, empty, tmp_path):
     assert near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_a_group_with_outliers(spark, tmp_path, monkeypatch):
+    """Texts just below the threshold to a large class do not become pairs with
+    each of its members."""
+    from chatspark.llm import near_dup
+    base = words(300, "y").split()
+
+    def edited(*places):
+        return " ".join(f"at{p}x{places[0]}" if p in places else w for p, w in enumerate(base))
+
+    texts = [edited(5 + 4 * k) for k in range(60)] + [edited(*range(k, 300, 37)) for k in range(10, 37)]
+    path = str(tmp_path / "outliers")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(path)
+    counted, write = [], near_dup.materialize
+
+    def counting(df, name):
+        out = write(df, name)
+        if name == "near-pairs":
+            counted.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dup, "materialize", counting)
+    out = near_dup.near_duplicates(spark.read.parquet(path)).orderBy("doc_id").collect()
+    assert same_partition([r["class_id"] for r in out], brute_classes(texts))
+    assert sum(counted) < 10 * len(texts)
+
+
 # ---- 4: sharding
 
 def test_hilbert_index_walks_neighbouring_cells(spark):
