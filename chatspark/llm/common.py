@@ -31,15 +31,30 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts
-    the lineage, survives lost executors and is stored compressed."""
+    the lineage, survives lost executors and is stored compressed. The shuffle
+    files of the job go once the table is written."""
     spark = df.sparkSession
     path = shared_folder(spark, name)
     if _SCOPES:
         _SCOPES[-1].append(path)
-    df.write.parquet(path)
+    with _shuffles_dropped(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession):
+    """Jobs run inside delete their shuffle files at their end; otherwise these
+    stay until the driver's garbage collection finds their plans."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 _SCOPES: list[list[str]] = []
 
 
