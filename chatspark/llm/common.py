@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, shuffles_dropped
 
 #: a word: a run of characters other than space and U+0009 to U+000D
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,24 +37,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(spark, name)
     if _SCOPES:
         _SCOPES[-1].append(path)
-    with _shuffles_dropped(spark):
+    with shuffles_dropped(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-@contextmanager
-def _shuffles_dropped(spark: SparkSession):
-    """Jobs run inside delete their shuffle files at their end; otherwise these
-    stay until the driver's garbage collection finds their plans."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 _SCOPES: list[list[str]] = []
 
 

@@ -3,9 +3,13 @@
 Every iteration reads all documents. A row's topic shares come from its
 document's topic weights and its term's topic weights; summed by document and
 by term they are the next weights of either. Both updates take the same shares,
-so the bound on the likelihood never falls. The topic matrix is a table with one
-row a term (a column a topic), the vocabulary is never on the driver, and frequent
-terms are joined apart; only numbers per topic are collected.
+so the bound on the likelihood never falls. Documents are dealt into blocks of
+about BLOCK rows once. In an iteration a block gets the weights of its distinct
+terms and gives back its documents' weights and one sum for each of its terms, so
+shares are never written and a row costs no topic weights on the network. The
+topic matrix is a table with one row a term (a column a topic), the vocabulary is
+never on the driver; only numbers per topic are collected. The tables of an
+iteration are dropped after the next.
 """
 
 from __future__ import annotations
@@ -13,23 +17,27 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.distributions import log_gamma
-from ..session import cut_lineage
-from .joins import split_join
+from ..session import Scratch, cut_lineage
 from .ordered import top_k_per_group
 
+#: (document, term, count) rows in a block, about
+BLOCK = 500_000
 
-def digamma(x: Column) -> Column:
+
+def digamma(x: Column | np.ndarray) -> Column | np.ndarray:
     """The derivative of ln Gamma for x > 0: six steps up, then the asymptotic
     series."""
     y = x + 6
     steps = sum((1 / (x + i) for i in range(1, 6)), 1 / x)
     square = 1 / (y * y)
-    return F.ln(y) - 1 / (2 * y) - square * (1 / F.lit(12.0) - square * (1 / F.lit(120.0) - square * (
-        1 / F.lit(252.0) - square * (1 / F.lit(240.0) - square * (5 / F.lit(660.0)))))) - steps
+    return (np.log(y) if isinstance(y, np.ndarray) else F.ln(y)) - 1 / (2 * y) - square * (1 / 12 - square * (
+        1 / 120 - square * (1 / 252 - square * (1 / 240 - square * (5 / 660))))) - steps
 
 
 @dataclass
@@ -75,45 +83,89 @@ def lda_batch(counts: DataFrame, k: int = 10, iterations: int = 10, key: str = "
     topics = cut_lineage(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select(
         "term", "df", *[first_weight(F.col("term"), j, seed).alias(f"w{j}") for j in range(k)]))
     words, entries = topics.count(), counts.count()
+    spark = counts.sparkSession
+    scratch = Scratch(spark, "lda")
+    key_type = counts.schema[key].dataType.simpleString()
+    # a document without a key has no weights of its own and takes no part
+    n_blocks = max(spark.sparkContext.defaultParallelism, entries // BLOCK)
+    dealt = counts.filter(F.col(key).isNotNull()).withColumn("block", F.pmod(F.xxhash64(key), F.lit(n_blocks)).cast("int"))
+    blocks, _ = scratch.write(dealt.groupBy("block").applyInPandas(_block_of(key), (
+        f"block int, keys array<{key_type}>, n array<double>, terms array<string>, at array<int>, row array<int>, tf array<double>")))
+    wanted, _ = scratch.write(blocks.select("block", F.posexplode("terms").alias("at", "term")))
     # total: the sum of a document's weights, which is always k * alpha + its words
-    docs = cut_lineage(counts.groupBy(key).agg(F.sum("tf").alias("n")).select(
-        key, (k * alpha + F.col("n")).alias("total"), *[(alpha + F.col("n") / k).alias(f"g{j}") for j in range(k)]))
-    out = BatchLda(k, key, topics, docs)
+    state = blocks.select("block", F.transform("n", lambda n: F.array_repeat(alpha + n / k, k)).alias("g"))
+    out = BatchLda(k, key, topics, _documents(blocks, state, key, k, alpha))
+    held = []
     for _ in range(iterations if words else 0):
-        shares = _shares(counts, out, k, entries)
-        new_docs = cut_lineage(shares.groupBy(key).agg(
-            (k * alpha + F.sum("tf")).alias("total"), *[(alpha + F.sum(f"r{j}")).alias(f"g{j}") for j in range(k)],
-            F.sum("fit").alias("fit")))
-        new_topics = cut_lineage(shares.groupBy("term").agg(
-            F.count(F.lit(1)).alias("df"), *[(eta + F.sum(f"r{j}")).alias(f"w{j}") for j in range(k)]))
+        sums = _topic_sums(out.topics, k)
+        by_term = out.topics.select("term", F.array(*[
+            F.exp(digamma(F.col(f"w{j}")) - digamma(F.lit(sums[j]))) for j in range(k)]).alias("b"))
+        # a term has at most one row a block, so no key is hot
+        weights = wanted.join(by_term, "term").select("block", "at", "b")
+        step, step_path = scratch.write(blocks.join(state, "block").groupBy("block").cogroup(weights.groupBy("block")).applyInPandas(
+            _step(k, alpha), "block int, g array<array<double>>, fit double, term string, df long, r array<double>"))
+        new_topics, topics_path = scratch.write(step.filter("term is not null").groupBy("term").agg(
+            F.sum("df").alias("df"), *[(eta + F.sum(F.col("r")[j])).alias(f"w{j}") for j in range(k)]))
+        state = step.filter("block is not null").select("block", "g")
         if bounds or tolerance:
-            out.bounds.append(_bound(out, new_docs, words, alpha, eta))
-        out.topics, out.docs = new_topics, new_docs.drop("fit")
+            out.bounds.append(_bound(out, step, words, alpha, eta))
+        out.topics, out.docs = new_topics, _documents(blocks, state, key, k, alpha)
+        scratch.drop(*held)
+        held = [step_path, topics_path]
         if tolerance and len(out.bounds) > 1 and out.bounds[-1] - out.bounds[-2] < tolerance * abs(out.bounds[-1]):
             break
     return out
 
 
-def _topic_sums(topics: DataFrame, k: int) -> list[float]:
-    return list(topics.agg(*[F.sum(f"w{j}") for j in range(k)]).first())
+def _block_of(key: str):
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        row, keys = pd.factorize(pdf[key])
+        at, terms = pd.factorize(pdf["term"])
+        tf = pdf["tf"].to_numpy()
+        return pd.DataFrame([{"block": pdf["block"].iloc[0], "keys": list(keys), "n": np.bincount(row, tf, len(keys)),
+                              "terms": list(terms), "at": at.astype(np.int32), "row": row.astype(np.int32), "tf": tf}])
+    return build
+
+
+def _step(k: int, alpha: float):
+    """One iteration over a block: a row with the new weights of its documents
+    and its part of the bound, and for each of its terms a row with the number
+    of its rows and their sum in each topic."""
+    def run(block: pd.DataFrame, weights: pd.DataFrame) -> pd.DataFrame:
+        own = block.iloc[0]
+        at, row, tf, terms = own["at"], own["row"], own["tf"], own["terms"]
+        b = np.zeros((len(terms), k))
+        b[weights["at"].to_numpy()] = np.stack(weights["b"].to_numpy())
+        g, total = np.stack(own["g"]), k * alpha + own["n"]
+        t = np.exp(digamma(g) - digamma(total)[:, None])
+        z = sum(b[at, j] * t[row, j] for j in range(k))
+        share = tf / z
+        new, r = np.empty_like(g), np.empty_like(b)
+        for j in range(k):
+            part = share * b[at, j] * t[row, j]
+            new[:, j] = alpha + np.bincount(row, part, len(g))
+            r[:, j] = np.bincount(at, part, len(terms))
+        out = pd.DataFrame({"block": None, "g": None, "fit": None, "term": terms, "df": np.bincount(at, minlength=len(terms)), "r": list(r)})
+        state = pd.DataFrame([{"block": own["block"], "g": list(new), "fit": float((tf * np.log(z)).sum()),
+                               "term": None, "df": None, "r": None}])
+        return pd.concat([state.astype(object), out.astype(object)], ignore_index=True)
+    return run
+
+
+def _documents(blocks: DataFrame, state: DataFrame, key: str, k: int, alpha: float) -> DataFrame:
+    """key, total and weights g0, g1, ... of every document."""
+    each = blocks.select("block", "keys", "n").join(state, "block") \
+        .select(F.explode(F.arrays_zip("keys", "n", "g")).alias("d"))
+    return each.select(F.col("d.keys").alias(key), (k * alpha + F.col("d.n")).alias("total"),
+                       *[F.col("d.g")[j].alias(f"g{j}") for j in range(k)])
 
 
-def _shares(counts: DataFrame, now: BatchLda, k: int, entries: int) -> DataFrame:
-    """key, term, the row's count in each topic (r0, r1, ...) and its part of
-    the bound (fit); written once for the sums by document and by term."""
-    sums = _topic_sums(now.topics, k)
-    by_term = now.topics.select("term", "df", *[
-        F.exp(digamma(F.col(f"w{j}")) - digamma(F.lit(sums[j]))).alias(f"b{j}") for j in range(k)])
-    by_doc = now.docs.select(now.key, *[F.exp(digamma(F.col(f"g{j}")) - digamma(F.col("total"))).alias(f"t{j}") for j in range(k)])
-    rows = split_join(counts, by_term, "term", "df", total=entries).join(by_doc, now.key)
-    z = sum((F.col(f"b{j}") * F.col(f"t{j}") for j in range(1, k)), F.col("b0") * F.col("t0"))
-    rows = rows.withColumn("z", z)
-    return cut_lineage(rows.select(now.key, "term", "tf", (F.col("tf") * F.ln("z")).alias("fit"), *[
-        (F.col("tf") * F.col(f"b{j}") * F.col(f"t{j}") / F.col("z")).alias(f"r{j}") for j in range(k)]))
+def _topic_sums(topics: DataFrame, k: int) -> list[float]:
+    return list(topics.agg(*[F.sum(f"w{j}") for j in range(k)]).first())
 
 
 def _bound(now: BatchLda, fitted: DataFrame, words: int, alpha: float, eta: float) -> float:
-    """The bound at the weights of ``now``, whose fits are in ``fitted``."""
+    """The bound at the weights of ``now``, whose fits by block are in ``fitted``."""
     k, sums = now.k, _topic_sums(now.topics, now.k)
     per_doc = sum(((alpha - F.col(f"g{j}")) * (digamma(F.col(f"g{j}")) - digamma(F.col("total"))) + log_gamma(F.col(f"g{j}"))
                    for j in range(k)), -log_gamma(F.col("total"))) + math.lgamma(k * alpha) - k * math.lgamma(alpha)

@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -72,3 +74,36 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder; survives executor loss."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Queries run inside delete their shuffle files at their end; otherwise
+    these stay until the driver's garbage collection finds their plans."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+class Scratch:
+    """Parquet tables in the shared folder that a loop writes and drops."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.tables = spark, f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+
+    def write(self, df: DataFrame) -> tuple[DataFrame, str]:
+        """``df`` read back from a new table, and the table's path."""
+        self.tables += 1
+        path = f"{self.root}/{self.tables}"
+        with shuffles_dropped(self.spark):
+            df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path), path
+
+    def drop(self, *paths: str) -> None:
+        for path in paths:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)

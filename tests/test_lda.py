@@ -1,6 +1,7 @@
 """Batch LDA against the same updates in numpy; topic merging by hand."""
 
 import math
+import os
 import random
 
 import numpy as np
@@ -66,6 +67,21 @@ def test_updates_equal_numpy_and_bound_rises(spark, monkeypatch):
     assert len(top) == 12 and {r["rank"] for r in top} == {0, 1, 2, 3}
 
 
+def _stored(spark):
+    top = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(top) for f in files)
+
+
+def test_iterations_do_not_pile_up(spark):
+    df = spark.createDataFrame(_counts(), "msg_id int, term string, tf int")
+    sizes = []
+    for iterations in (2, 8):
+        before = _stored(spark)
+        LD.lda_batch(df, 3, iterations, bounds=False)
+        sizes.append(_stored(spark) - before)
+    assert sizes[1] < 1.3 * sizes[0]
+
+
 def test_empty_and_early_stop(spark):
     empty = LD.lda_batch(spark.createDataFrame([], "msg_id int, term string, tf int"), 2, 3)
     assert empty.topics.count() == 0 and empty.docs.count() == 0
