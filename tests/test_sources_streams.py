@@ -70,6 +70,21 @@ def test_encode_pad_batch_max(spark):
     assert out[40] == ([3], [1])                   # another batch
 
 
+def test_encode_pad_hot_and_rare_tokens_alike(spark):
+    rows = [(0, "bb zz aa cc aa bb"), (1, "cc"), (1, "dd cc"), (None, "aa"), (3, None), (40, "dd zz dd cc aa")]
+    df = spark.createDataFrame(rows, "msg_id long, content string")
+    vocab = spark.createDataFrame([("aa", 1), ("bb", 2), ("cc", 3), ("dd", 4)], "token string, id long")   # zz has no id
+
+    def encoded(hot, rows):
+        out = E.encode_pad(df, vocab, max_len=3, hot_tokens=hot, broadcast_rows=rows).collect()
+        return [(r["msg_id"], r["input_ids"], r["attention_mask"]) for r in out]
+
+    want = [(0, [2, 1, 3], [1, 1, 1]), (1, [3, 4, 3], [1, 1, 1]), (1, [3, 4, 3], [1, 1, 1]), (3, [0, 0, 0], [0, 0, 0]),
+            (40, [4, 4, 3], [1, 1, 1]), (None, [], [])]
+    for hot, rows in ((0, 1), (2, 1), (100, 1), (2, 100)):
+        assert sorted(encoded(hot, rows), key=str) == sorted(want, key=str)
+
+
 def test_versioned_store_merge_equals_batch(spark):
     from chatspark.streaming import streams as ST
     rows = [(i, f"u{i % 3}", "word " * (i % 4 + 1) + "tail text long enough here!") for i in range(60)]
