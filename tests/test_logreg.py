@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from chatspark.operators import logreg as LR
@@ -57,6 +58,35 @@ def test_steps_of_a_longer_fit_and_repeated_or_null_keys(spark, tmp_path):
     assert MD.batch_predict(K.load_model(str(tmp_path)), d).count() == d.count() == 80
 
 
+def test_margins_in_pieces_and_no_number_of_the_last_class(spark, monkeypatch):
+    monkeypatch.setattr(LR, "PIECE", 7)
+    d = _docs(spark, 30)
+    data = LR.TermBlocks(d, "label", ["u"])
+    assert data.blocks.schema["x"].dataType.typeName() == "binary"
+    assert data.blocks.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    dense = np.zeros((30, 0))
+    for terms, _, _, mean, scale, at, row, x in LR._matrices(data.blocks.toArrow().to_batches()):
+        cells = np.zeros((30, len(terms)))
+        cells[row, at] = x
+        dense = np.concatenate([dense, (cells - mean) * scale], axis=1)
+    r = np.random.default_rng(1).normal(size=(30, 2))
+    assert abs(data.margins(r) - dense @ (dense.T @ r)).max() < 1e-9
+    assert [a.shape for a, _ in LR.fit_steps(data, 0.01, [2, 15])] == [(30, 2), (30, 2)]
+
+
+def test_steps_of_the_history_are_files(tmp_path):
+    rng = np.random.default_rng(2)
+    step = (rng.normal(size=(9, 2)), rng.normal(size=(9, 2)), rng.normal(size=3))
+    pair = LR._Pair(str(tmp_path / "0.npy"), step, tuple(2 * v for v in step))
+    whole = [np.concatenate([v, -v.sum(axis=1, keepdims=True)], axis=1) for v in step[:2]]
+    curve = 2 * ((whole[0] * whole[1]).sum() + step[2] @ step[2])
+    assert (pair.weight > 0) == (curve > 0)
+    if pair.weight:
+        assert abs(pair.weight * curve - 1) < 1e-9
+        assert all((a == b).all() for a, b in zip(pair.read()[0], step))
+    assert not any(isinstance(v, np.ndarray) and v.ndim > 1 for v in vars(pair).values())
+
+
 def test_one_class_is_always_predicted(spark):
     d = _docs(spark, 30).withColumn("label", F.lit(2.0))
     assert {r["pred"] for r in MD.batch_predict(MD.fit_logreg(d), d).collect()} == {2}
