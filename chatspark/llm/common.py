@@ -19,6 +19,9 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: HOT_SHARE keys are hot: the bound of every broadcast of hot keys
 HOT_SHARE = 1000
 
+#: bits of the filter that ``likely`` broadcasts: its bound at every size
+FILTER_BITS = 1 << 25
+
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -123,6 +126,18 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def likely(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """The rows of ``rows`` whose column ``name`` is, by a bit of its hash, among
+    the values of ``keys``: all that are and few others, so that a shuffle join
+    that follows moves little else. The bits are broadcast in words of 64, at
+    most FILTER_BITS in all. Pass a written table as ``keys``; a null is no value."""
+    bit = f"pmod(xxhash64({name}), {FILTER_BITS}L)"
+    word, mask = F.expr(f"shiftright({bit}, 6)"), F.expr(f"shiftleft(1L, cast({bit} & 63 as int))")
+    words = keys.filter(F.col(name).isNotNull()).groupBy(word.alias("_word")).agg(F.bit_or(mask).alias("_bits"))
+    found = rows.withColumn("_word", word).join(F.broadcast(words), "_word")
+    return found.filter(F.col(name).isNotNull() & (F.col("_bits").bitwiseAND(mask) != 0)).select(*rows.columns)
+
+
 def attach_facts(rows: DataFrame, facts: DataFrame, keys: list[str], n_col: str, total: int) -> DataFrame:
     """Left-join one fact row per group onto ``rows`` without a hot task.
 

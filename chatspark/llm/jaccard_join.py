@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach_facts, materialize, numbered, small_batches
+from .common import attach_facts, likely, materialize, numbered, small_batches
 from .near_dup import _attach_root, _lists, _mix, _slices, close_classes, shingle_counts
 
 #: sets up to SMALL tokens and over LARGE have single tokens only: in the
@@ -41,7 +41,7 @@ KNOWN_SHARE, PAIR_SHARE, TRIPLE_SHARE = 5e-5, 1e-3, 1e-2
 #: up to so many documents with a signature become pairs, more if they are long
 PAIRED = 32
 #: documents and tokens of a block
-BLOCK, BLOCK_TOKENS = 256, 1 << 21
+BLOCK, BLOCK_TOKENS = 1024, 1 << 21
 COUNTED = 1 << 22
 
 
@@ -146,8 +146,9 @@ def similar(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None
     shared = times > 1
     place = np.cumsum(shared) - 1
     row, column = row[shared[column]], place[column[shared[column]]]
-    common = np.zeros((len(sets), len(sets)), np.float64)
-    width = 1 << 15
+    # whole numbers: exact below 2 ** 24
+    common = np.zeros((len(sets), len(sets)), np.float32 if sizes.max() < 1 << 24 else np.float64)
+    width = 1 << 13
     in_slices = np.argsort(column // width, kind="stable")
     row, column = row[in_slices], column[in_slices]
     ends = np.searchsorted(column // width, np.arange(int(shared.sum()) // width + 2))
@@ -157,11 +158,14 @@ def similar(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None
             m = np.zeros((len(sets), width), np.float32)
             m[row[part], column[part] - k * width] = 1
             common += m @ m.T
-    link = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
-    if side is not None:
-        link &= side[:, None] != side[None, :]
-    i, j = np.nonzero(np.triu(link, 1))
-    return list(zip(i.tolist(), j.tolist()))
+    found = []
+    for i in range(len(sets)):
+        both = common[i, i + 1:].astype(np.int64)
+        link = 100 * both >= percent * (sizes[i] + sizes[i + 1:] - both)
+        if side is not None:
+            link &= side[i + 1:] != side[i]
+        found += [(i, j) for j in (np.flatnonzero(link) + i + 1).tolist()]
+    return found
 
 
 def _spanning(pairs, nodes, roots):
@@ -315,7 +319,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = materialize(entries.groupBy("sign").agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"))
                          .filter("n > 1"), "jaccard-shared")
     n_entries = entries.count()
-    met = materialize(attach_facts(entries, shared, ["sign"], "n", n_entries).filter("n is not null"), "jaccard-met")
+    met = materialize(attach_facts(likely(entries, shared, "sign"), shared, ["sign"], "n", n_entries).filter("n is not null"), "jaccard-met")
     # pairs of 24 bytes cost less than the sets of a block (8 bytes a token) if the documents are long
     few = (F.col("n") <= PAIRED) | (3 * F.col("n") <= 2 * F.col("mean"))
     pairs = materialize(_pairs(met.filter(few), percent), "jaccard-pairs")
@@ -327,7 +331,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     groups = materialize(groups.groupBy("n", "weight", "first", "x", "y").agg(F.min("sign").alias("sign"))
                          .withColumn("blocks", _blocks(F.col("n"), F.col("weight"))).drop("x", "y"), "jaccard-groups")
     members = materialize(attach_facts(many, groups, ["sign"], "n", n_entries).filter("n is not null"), "jaccard-members")
-    wanted = members.select("node").union(pairs.select("hub")).union(pairs.select("node")).distinct()
+    wanted = materialize(members.select("node").union(pairs.select("hub")).union(pairs.select("node")).distinct(), "jaccard-wanted")
 
     def expand(batches):
         for b in _slices(batches):
@@ -335,8 +339,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), _lists(sets)], names=["node", "tokens"])
 
     with small_batches(docs.sparkSession):
-        items = materialize(scan.select(F.col("row_key").alias("node"), "text").join(wanted.hint("merge"), "node")
-                            .mapInArrow(expand, "node long, tokens array<long>"), "jaccard-items")
+        texts = likely(scan.select(F.col("row_key").alias("node"), "text"), wanted, "node")
+        items = materialize(texts.join(wanted.hint("merge"), "node").mapInArrow(expand, "node long, tokens array<long>"), "jaccard-items")
     # all members of a block meet, and of a group in several blocks its first node
     dealt = members.select("sign", _block_of(F.col("blocks")).alias("block"), "node")
     first = groups.filter("blocks > 1").select(

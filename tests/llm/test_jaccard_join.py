@@ -84,6 +84,20 @@ def test_against_all_pairs(spark, monkeypatch, block, paired, share):
     assert result(jaccard_join.ngram_jaccard_join(frame(spark, rows))) == components(rows)
 
 
+def test_only_candidates_reach_the_shuffles(spark, monkeypatch):
+    from chatspark.llm import jaccard_join
+    passed, kept = [], jaccard_join.likely
+
+    def likely(rows, keys, name):
+        passed.append((kept(rows, keys, name).count(), rows.count()))
+        return kept(rows, keys, name)
+
+    monkeypatch.setattr(jaccard_join, "likely", likely)
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(40))) for i in range(200)] + [(900, "a b c d e"), (901, "a b c d E f"), (902, "a b c d e f")]
+    assert result(jaccard_join.ngram_jaccard_join(frame(spark, rows))) == components(rows)
+    assert [few < 30 < all_ for few, all_ in passed] == [True, True]
+
+
 def test_empty_table(spark):
     from chatspark.llm.jaccard_join import ngram_jaccard_join
     assert ngram_jaccard_join(frame(spark, [])).count() == 0
