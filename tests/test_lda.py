@@ -96,3 +96,64 @@ def test_topics_merge_into_the_nearest(spark, left, want):
     topics = spark.createDataFrame([(t, v) for t, v in vectors.items()], "topic int, vector array<double>")
     counts = spark.createDataFrame([(0, 50), (1, 20), (2, 5), (3, 10), (4, 5), (-1, 99)], "topic int, count long")
     assert {r["topic"]: r["merged_into"] for r in LD.reduce_topics(topics, left, counts).collect()} == want
+
+
+def test_weights_of_documents_stand_still_in_each_iteration(spark, monkeypatch):
+    """As the published E step: a document's weights are updated until they change
+    by less than the tolerance, and the returned ones are of the fitted topics."""
+    monkeypatch.setattr(LD, "PIECE", 60)  # many pieces, documents that drop out early
+    k, rows = 3, _counts(5)
+    df = spark.createDataFrame(rows, "msg_id int, term string, tf int")
+    model = LD.lda_batch(df, k, 4, seed=1, e_steps=2000, still=1e-9)
+    terms, docs = sorted({t for _, t, _ in rows}), sorted({d for d, _, _ in rows})
+    n = np.zeros((len(docs), len(terms)))
+    for d, t, c in rows:
+        n[docs.index(d), terms.index(t)] = c
+    first = {r["term"]: [r[f"w{j}"] for j in range(k)] for r in
+             df.select("term").distinct().select("term", *[LD.first_weight(F.col("term"), j, 1).alias(f"w{j}") for j in range(k)]).collect()}
+    lam = np.array([first[t] for t in terms])
+    gam = 1 / k + np.repeat(n.sum(1)[:, None] / k, k, axis=1)
+    for i in range(5):
+        b = np.exp(_psi(lam) - _psi(lam.sum(0)))
+        for _ in range(2000):
+            t = np.exp(_psi(gam) - _psi(gam.sum(1))[:, None])
+            phi = t[:, None, :] * b[None, :, :]
+            phi *= (n / phi.sum(2))[:, :, None]
+            gam, old = 1 / k + phi.sum(1), gam
+            if abs(gam - old).mean(1).max() < 1e-9:
+                break
+        if i < 4:
+            lam = 1 / k + phi.sum(0)
+    got = {r["term"]: [r[f"w{j}"] for j in range(k)] for r in model.topics.collect()}
+    assert max(abs(np.array(got[t]) - lam[i]).max() for i, t in enumerate(terms)) < 1e-4
+    theta = {r["msg_id"]: r["topic_distribution"] for r in model.distributions().collect()}
+    assert max(abs(np.array(theta[d]) - gam[i] / gam[i].sum()).max() for i, d in enumerate(docs)) < 1e-4
+    assert all(a < b + 1e-9 for a, b in zip(model.bounds, model.bounds[1:]))
+
+
+def test_topic_info_merges_topics(spark):
+    """The smallest of three topics goes into the nearest; the merged one's terms are
+    weighted by documents, and its vectors have the products of the distributions."""
+    topics = spark.createDataFrame([("a", 1, 8.0, 1.0, 7.0), ("b", 1, 1.0, 8.0, 1.0), ("c", 1, 1.0, 1.0, 2.0)],
+                                   "term string, df long, w0 double, w1 double, w2 double")
+    model = LD.BatchLda(3, "msg_id", topics, None)
+    vectors = {r["topic"]: np.array(r["vector"]) for r in model.topic_vectors().collect()}
+    p = np.array([[8, 1, 7], [1, 8, 1], [1, 1, 2]]) / 10
+    assert all(abs(vectors[i] @ vectors[j] - p[:, i] @ p[:, j]) < 1e-12 for i in range(3) for j in range(3))
+    assigned = spark.createDataFrame([(0,)] * 5 + [(1,)] * 4 + [(2,)] * 3, "topic int")
+    got = {r["topic"]: (r["count"], r["name"]) for r in LD.merged_info(model, assigned, 2).collect()}
+    assert got == {0: (8, "0_a_c_b"), 1: (4, "1_b_a_c")}
+
+
+def test_registered_topic_info_merges_and_settles(spark, monkeypatch):
+    from chatspark.plans import topics_q as Q
+    seen, real = {}, LD.lda_batch
+
+    def fit(counts, **given):
+        seen.update(given)
+        return real(counts, **given | {"iterations": 1})
+
+    monkeypatch.setattr(LD, "lda_batch", fit)
+    rows = Q.topic_info(spark, "/root/testdata/sf0.001").collect()
+    assert seen["e_steps"] == 100 and 0 < len(rows) <= 5
+    assert sum(r["count"] for r in rows) > 100
