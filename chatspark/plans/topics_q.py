@@ -9,6 +9,7 @@ from ..functions.lexicons import ENGLISH_STOP_WORDS
 from ..operators import sets as S
 from ..operators import lda as LD
 from ..operators import topics as TP
+from ..session import cut_lineage
 from ..sources.fixtures import Fixtures, duck_with
 from . import duck as D
 from .registry import query
@@ -108,10 +109,11 @@ def parse_topic_terms(spark, sf_dir):
 # ------------------------------------------- iterative models (rows only)
 def _batch_lda(spark, sf_dir):
     """Messages and the model of 10 topics, 10 iterations over all messages
-    and all terms but the stop words."""
+    and all terms but the stop words; in each a message's weights are updated
+    until they stand still, at most 100 times (as published)."""
     m = Fixtures(spark, sf_dir).msgs.select("msg_id", "uid", "content")
     counts = TP.doc_terms(m, stop_words=ENGLISH_STOP_WORDS)
-    return m, LD.lda_batch(counts, k=10, iterations=10, bounds=False)
+    return m, LD.lda_batch(counts, k=10, iterations=10, bounds=False, e_steps=100)
 
 
 @query("lda_topics", "M03")
@@ -137,12 +139,18 @@ def cluster_topics(spark, sf_dir):
     return assigned.select("vec_id", "topic")
 
 
+#: topics left after merging (the published number)
+NR_TOPICS = 5
+
+
 @query("topic_info", "M07")
 def topic_info(spark, sf_dir):
+    """The topics of the messages, the smallest merged into the nearest until
+    NR_TOPICS are left."""
     from ..operators.labels import argmax
     _, model = _batch_lda(spark, sf_dir)
-    assigned = model.distributions().select(argmax(F.col("topic_distribution")).alias("topic"))
-    return TP.topic_info(assigned, model.top_terms(4))
+    assigned = cut_lineage(model.distributions().select(argmax(F.col("topic_distribution")).alias("topic")))
+    return LD.merged_info(model, assigned, NR_TOPICS)
 
 
 @query("reduced_topics", "M07")
